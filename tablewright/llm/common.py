@@ -69,3 +69,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+#: A side of a join is broadcast only if a count has shown that it has no more rows than this; else Spark shuffles both.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to be small. Give a stored table of few short columns."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
