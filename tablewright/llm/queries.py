@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, wavelet_store
+from . import line_dedup, mixing, packing, quality_rules, simhash, wavelet_store
 from .common import documents, labels
 
 
@@ -25,6 +25,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary(), end_id=1)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(documents(spark, sf_dir))
+
+
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_schedule(documents(spark, sf_dir))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir), report=True).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -33,9 +45,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_wavelet_tokens": op2_wavelet_tokens,
         "op4_packing": op4_packing,
+        "op5_simhash": op5_simhash,
+        "op8_temperature_mixing": op8_temperature_mixing,
+        "op9_line_dedup": op9_line_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_temperature_mixing": mixing.ORACLE_SQL}

@@ -41,13 +41,14 @@ SHARD_TOKENS = 1 << 20
 
 def _planes(ranks: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
     """Each plane's packed bits and its number of zeros, highest bit first."""
-    now = ranks
+    n, now, spare = len(ranks), ranks, np.empty_like(ranks)
     for b in range(bits - 1, -1, -1):
-        one = (now & (1 << b)).astype(bool)
-        ones = now[one]
-        zeros = now[~one]
-        yield np.packbits(one), len(zeros)
-        now = np.concatenate([zeros, ones])
+        one = (now & ranks.dtype.type(1 << b)) != 0
+        zeros = n - int(np.count_nonzero(one))
+        np.compress(~one, now, out=spare[:zeros])
+        np.compress(one, now, out=spare[zeros:])
+        yield np.packbits(one), zeros
+        now, spare = spare, np.empty_like(ranks) if now is ranks else now
 
 
 def build(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -165,9 +166,11 @@ class Shard:
         now = np.zeros(n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self._plane(level)[0], count=n).view(bool)
+            zeros = self.zeros[level]
+            now[zeros:] |= now.dtype.type(1 << (self.bits - 1 - level))
             above = np.empty_like(now)
-            above[~one] = now[: self.zeros[level]]
-            above[one] = now[self.zeros[level] :] | now.dtype.type(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~one)] = now[:zeros]
+            above[np.flatnonzero(one)] = now[zeros:]
             now = above
             self._held.pop(level, None)
         return self.alphabet[now] if n else np.zeros(0, "<u4")
