@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step handles at a time (a longer text is handled alone).
@@ -63,6 +63,15 @@ def slim(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def once(column: Column) -> Column:
+    """``column``, computed once for each row.
+
+    The optimizer copies an expression into each filter or lambda that uses its column, which makes work over arrays
+    quadratic. It neither copies nor moves what depends on a random number.
+    """
+    return F.when(F.rand(0) >= 0, column)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

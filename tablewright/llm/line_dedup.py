@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import if_small, slim, staged
+from .common import if_small, once, slim, staged
 
 #: Shorter lines are compared for equality only: one edit in fewer words is another line.
 MIN_WORDS = 10
@@ -43,7 +43,7 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return slim(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return slim(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", once(F.split("text", "\n", -1)).alias("lines")).select("doc_id", F.posexplode("lines").alias("line_no", "line"))
 
 
 def _order(doc_id: Column, line_no: Column) -> Column:
@@ -53,7 +53,7 @@ def _order(doc_id: Column, line_no: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Each line with a word: hashes of its words and of the halves that it shares with any line one edit apart."""
-    rows = _lines(docs).select("doc_id", "line_no", _words(F.col("line")).alias("w")).where("size(w) > 0")
+    rows = _lines(docs).select("doc_id", "line_no", once(_words(F.col("line"))).alias("w")).where("size(w) > 0")
     rows = rows.select("*", F.size("w").alias("n")).select("*", F.expr("n div 2").alias("a"), F.expr("(n - 1) div 2").alias("b"))
     half = lambda k, side: F.expr(f"CASE WHEN n >= {MIN_WORDS} THEN xxhash64({k}, '{side}', " + (f"slice(w, 1, {k})" if side == "first" else f"slice(w, n - {k} + 1, {k})") + ") END")
     return rows.select("doc_id", "line_no", "n", F.expr("xxhash64(w)").alias("h1"), F.expr("xxhash64(n, w)").alias("h2"), half("a", "first").alias("k1"), half("a", "last").alias("k2"), half("b", "first").alias("k3"), half("b", "last").alias("k4"))

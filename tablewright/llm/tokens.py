@@ -1,11 +1,10 @@
 """Exact byte-level BPE encoding with a bounded memo.
 
-The pre-tokenisation rule of the byte-level vocabularies never lets a piece reach
-from a non-blank character over the blank behind it, and looks one character ahead at
-most. So a text may be cut before each single blank between non-blank characters, and the ids of the text are
-the ids of the parts in order. Letters part from what is not a letter in the same way.
-Words repeat, so each part is put together once per worker, and each of its runs of letters is handed to the
-``tokenizers`` library once. Texts with other blanks than these are cut more coarsely.
+The pre-tokenisation rule of the byte-level vocabularies never lets a piece reach from a non-blank
+character over the blanks behind it, nor from letters to what is none, and looks one
+character ahead at most. So a text may be cut into runs at such places, and the ids of
+the text are the ids of the runs in order. Words repeat, so each run is handed to the
+``tokenizers`` library once, as long as the worker remembers it.
 """
 
 from __future__ import annotations
@@ -16,49 +15,49 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Parts, and runs within parts, that one worker remembers; beyond it a memo starts anew (some 150 MB each).
-MEMO_PARTS = 1_000_000
+#: Runs in one of a memo's two generations (some 200 bytes each).
+MEMO_RUNS = 400_000
 #: Longer texts are encoded slice by slice.
 SLICE_CHARS = 4_000_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_RUN = re.compile(rf" ?[{_LETTERS}]+(?=[\x00-@\[-`{{-\x7f])|\0|\n(?=[{_LETTERS}])|\s*[^\s\0]+|\s+")
-#: A part that ends in a blank, or begins with one besides the blank before it.
-_MEETING = re.compile(r"(?:^|\0)(?: \s|[^\S ])|\s\0")
+#: Letters with at most one blank before them that end at an ASCII non-letter; a line feed before letters; else blanks and what follows.
+_RUN = re.compile(rf" ?[{_LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|\Z)|\n(?=[{_LETTERS}])|\s*\S+|\s+")
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+")
-_COARSE = re.compile(r"\s*\S+|\s+")
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
-_FIRST = "\0"  # marks a part that has no blank before it, and the end of a part among others
-_ENCODERS: dict[tuple[str, int], "PartEncoder"] = {}
+_ENCODERS: dict[tuple[str, int], "RunEncoder"] = {}
 
 
-class PartEncoder:
+class RunEncoder:
     """Encodes texts to little-endian unsigned ids of ``width`` bytes each."""
 
-    def __init__(self, path: str, memo: int = MEMO_PARTS):
+    def __init__(self, path: str, memo: int = MEMO_RUNS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.limit = memo
-        self.parts: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         line = self._ids("\n")
         self.newline = line[0] if len(line) == 1 else None
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn_runs(self, runs: set[str]) -> None:
-        new = runs.difference(self.runs)
-        if len(self.runs) + len(new) > self.limit:
-            self.runs.clear()
-            new = runs
-        new.discard(_FIRST)
-        plain = [r for r in new if _PLAIN.fullmatch(r)] if self.newline is not None else []
+    def _learn(self, runs: set[str]) -> None:
+        """Afterwards the new generation has all of ``runs``; those that the old one has move on."""
+        old, new = self.old, self.new
+        unknown = []
+        for run in runs:
+            if (ids := old.get(run)) is None:
+                unknown.append(run)
+            else:
+                new[run] = ids
+        plain = [r for r in unknown if _PLAIN.fullmatch(r)] if self.newline is not None else []
         # Words joined by line feeds are one call; a line feed stays a piece of its own before a letter or one blank.
         for k in range(0, len(plain), 1000):
             some = plain[k : k + 1000]
@@ -68,45 +67,11 @@ class PartEncoder:
                 raise AssertionError("a word took the separator in")
             raw, at = ids.tobytes(), 0
             for run, end in zip(some, [*(cuts * self.width).tolist(), len(raw)]):
-                self.runs[run] = raw[at:end]
+                new[run] = raw[at:end]
                 at = end + self.width
-        other = list(new.difference(plain)) if plain else list(new)
+        other = list(set(unknown).difference(plain)) if plain else unknown
         for run, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.runs[run] = np.array(e.ids, self.dtype).tobytes()
-
-    def _learn(self, parts: set[str]) -> None:
-        new = parts.difference(self.parts)
-        if len(self.parts) + len(new) > self.limit:
-            self.parts.clear()
-            new = parts
-        names = list(new)
-        for k in range(0, len(names), 100_000):
-            self._learn_some(names[k : k + 100_000])
-
-    def _learn_some(self, names: list[str]) -> None:
-        """All parts as one string, with a mark between them that becomes an id which no text has."""
-        bodies = [n[1:] if n[:1] == _FIRST else " " + n for n in names]
-        joined = _FIRST.join(bodies) + _FIRST
-        if _MEETING.search(joined):  # blanks meet in some part: its texts are cut coarsely
-            fine = [k for k, b in enumerate(bodies) if not _MEETING.search(b + _FIRST)]
-            names, bodies = [names[k] for k in fine], [bodies[k] for k in fine]
-            joined = _FIRST.join(bodies) + _FIRST
-        cut = _RUN.findall(joined)
-        runs = set(cut)
-        runs.discard(_FIRST)
-        self._learn_runs(runs)
-        self.runs[_FIRST] = b"\xff" * self.width
-        raw, at = b"".join(map(self.runs.__getitem__, cut)), 0
-        for name, end in zip(names, (np.flatnonzero(np.frombuffer(raw, self.dtype) == np.iinfo(self.dtype).max) * self.width).tolist()):
-            self.parts[name] = raw[at:end]
-            at = end + self.width
-
-    def _coarsely(self, text: str) -> bytes:
-        if _FIRST in text:
-            return np.array(self._ids(text), self.dtype).tobytes()
-        cut = _COARSE.findall(text)
-        self._learn_runs(set(cut))
-        return b"".join(map(self.runs.__getitem__, cut))
+            new[run] = np.array(e.ids, self.dtype).tobytes()
 
     def _slices(self, text: str) -> Iterator[str]:
         at = 0
@@ -116,25 +81,29 @@ class PartEncoder:
         yield text[at:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Give a few MB of text at a time; the parts of all are learnt at once."""
-        if any(len(t) > 2 * SLICE_CHARS for t in texts):
-            return [b"".join(b"".join(self.encode([s])) for s in self._slices(t)) for t in texts]
-        cut = [t.split(" ") for t in texts]
-        for c in cut:
-            c[0] = _FIRST + c[0]
-        self._learn(set().union(*cut))
-        get, out = self.parts.__getitem__, []
-        for text, c in zip(texts, cut):
-            try:
-                out.append(b"".join(map(get, c)) if _FIRST not in text else self._coarsely(text))
-            except KeyError:
-                out.append(self._coarsely(text))
-        return out
-
-
-def encoder(path: str, memo: int = MEMO_PARTS) -> PartEncoder:
+        """The ids of each text. Give a few MB of text at a time; the runs of all are learnt at once."""
+        out = []
+        for text in texts if any(len(t) > SLICE_CHARS for t in texts) else ():
+            out.append(b"".join(self._encode([s])[0] for s in self._slices(text)))
+        return out or self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [_RUN.findall(t) for t in texts]
+        get = self.new.get
+        ids = [list(map(get, c)) for c in cut]
+        gaps = [[i for i, v in enumerate(x) if v is None] if None in x else () for x in ids]
+        self._learn({c[i] for c, gap in zip(cut, gaps) for i in gap})
+        for c, x, gap in zip(cut, ids, gaps):
+            for i in gap:
+                x[i] = get(c[i])
+        if len(self.new) >= self.limit:  # a generation may hold one group of texts more
+            self.old, self.new = self.new, {}
+        return list(map(b"".join, ids))
+
+
+def encoder(path: str, memo: int = MEMO_RUNS) -> RunEncoder:
     """This worker's encoder for the vocabulary file."""
     key = (path, memo)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PartEncoder(path, memo)
+        _ENCODERS[key] = RunEncoder(path, memo)
     return _ENCODERS[key]
