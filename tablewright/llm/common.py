@@ -67,9 +67,9 @@ def once(column: Column) -> Column:
     """``column``, computed once for each row.
 
     The optimizer copies an expression into each filter or lambda that uses its column, which makes work over arrays
-    quadratic. It neither copies nor moves what depends on a random number.
+    quadratic. It neither copies nor moves what depends on the partition at run time.
     """
-    return F.when(F.rand(0) >= 0, column)
+    return F.when(F.spark_partition_id() >= 0, column)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, quality_rules, simhash, wavelet_store
+from . import license_scan, line_dedup, mixing, packing, quality_rules, simhash, wavelet_store
 from .common import documents, labels
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet_store.write_shards(documents(spark, sf_dir), vocabulary(), end_id=0)
     return wavelet_store.read_shards(shards)
@@ -43,6 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_wavelet_tokens": op2_wavelet_tokens,
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
@@ -53,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_temperature_mixing": mixing.ORACLE_SQL}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op8_temperature_mixing": mixing.ORACLE_SQL}
