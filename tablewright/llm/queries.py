@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, mixing, packing, quality_rules, simhash, wavelet_store
+from . import license_scan, line_dedup, media_avi, mixing, packing, quality_rules, simhash, toxicity, wavelet_store
 from .common import documents, labels
 
 
@@ -33,6 +33,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_avi.media_digest(documents(spark, sf_dir))
+
+
 def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_schedule(documents(spark, sf_dir))
 
@@ -51,6 +59,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_wavelet_tokens": op2_wavelet_tokens,
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
+        "op6_toxicity": op6_toxicity,
+        "op7_avi_media": op7_avi_media,
         "op8_temperature_mixing": op8_temperature_mixing,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality_rules": op10_quality_rules,
