@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, media_avi, mixing, packing, quality_rules, simhash, toxicity, wavelet_store
+from . import license_scan, line_dedup, media_avi, mixing, packing, quality_rules, secret_scan, simhash, toxicity, wavelet_store
 from .common import documents, labels
 
 
@@ -25,6 +25,10 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_store.read_shards(shards)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary(), end_id=1)
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_wavelet_tokens": op2_wavelet_tokens,
+        "op3_secret_scan": op3_secret_scan,
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
         "op6_toxicity": op6_toxicity,
