@@ -1 +1 @@
-
+"""Tables, providers, sources and sinks."""
