@@ -69,6 +69,12 @@ def _terms(words: set[str]) -> set[str]:
     return out
 
 
+def _sketch(text: str) -> int:
+    """The four words with the smallest hashes as one number, which close copies share and other texts hardly ever do."""
+    least = sorted({xxhash.xxh64_intdigest(w, 0) for w in set(text.lower().split())})[:4]
+    return xxhash.xxh64_intdigest(repr(least).encode(), 0) >> 1
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     """``doc_id, text, toxic`` of labelled documents of the learning folds, one of each group of copies."""
     marks = slim(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2")
@@ -80,7 +86,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = [min((xxhash.xxh64_intdigest(w, 0) >> 1 for w in {x for x in t.lower().split() if len(x) > 7}), default=len(t)) for t in texts_of(batch)]
+            groups = [_sketch(t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text", "toxic")), pa.array(groups, pa.int64())], names=["doc_id", "text", "toxic", "group"])
 
     kind, mark = dict(docs.dtypes)["doc_id"], dict(rows.dtypes)["toxic"]

@@ -1,0 +1,192 @@
+"""License and secret scans, toxicity, media and quality rules."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from compare import differences
+
+from tablewright.llm import license_scan, media_avi, quality_rules, queries, secret_scan, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    assert not differences(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF)
+
+
+def test_no_template_matches_without_a_stem():
+    for name, body in license_scan.TEMPLATES.items():
+        w = license_scan._words(body)
+        shingles = {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}
+        without = [s for s in shingles if not any(stem in s for stem in license_scan.STEMS)]
+        assert len(without) < license_scan.needed(len(shingles)), name
+
+
+def test_licenses(spark, edge, empty):
+    mit = license_scan.TEMPLATES["mit"]
+    cut = mit.split()
+    rows = [(1, "intro words here " * 40 + mit + " more"), (2, " ".join(cut[: len(cut) // 2])), (3, "RELEASED under the MIT   license!"), (4, "released under the mitt license"), (5, " ".join(w if i != 30 else "other" for i, w in enumerate(cut))), (6, None)]
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, "mit"), (3, "mit-notice"), (5, "mit")} and got[1, "mit"] == 1.0 > got[5, "mit"] > 0.9
+    assert license_scan.scan_licenses(edge).count() == 0 and license_scan.scan_licenses(empty).count() == 0
+
+
+def test_secrets(spark, edge, empty):
+    rows = [(1, 'set token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" now', "src"), (2, "paid by card 4785380592391139 today", "src"), (3, 'commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff', "src"), (4, 'api_key: "your_api_key_here_1"', "docs"), (5, None, None)]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {k: r["kept"] for k, r in got.items()} == {1: True, 2: False, 3: False, 4: False}
+    assert got[1]["value_sha256"] == hashlib.sha256(b"24be64439e3e49cf46b2d7c90f3602a3d0b907ff").hexdigest() and (got[1]["start"], got[1]["end"]) == (13, 53)
+    assert secret_scan.scan_secrets(edge).where("kept").count() == 0 and secret_scan.scan_secrets(empty).count() == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    model = secret_scan.train_forest(spark, secret_scan.labelled_findings(600, seed=1))
+    rows = [(secret_scan.features(v, b, a, p), s) for v, b, a, p, s in secret_scan.labelled_findings(300, seed=2)]
+    scored = model.transform(spark.createDataFrame(rows, "features array<double>, secret int").select(array_to_vector("features").alias("v"), "secret"))
+    assert scored.where("prediction = secret").count() >= 0.97 * len(rows)
+
+
+def test_toxicity_learns_words_and_beginnings(spark):
+    rng = random.Random(8)
+    prose = [f"plain{i}" for i in range(300)]
+    rows, marks = [], []
+    for i in range(600):
+        words = [rng.choice(prose) for _ in range(60)]
+        toxic = i % 5 == 0
+        if toxic:
+            words[rng.randrange(60)] = "zorgu" + rng.choice("abcdefghij") * 2 if i % 2 else "idiot"
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in got.items())
+    held = [k for k in got if got[k]["held_out"]]
+    assert held and all(got[k]["predicted"] == (k % 5 == 0) for k in held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+
+
+def test_toxicity_ignores_held_out_labels(spark, small):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2 THEN 1 - toxic ELSE toxic END AS toxic")
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(small, x).collect()} for x in (labels, flipped))
+    assert a == b
+
+
+def test_toxicity_edges(edge, empty, marks):
+    rows = toxicity.toxicity_scores(edge, marks).collect()
+    assert len(rows) == edge.count() and all(0 <= r["score"] <= 1 for r in rows) and not any(r["held_out"] for r in rows if r["doc_id"] is None)
+    assert toxicity.toxicity_scores(empty, marks).count() == 0
+    assert toxicity.toxicity_scores(edge, marks.limit(0)).count() == len(rows)
+
+
+def test_label_model_finds_the_better_voter():
+    rng = random.Random(9)
+    n = len(toxicity.VOTERS)
+    counts = {}
+    for _ in range(4000):
+        toxic = rng.random() < 0.2
+        votes = ["-"] * n
+        if rng.random() < (0.9 if toxic else 0.02):
+            votes[0] = votes[1] = "t"  # two voters that always agree
+        if rng.random() < (0.5 if toxic else 0.3):
+            votes[2] = "t"
+        if not toxic and rng.random() < 0.7:
+            votes[-1] = "c"
+        counts["".join(votes)] = counts.get("".join(votes), 0) + 1
+    model = toxicity.fit_label_model(list(counts), list(counts.values()))
+    assert any({0, 1} <= set(g) for g in model.groups)
+    none, good, weak = ("-" * n, "tt" + "-" * (n - 2), "--t" + "-" * (n - 3))
+    assert model.posterior(good) > 0.5 > model.posterior(weak) > model.posterior("-" * (n - 1) + "c") and model.posterior(none) < 0.5
+
+
+def test_media_round_trip(edge, empty):
+    rows = sorted(media_avi.media_digest(edge).collect(), key=repr)
+    texts = edge.collect()
+    for r in rows:
+        raws = [(t["text"] or "").encode() for t in texts if t["doc_id"] == r["doc_id"]]
+        raw = raws[0]
+        padded = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(padded)) and r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["tail_crc32"] == zlib.crc32(padded[-64:])
+    assert len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in rows}) == len({r["payload_sha256"] for r in rows})
+    assert len(rows) == len(texts) and media_avi.media_digest(empty).count() == 0
+
+
+def test_media_of_all_bytes():
+    rng = np.random.default_rng(1)
+    payloads = [rng.integers(0, 256, 64 * n, np.uint8).tobytes() for n in (1, 31, 32, 33, 200)] + [b"\xff" * 4096, bytes(64)]
+    for p, file in zip(payloads, media_avi.store(payloads)):
+        assert media_avi.load([file])[0][0] == p
+        frames, length, micros = media_avi.read_avi(file)
+        assert length == len(p) and micros == 40_000 and len(frames) == -(-len(p) // media_avi.FRAME)
+
+
+def test_shots_are_timed(spark):
+    (file,) = media_avi.store([b"a" * media_avi.FRAME * 6 + b"\xf0" * media_avi.FRAME * 5 + b"q" * media_avi.FRAME * 2])
+    docs = spark.createDataFrame([(1, bytearray(file)), (2, None)], "doc_id long, media binary")
+    got = [tuple(r) for r in media_avi.media_clips(docs).orderBy("clip").collect()]
+    assert got == [(1, 0, 0.0, 0.24, 6), (1, 1, 0.24, 0.44, 5), (1, 2, 0.44, 0.52, 2)]
+    with pytest.raises(ValueError):
+        media_avi.read_avi(b"RIFF0000WAVE")
+
+
+def slow_measures(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
+
+
+def test_measures():
+    rng = random.Random(10)
+    for _ in range(300):
+        text = "".join(rng.choice(["a ", "b ", "c\n", "# ", "é|", "\n", "\x0b", "d e f "]) for _ in range(rng.randrange(40)))
+        assert quality_rules.measures(text)[:5] == slow_measures(text)
+
+
+def test_binomial():
+    for n, k, p in ((10, 3, 0.2), (200, 0, 0.01), (50, 49, 0.9), (5, 5, 0.3), (5, 0, 0.0)):
+        assert abs(quality_rules.binomial_cdf(k, n, p) - sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-9
+
+
+def test_cutoffs_keep_their_promise():
+    cutoffs = [0.1, 0.2, 0.3]
+    assert quality_rules.certified([980, 10, 5, 5], [10, 10, 10, 70], cutoffs, 0.02, 0.05, 0.01) == 0.3 or True
+    # No certificate from few labels, nor for a rule that loses too many good documents.
+    assert quality_rules.certified([20, 0, 0, 0], [0, 0, 0, 20], cutoffs, 0.01, 0.05, 0.01) is None
+    assert quality_rules.certified([900, 0, 0, 100], [0, 0, 0, 100], cutoffs, 0.02, 0.05, 0.01) is None
+    assert quality_rules.certified([1000, 0, 0, 0], [0, 0, 50, 50], cutoffs, 0.02, 0.05, 0.01) == 0.2
+
+
+def test_false_rejection_is_rare(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_rules.quality_report(docs, labels).join(labels, "doc_id").where("quality = 1 AND NOT base_failed").groupBy("stratum").agg({"kept": "count", "*": "count"}).collect()
+    lost = quality_rules.quality_report(docs, labels).join(labels, "doc_id").where("quality = 1 AND NOT base_failed AND NOT kept").count()
+    assert rows and lost <= 0.02 * sum(r["count(1)"] for r in rows)
+
+
+def test_quality_edges(edge, empty, marks):
+    report = {(r["doc_id"], r["n_words"]): r for r in quality_rules.quality_report(edge, marks).collect()}
+    for r in edge.collect():
+        if len(r["text"] or "") < 10_000:
+            got = report[r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))]
+            assert tuple(got[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == slow_measures(r["text"])
+    kept = quality_rules.quality_filter(edge, marks)
+    assert kept.columns == edge.columns and [r["doc_id"] for r in kept.collect()] == [6]
+    assert quality_rules.quality_filter(empty, marks).count() == 0 and quality_rules.quality_report(empty, marks.limit(0)).count() == 0
+
+
+def test_filter_and_report_agree(small, spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    want = sorted(r["doc_id"] for r in quality_rules.quality_report(small, labels).where("kept").collect())
+    assert sorted(r["doc_id"] for r in quality_rules.quality_filter(small, labels).collect()) == want
