@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that one vectorised step handles at a time (a longer text is handled alone).
+#: Bytes of text that one vectorised step handles at a time (a longer text is handled alone).
 GROUP_CHARS = 2_000_000
 
 
@@ -41,16 +43,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def grouped_by_size(texts: list[str], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts have ``limit`` characters at most, a longer text by itself."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def by_size(batches: Iterator[pa.RecordBatch], limit: int = GROUP_CHARS, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have ``limit`` bytes at most, a longer text by itself.
+
+    Python objects are made of one slice at a time, so they take little memory however large Arrow's batches are.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            held = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, held + limit, "right")))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import grouped_by_size, slim, texts_of
+from .common import by_size, slim, texts_of
 
 WIDTH, ROWS = 64, 32
 FRAME = WIDTH * ROWS
@@ -308,19 +308,17 @@ def media_digest(docs: DataFrame) -> DataFrame:
     schema = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string"), ("n_frames", "bigint"), ("n_clips", "bigint")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch)
-            for a, b in grouped_by_size(texts, STEP * FRAME):
-                source = [padded(t) for t in texts[a:b]]
-                files = store([p for p, _ in source])
-                rows = []
-                for file, (_, n), (payload, hist, micros) in zip(files, source, load(files)):
-                    cut = shots(hist)
-                    mean = (hist.mean(0) * 255).round().astype(np.uint8).tobytes().hex()
-                    feature = f"shots={','.join(f'{x * micros / 1e6:.2f}-{y * micros / 1e6:.2f}' for x, y in cut)};hist={mean}"
-                    rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature, len(hist), len(cut)))
-                columns = [pa.array(list(c), pa.string() if t == "string" else pa.int64()) for c, (_, t) in zip(zip(*rows), schema)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], names=["doc_id", *(s for s, _ in schema)])
+        for batch in by_size(batches, STEP * FRAME):
+            source = [padded(t) for t in texts_of(batch)]
+            files = store([p for p, _ in source])
+            rows = []
+            for file, (_, n), (payload, hist, micros) in zip(files, source, load(files)):
+                cut = shots(hist)
+                mean = (hist.mean(0) * 255).round().astype(np.uint8).tobytes().hex()
+                feature = f"shots={','.join(f'{x * micros / 1e6:.2f}-{y * micros / 1e6:.2f}' for x, y in cut)};hist={mean}"
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature, len(hist), len(cut)))
+            columns = [pa.array(list(c), pa.string() if t == "string" else pa.int64()) for c, (_, t) in zip(zip(*rows), schema)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *(s for s, _ in schema)])
 
     return slim(docs, "doc_id", "text").mapInArrow(each, f"doc_id {kind}, " + ", ".join(f"{n} {t}" for n, t in schema))
 

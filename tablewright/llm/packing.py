@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped_by_size, slim, staged, texts_of
-from .tokens import encoder
+from .common import by_size, slim, staged, texts_of
+from .tokens import ENCODE_BYTES, encoder
 
 WINDOW = 2048
 
@@ -36,14 +36,12 @@ def encode_partitions(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, enc = TaskContext.get().partitionId(), 0, encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            texts = texts_of(batch)
-            for a, b in grouped_by_size(texts):
-                ids = [x + end for x in enc.encode(texts[a:b])]
-                sizes = np.array([len(x) // enc.width for x in ids], np.int64)
-                places = place + np.cumsum(sizes) - sizes
-                place += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part, np.int32)), batch.column("doc_id").slice(a, b - a), pa.array(places), pa.array(sizes), pa.array(ids, pa.binary())], names=["part", "doc_id", "place", "n_tokens", "ids"])
+        for batch in by_size(batches, ENCODE_BYTES):
+            ids = [x + end for x in enc.encode(texts_of(batch))]
+            sizes = np.array([len(x) // enc.width for x in ids], np.int64)
+            places = place + np.cumsum(sizes) - sizes
+            place += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), batch.column("doc_id"), pa.array(places), pa.array(sizes), pa.array(ids, pa.binary())], names=["part", "doc_id", "place", "n_tokens", "ids"])
 
     return slim(docs, "doc_id", "text").mapInArrow(encode, f"part int, doc_id {kind}, place bigint, n_tokens bigint, ids binary")
 

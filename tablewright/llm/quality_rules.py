@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped_by_size, slim, staged, texts_of
+from .common import by_size, slim, staged, texts_of
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -78,7 +78,7 @@ def measures(text: str) -> tuple[int, ...]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_size(batches):
         rows = [measures(t) for t in texts_of(batch)]
         counts = zip(*rows) if rows else [[]] * len(_COUNTS)
         yield pa.RecordBatch.from_arrays(
@@ -195,19 +195,17 @@ def quality_filter(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stra
     columns = docs.columns
     counts = staged(measure(docs, stratum).join(known, "doc_id", "left_semi"), "quality")
     cutoffs = learn_cutoffs(counts, labels, risk)
-    at = columns.index("text")
     strata = columns.index(stratum) if stratum in columns else None
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
+        for batch in by_size(batches):
+            texts = texts_of(batch)
             names = [str(s) if s is not None else "" for s in batch.column(strata).to_pylist()] if strata is not None else [""] * len(texts)
-            for start, end in grouped_by_size(texts):
-                keep = []
-                for text, name in zip(texts[start:end], names[start:end]):
-                    m = dict(zip(_COUNTS, measures(text)))
-                    ok = m["n_words"] >= 50 and 100 * m["n_repeat_words"] <= 50 * m["n_words"]
-                    keep.append(ok and not any(m[RULES[r][1]] > 0 and m[RULES[r][0]] / m[RULES[r][1]] > c for r, c in cutoffs.get(name, {}).items()))
-                yield batch.slice(start, end - start).filter(pa.array(keep, pa.bool_()))
+            keep = []
+            for text, name in zip(texts, names):
+                m = dict(zip(_COUNTS, measures(text)))
+                ok = m["n_words"] >= 50 and 100 * m["n_repeat_words"] <= 50 * m["n_words"]
+                keep.append(ok and not any(m[RULES[r][1]] > 0 and m[RULES[r][0]] / m[RULES[r][1]] > c for r, c in cutoffs.get(name, {}).items()))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(judge, docs.schema)

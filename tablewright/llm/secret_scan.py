@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import by_size, texts_of
 
 #: Findings made for each label.
 FINDINGS = 2_000
@@ -109,7 +109,7 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches):
             rows = []
             for key, text, path in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("path").to_pylist()):
                 for a, b in candidates(text):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slim, staged, texts_of
+from .common import by_size, slim, staged, texts_of
 
 DISTANCE = 2
 SHINGLE = 3
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches):
             fps = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim, staged, texts_of
+from .common import by_size, slim, staged, texts_of
 
 THRESHOLD = 0.3
 
@@ -85,7 +85,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     rows = slim(docs, "doc_id", "text").join(F.broadcast(few), "doc_id")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches):
             groups = [_sketch(t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text", "toxic")), pa.array(groups, pa.int64())], names=["doc_id", "text", "toxic", "group"])
 
@@ -98,7 +98,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, limits: Limits) -> list[st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in by_size(batches):
             for text, toxic in zip(texts_of(batch), batch.column("toxic").to_pylist()):
                 found = _terms(set(_WORD.findall(text.lower())))
                 found.add("")
@@ -166,7 +166,7 @@ def featurize(docs: DataFrame, learnt: list[str]) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(learnt)
-        for batch in batches:
+        for batch in by_size(batches):
             rows = [lexicon.read(t) for t in texts_of(batch)]
             votes, at, values = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "votes", "at", "value"])

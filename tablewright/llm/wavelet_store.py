@@ -29,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped_by_size, slim, staged, texts_of
+from .common import by_size, staged, texts_of
 from .packing import partition_offsets
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 
 MAGIC = b"TWWM0001"
 BLOCK = 512
@@ -198,15 +198,13 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int
             ids.clear()
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "shard", "before", "n_docs", "n_tokens", "data"])
 
-        for batch in batches:
-            texts, keys = texts_of(batch), batch.column("doc_id").to_pylist()
-            for a, b in grouped_by_size(texts):
-                for key, x in zip(keys[a:b], enc.encode(texts[a:b])):
-                    names.append(key)
-                    ids.append(x + end)
-                    held += len(ids[-1]) // enc.width
-                    if held >= shard_tokens:
-                        yield close()
+        for batch in by_size(batches, ENCODE_BYTES):
+            for key, x in zip(batch.column("doc_id").to_pylist(), enc.encode(texts_of(batch))):
+                names.append(key)
+                ids.append(x + end)
+                held += len(ids[-1]) // enc.width
+                if held >= shard_tokens:
+                    yield close()
         if names:
             yield close()
 
