@@ -137,3 +137,22 @@ def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     elif "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__drops").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
     return joined.drop("__id", "__drops", "__lines")
+
+
+#: The report in DuckDB's SQL: each distinct line's earliest place, and for long lines a comparison of words with one left out.
+ORACLE_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS w FROM l),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS o FROM w WHERE len(w) > 0),
+d AS (SELECT w, min(o) AS o, len(w) AS n FROM o GROUP BY w),
+v AS MATERIALIZED (SELECT o, n, w, unnest(generate_series(1, n)) AS i FROM d WHERE n >= 10),
+k AS MATERIALIZED (SELECT o, n, i, hash(list_concat(w[:i - 1], w[i + 1:])) AS key, list_concat(w[:i - 1], w[i + 1:]) AS rest FROM v),
+near AS (
+  SELECT b.o FROM k a JOIN k b ON a.key = b.key AND a.i = b.i AND a.n = b.n AND a.o < b.o AND a.rest = b.rest
+  UNION SELECT k.o FROM k JOIN d ON k.key = hash(d.w) AND k.rest = d.w AND d.o < k.o AND d.n >= 10
+  UNION SELECT d.o FROM k JOIN d ON k.key = hash(d.w) AND k.rest = d.w AND k.o < d.o AND d.n >= 10),
+gone AS (SELECT doc_id, line_no FROM o JOIN d USING (w) WHERE o.o > d.o UNION SELECT doc_id, line_no FROM o JOIN near USING (o)),
+left_ AS (SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.line_no) FILTER (g.doc_id IS NULL), '') AS text, count(*) AS n_lines, count(g.doc_id) AS n_dropped
+          FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id)
+SELECT doc_id, text, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped FROM left_
+"""

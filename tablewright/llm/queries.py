@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle_sql(), "op8_temperature_mixing": mixing.ORACLE_SQL}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op8_temperature_mixing": mixing.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
