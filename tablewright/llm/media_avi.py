@@ -6,6 +6,8 @@ both coder and decoder treat all rows of many frames at once, column by column.
 file: headers, a stream-data chunk that tells the payload's length, the frames and their index. Reading goes the way a
 player does: RIFF chunks, the index, the frames' markers, entropy decoding to samples.
 
+Other AVI files may hold baseline JPEG frames that bring their tables; those are decoded to luma samples one by one.
+
 Shots: the distance of consecutive frames' sample histograms is compared with mean and spread of the distances since
 the last cut. Each shot is a clip with its times.
 
@@ -182,6 +184,132 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return out.reshape(len(frames), pic.rows, pic.width)
 
 
+def _zigzag() -> list[int]:
+    """Row-major places of a block's coefficients in the order of the stream: diagonals, up and down in turn."""
+    return [8 * i + j for i, j in sorted(((i, j) for i in range(8) for j in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))]
+
+
+_ZIGZAG = _zigzag()
+_COSINES = np.array([[np.sqrt((1 if u else 0.5) / 4) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)])
+
+
+class _Bits:
+    """Reads one restart segment, without stuffed bytes, from its first bit on."""
+
+    def __init__(self, data: bytes):
+        self.data, self.pos = data + b"\xff" * 8, 0
+
+    def peek(self, count: int) -> int:
+        at, shift = divmod(self.pos, 8)
+        return int.from_bytes(self.data[at : at + 5], "big") >> (40 - shift - count) & ((1 << count) - 1)
+
+    def symbol(self, table: list[int]) -> int:
+        entry = table[self.peek(16)]
+        if not entry:
+            raise ValueError("no such code")
+        self.pos += entry >> 8
+        return entry & 255
+
+    def value(self, size: int) -> int:
+        if not size:
+            return 0
+        v = self.peek(size)
+        self.pos += size
+        return v if v >> (size - 1) else v - (1 << size) + 1
+
+
+def decode_baseline(frame: bytes) -> np.ndarray:
+    """The luma samples of a baseline (or extended sequential, 8-bit) JPEG frame that brings its own tables, shape (rows, width)."""
+    tables: dict[int, list[int]] = {}
+    quant: dict[int, np.ndarray] = {}
+    at, restart, parts = 2, 0, []
+    while True:
+        if frame[at] != 0xFF:
+            raise ValueError("a marker is missing")
+        kind, (size,) = frame[at + 1], struct.unpack_from(">H", frame, at + 2)
+        body, at = frame[at + 4 : at + 2 + size], at + 2 + size
+        if kind == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                n = 128 if wide else 64
+                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if wide else np.uint8).astype(np.float64)
+                body = body[1 + n :]
+        elif kind == _DHT:
+            while body:
+                n = sum(body[1:17])
+                tables[body[0]] = Picture._lookup(body[1:17], body[17 : 17 + n]).tolist()
+                body = body[17 + n :]
+        elif kind == _DRI:
+            (restart,) = struct.unpack(">H", body)
+        elif kind in (0xC0, 0xC1):
+            bits, rows, width, count = struct.unpack_from(">BHHB", body)
+            parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(count)]
+            if bits != 8:
+                raise ValueError("only samples of 8 bits are read")
+        elif kind == _SOS:
+            chosen = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
+            break
+        elif 0xC2 <= kind <= 0xCF:
+            raise ValueError("not a sequential Huffman frame")
+    if len(chosen) != len(parts) or not tables:
+        raise ValueError("one interleaved scan with its tables is read")
+    coded = frame[at:]
+    segments, start, i = [], 0, coded.find(b"\xff")
+    while i >= 0 and i + 1 < len(coded):
+        if coded[i + 1] == _EOI or 0xD0 <= coded[i + 1] <= 0xD7:
+            segments.append(coded[start:i].replace(b"\xff\0", b"\xff"))
+            start = i + 2
+            if coded[i + 1] == _EOI:
+                break
+        i = coded.find(b"\xff", i + 2)
+    most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
+    if len(parts) == 1:  # a single component is not interleaved: its units are blocks
+        parts, most_h, most_v = [(parts[0][0], 1, 1, parts[0][3])], 1, 1
+    across, down = -(-width // (8 * most_h)), -(-rows // (8 * most_v))
+    _, luma_h, luma_v, luma_q = parts[0]
+    blocks = np.zeros((down * luma_v, across * luma_h, 64))
+    per = restart or across * down
+    for unit in range(across * down):
+        if unit % per == 0:
+            reader, before = _Bits(segments[unit // per]), [0] * len(parts)
+        y, x = divmod(unit, across)
+        for k, (name, h, v, _) in enumerate(parts):
+            dc, ac = tables[chosen[name] >> 4], tables[0x10 | chosen[name] & 15]
+            for b in range(h * v):
+                before[k] += reader.value(reader.symbol(dc))
+                block = blocks[y * v + b // h, x * h + b % h] if k == 0 else None
+                if block is not None:
+                    block[0] = before[0]
+                n = 1
+                while n < 64:
+                    run, size = divmod(reader.symbol(ac), 16)
+                    if not size and run < 15:
+                        break
+                    n += run
+                    value = reader.value(size)
+                    if block is not None and n < 64:
+                        block[n] = value
+                    n += 1
+    square = np.zeros_like(blocks)
+    square[:, :, _ZIGZAG] = blocks * quant[luma_q]
+    samples = _COSINES @ square.reshape(*blocks.shape[:2], 8, 8) @ _COSINES.T + 128
+    plane = samples.transpose(0, 2, 1, 3).reshape(blocks.shape[0] * 8, -1)
+    high, wide = -(-rows * luma_v // most_v), -(-width * luma_h // most_h)
+    return np.clip(np.rint(plane[:high, :wide]), 0, 255).astype(np.uint8)
+
+
+def frame_histograms(frames: list[bytes]) -> np.ndarray:
+    """Histograms of lossless frames with equal headers, many at a time, or of baseline frames one by one."""
+    out = []
+    for k in range(0, len(frames), STEP):
+        some = frames[k : k + STEP]
+        if bytes([0xFF, _SOF3]) in some[0][: len(_HEAD)]:
+            out.append(histograms(decode_frames(some)))
+        else:
+            out += [histograms(decode_baseline(f)[None]) for f in some]
+    return np.concatenate(out) if out else np.zeros((0, HIST_BINS))
+
+
 def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
@@ -259,8 +387,7 @@ def shots(hist: np.ndarray) -> list[tuple[int, int]]:
 def clips(data: bytes) -> list[tuple[int, float, float, int]]:
     """Clip rows of an AVI file: number, start and end in seconds, frames."""
     frames, _, micros = read_avi(data)
-    hist = [histograms(decode_frames(frames[k : k + STEP])) for k in range(0, len(frames), STEP)]
-    return [(k, a * micros / 1e6, b * micros / 1e6, b - a) for k, (a, b) in enumerate(shots(np.concatenate(hist) if hist else np.zeros((0, HIST_BINS))))]
+    return [(k, a * micros / 1e6, b * micros / 1e6, b - a) for k, (a, b) in enumerate(shots(frame_histograms(frames)))]
 
 
 def padded(text: str) -> tuple[bytes, int]:
