@@ -125,7 +125,8 @@ def simhash_classes(docs: DataFrame, entry: int = ENTRY) -> DataFrame:
     linked = points.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.select("fp", "root").join(least, "root").select("fp", F.col("component_id").alias("__c"))
-    classes = points.join(named, "fp", "left").select("fp", F.coalesce("__c", "least").alias("component_id"))
+    # Stored, so that both sides of the last join come from plain exchanges and Spark can split a fingerprint with very many documents.
+    classes = staged(points.join(named, "fp", "left").select("fp", F.coalesce("__c", "least").alias("component_id")), "classes")
     return marks.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
