@@ -16,33 +16,46 @@ from pyspark.sql import functions as F
 GROUP_CHARS = 2_000_000
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder of this machine is created and registered.
+    local tests, it is a temporary folder of this machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tablewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _OWN_DIRS.setdefault(app, _OWN_DIRS.get(app) or "file://" + tempfile.mkdtemp(prefix="tablewright-"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _staging(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tablewright/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage durably: lost executors re-read the table, and Python
-    work above it is not repeated by each of its readers.
+    work above it is not repeated by each of its readers. ``drop_staged`` removes all of an application's.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tablewright/{name}-{uuid.uuid4().hex}"
+    path = f"{_staging(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete this application's staged tables. Call it once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_staging(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def by_size(batches: Iterator[pa.RecordBatch], limit: int = GROUP_CHARS, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts have ``limit`` bytes at most, a longer text by itself.
 
