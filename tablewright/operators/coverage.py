@@ -39,9 +39,9 @@ def bootstrap(incidence: DataFrame, replicates: int = REPLICATES, seed: int = SE
     pool = incidence.select("occasion").distinct().agg(F.array_sort(F.collect_list("occasion")).alias("pool"))
     draws = spark.range(replicates).select(F.col("id").alias("rep")).join(F.broadcast(pool)).withColumn("i", F.explode(F.expr("sequence(1, size(pool))")))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = draws.select("rep", F.get("pool", (number % F.size("pool")).cast("int")).alias("occasion"), F.size("pool").alias("t")).groupBy("rep", "t").agg(F.collect_set("occasion").alias("drawn"))
-    # Patterns times replicates; both sides are bounded by parameters and by the number of occasions.
-    met = drawn.join(F.broadcast(patterns(incidence))).withColumn("k", F.size(F.array_intersect("occasions", "drawn"))).where("k > 0")
+    drawn = draws.select("rep", F.get("pool", (number % F.size("pool")).cast("int")).alias("occasion"), F.size("pool").alias("t")).distinct()
+    held = patterns(incidence).select("occasions", "entities", F.explode("occasions").alias("occasion"))
+    met = drawn.join(held, "occasion").groupBy("rep", "t", "occasions").agg(F.count("*").alias("k"), F.first("entities").alias("entities"))
     sums = met.groupBy("rep", "t").agg(F.sum("entities").alias("s"), F.sum(F.when(F.col("k") == 1, F.col("entities")).otherwise(0)).alias("q1"), F.sum(F.when(F.col("k") == 2, F.col("entities")).otherwise(0)).alias("q2"))
     return sums.select("rep", chao2(F.col("s"), F.col("q1"), F.col("q2"), F.col("t")).alias("s_hat"))
 
