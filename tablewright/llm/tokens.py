@@ -4,8 +4,7 @@ The pre-tokenisation rule of the byte-level vocabularies never lets a piece reac
 character over the blanks behind it, nor from letters to what is none, and looks one
 character ahead at most. So a text may be cut into runs at such places, and the ids of
 the text are the ids of the runs in order. Words repeat, so each run is handed to the
-``tokenizers`` library until it has come up twice, and then looked up as long as the worker
-remembers it.
+``tokenizers`` library once, as long as the worker remembers it.
 """
 
 from __future__ import annotations
@@ -17,9 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Runs in one of a memo's two generations (some 200 bytes each).
-MEMO_RUNS = 400_000
-#: Slots, of a byte each, that tell by a run's hash whether it came up before.
-_SLOTS = 1 << 22
+MEMO_RUNS = 500_000
+#: Words that are encoded as one text: few enough that long texts do not slow the library down.
+_JOINED = 100
 #: Bytes of text to encode in one call: runs that come up twice in it are encoded once.
 ENCODE_BYTES = 4_000_000
 #: Longer texts are encoded slice by slice.
@@ -46,47 +45,36 @@ class RunEncoder:
         self.limit = memo
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.seen, self.noted = bytearray(_SLOTS), 0
         line = self._ids("\n")
         self.newline = line[0] if len(line) == 1 else None
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        """The ids of runs that the new generation lacks. Those seen before are remembered, single ones are not."""
+    def _learn(self, runs: set[str]) -> None:
+        """Afterwards the new generation has all of ``runs``; those that the old one has move on."""
         old, new = self.old, self.new
-        found = {r: ids for r in runs if (ids := old.get(r)) is not None} if old else {}
-        new.update(found)
-        unknown = [r for r in runs if r not in found] if found else list(runs)
-        plain = [r for r in unknown if r.lstrip(" ").isalpha() and r[:2] != "  "] if self.newline is not None else []
-        fresh: dict[str, bytes] = {}
-        # Words joined by line feeds are one call; a line feed stays a piece of its own before a letter or one blank.
-        for k in range(0, len(plain), 1000):
-            some = plain[k : k + 1000]
-            ids = np.array(self._ids("\n".join(some)), self.dtype)
-            cuts = np.flatnonzero(ids == self.newline)
-            if len(cuts) != len(some) - 1:
-                raise AssertionError("a word took the separator in")
-            raw, at = ids.tobytes(), 0
-            for run, end in zip(some, [*(cuts * self.width).tolist(), len(raw)]):
-                fresh[run] = raw[at:end]
-                at = end + self.width
-        other = [r for r in unknown if r not in fresh]
+        if old:
+            found = {r: ids for r in runs if (ids := old.get(r)) is not None}
+            new.update(found)
+            runs = runs.difference(found)
+        plain = [r for r in runs if r.lstrip(" ").isalpha() and r[:2] != "  "] if self.newline is not None else []
+        # Words joined by line feeds are one text; a line feed stays a piece of its own before a letter or one blank.
+        chunks = [plain[k : k + _JOINED] for k in range(0, len(plain), _JOINED)]
+        for k in range(0, len(chunks), 1000):
+            some = chunks[k : k + 1000]
+            for words, e in zip(some, self.tokenizer.encode_batch_fast(["\n".join(c) for c in some], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                cuts = np.flatnonzero(ids == self.newline)
+                if len(cuts) != len(words) - 1:
+                    raise AssertionError("a word took the separator in")
+                raw, at = ids.tobytes(), 0
+                for run, end in zip(words, [*(cuts * self.width).tolist(), len(raw)]):
+                    new[run] = raw[at:end]
+                    at = end + self.width
+        other = list(runs.difference(plain)) if plain else list(runs)
         for run, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            fresh[run] = np.array(e.ids, self.dtype).tobytes()
-        seen = self.seen
-        for run in unknown:
-            slot = hash(run) & _SLOTS - 1
-            if seen[slot]:
-                new[run] = fresh[run]
-            else:
-                seen[slot] = 1
-        self.noted += len(unknown)
-        if self.noted > _SLOTS // 2:
-            self.seen, self.noted = bytearray(_SLOTS), 0
-        fresh.update(found)
-        return fresh
+            new[run] = np.array(e.ids, self.dtype).tobytes()
 
     def _slices(self, text: str) -> Iterator[str]:
         at = 0
@@ -107,10 +95,10 @@ class RunEncoder:
         get = self.new.get
         ids = [list(map(get, c)) for c in cut]
         gaps = [[i for i, v in enumerate(x) if v is None] if None in x else () for x in ids]
-        fresh = self._learn({c[i] for c, gap in zip(cut, gaps) for i in gap})
+        self._learn({c[i] for c, gap in zip(cut, gaps) for i in gap})
         for c, x, gap in zip(cut, ids, gaps):
             for i in gap:
-                x[i] = fresh[c[i]]
+                x[i] = get(c[i])
         if len(self.new) >= self.limit:  # a generation may hold one group of texts more
             self.old, self.new = self.new, {}
         return list(map(b"".join, ids))
