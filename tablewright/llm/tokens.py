@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Runs in one of a memo's two generations (some 200 bytes each).
-MEMO_RUNS = 500_000
+MEMO_RUNS = 200_000
 #: Words that are encoded as one text: few enough that long texts do not slow the library down.
 _JOINED = 100
 #: Bytes of text to encode in one call: runs that come up twice in it are encoded once.
