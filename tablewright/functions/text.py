@@ -186,6 +186,33 @@ def next_page_url(url: Column) -> Column:
     return out
 
 
+def absolute_url(href: Column, base: Column) -> Column:
+    """A link's address as seen from the page ``base``."""
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.regexp_replace(F.when(page == origin, F.concat(page, F.lit("/"))).otherwise(page), r"[^/]*$", "")
+    return (
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(scheme, href))
+        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
+        .when(F.startswith(href, F.lit("?")), F.concat(page, href))
+        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
+        .otherwise(F.concat(folder, F.regexp_replace(href, r"^(\./)+", "")))
+    )
+
+
+def next_link(html: Column, url: Column) -> Column:
+    """The next page: a link or anchor marked as next, an anchor that reads so, else the page parameter one higher."""
+    found = [F.regexp_extract(html, p, 1) for p in (
+        r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["'][^"']*\bnext\b)[^>]*?\bhref\s*=\s*["']([^"']+)["']""",
+        r"""(?is)<a\b(?=[^>]*\brel\s*=\s*["'][^"']*next)[^>]*?\bhref\s*=\s*["']([^"']+)["']""",
+        r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["'][^>]*>\s*(?:next|next »|next →|›|»)\s*</a""",
+    )]
+    href = F.coalesce(*(F.nullif(f, F.lit("")) for f in found))
+    return F.when(href.isNotNull(), absolute_url(href, url)).otherwise(next_page_url(url))
+
+
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit("([a-z0-9]+)"), F.lit(1))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 import ipaddress
+import json
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -93,3 +96,41 @@ def decode_bytes(content: pd.Series, charset: pd.Series) -> pd.Series:
         return bytes(raw).decode("cp1252", errors="replace")
 
     return pd.Series([one(r, c) for r, c in zip(content, charset)], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def robots_allow(body: pd.Series, status: pd.Series, url: pd.Series, agent: pd.Series) -> pd.Series:
+    """Whether a site's robots file lets an agent fetch a URL. A missing file, or one that was answered with an error, allows all."""
+    known: dict[str, RobotFileParser] = {}
+
+    def one(text: str | None, code: float | None, address: str | None, name: str | None) -> bool:
+        if address is None:
+            return False
+        if text is None or (code is not None and code >= 400):
+            return True
+        if text not in known:
+            known[text] = RobotFileParser()
+            known[text].parse(text.splitlines())
+        return known[text].can_fetch(name or "*", address)
+
+    return pd.Series([one(*row) for row in zip(body, status.astype(object).where(status.notna(), None), url, agent)], dtype=bool)
+
+
+@F.pandas_udf(T.StringType())
+def literal_as_json(raw: pd.Series) -> pd.Series:
+    """Error texts that hold a Python dictionary, with that as JSON; others as they are."""
+
+    def one(text: str | None) -> str | None:
+        if text is None or "{" not in text or "}" not in text:
+            return text
+        start, end = text.find("{"), text.rfind("}") + 1
+        try:
+            json.loads(text[start:end])
+        except ValueError:
+            try:
+                return text[:start] + json.dumps(ast.literal_eval(text[start:end])) + text[end:]
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+                pass
+        return text
+
+    return raw.map(one)

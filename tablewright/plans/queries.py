@@ -93,6 +93,19 @@ def public_ip(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "events").select("user_id").distinct().select("user_id", a.alias("address")).withColumn("public", web.public_address("address"))
 
 
+@query
+def robots_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that their site's robots file allows; a file for each domain, joined by it."""
+    pages = S.table(spark, sf, "pages").select("page_id", "url", X.canonical_domain(F.col("url")).alias("domain"))
+    rules = pages.groupBy("domain").agg(F.count("*").alias("n")).select("domain", F.when(F.col("n") % 2 == 0, "User-agent: *\nDisallow: /p").otherwise("").alias("body"), F.when(F.col("n") % 3 == 0, 404).otherwise(200).alias("status"))
+    return pages.join(rules, "domain").select("page_id", web.robots_allow("body", "status", "url", F.lit("tablewright")).alias("allowed"))
+
+
+@query
+def next_link(spark: SparkSession, sf: str) -> DataFrame:
+    return S.table(spark, sf, "pages").select("page_id", X.next_link(F.col("html"), F.col("url")).alias("next_url"))
+
+
 @query
 def decode_bytes(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.table(spark, sf, "documents").select("doc_id", F.encode(F.substring("text", 1, 200), "UTF-8").alias("raw"))

@@ -80,3 +80,25 @@ def test_compliance(spark):
 def test_decode(spark):
     rows = spark.createDataFrame([(bytearray(b"it\x92s"), None), (bytearray("é".encode()), None), (bytearray(b"\xe9"), "latin-1"), (None, None)], "b binary, c string")
     assert [r[0] for r in rows.select(web.decode_bytes("b", "c")).collect()] == ["it’s", "é", "é", None]
+
+
+def test_next_links(spark):
+    base = "https://a.b/c/d?x=1"
+    cases = {
+        '<link href="/n" rel="next">': "https://a.b/n", '<a rel="next" href="e">x</a>': "https://a.b/c/e", '<a href="?page=2"> Next </a>': "https://a.b/c/d?page=2",
+        '<a href="//o.p/q">»</a>': "https://o.p/q", '<a href="http://z/">next</a>': "http://z/", "<a href='k'>nextdoor</a>": None,
+    }
+    assert results(spark, list(cases), lambda c: X.next_link(c, F.lit(base))) == list(cases.values())
+    assert results(spark, ["<p>"], lambda c: X.next_link(c, F.lit("https://a.b/?p=3"))) == ["https://a.b/?p=4"]
+    assert results(spark, ["x"], lambda c: X.absolute_url(c, F.lit("https://a.b"))) == ["https://a.b/x"]
+
+
+def test_robots(spark):
+    body = "User-agent: *\nDisallow: /private"
+    rows = spark.createDataFrame([(body, 200, "https://a.b/private/x"), (body, 200, "https://a.b/open"), (body, 503, "https://a.b/private/x"), (None, None, "https://a.b/private"), ("", 200, None)], "b string, s int, u string")
+    assert [r[0] for r in rows.select(web.robots_allow("b", "s", "u", F.lit("bot"))).collect()] == [False, True, True, True, False]
+
+
+def test_errors(spark):
+    cases = {"Error: {'error': {'message': 'bad thing '}}": "bad thing", '{"error": "flat"}': "flat", "plain ": "plain", "": "An unexpected pipeline error occurred.", "odd {x} text": "odd {x} text", '{"message": "m"}': "m"}
+    assert results(spark, list(cases), lambda c: X.error_message(web.literal_as_json(c))) == list(cases.values())
