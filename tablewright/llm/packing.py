@@ -42,6 +42,7 @@ def encode_partitions(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             places = place + np.cumsum(sizes) - sizes
             place += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), batch.column("doc_id"), pa.array(places), pa.array(sizes), pa.array(ids, pa.binary())], names=["part", "doc_id", "place", "n_tokens", "ids"])
+        enc.rest()
 
     return slim(docs, "doc_id", "text").mapInArrow(encode, f"part int, doc_id {kind}, place bigint, n_tokens bigint, ids binary")
 

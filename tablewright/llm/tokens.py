@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Runs in one of a memo's two generations (some 200 bytes each).
-MEMO_RUNS = 200_000
+MEMO_RUNS = 300_000
+#: Seconds after which an idle worker gives its memo up.
+REST_S = 3.0
 #: Words that are encoded as one text: few enough that long texts do not slow the library down.
 _JOINED = 100
 #: Bytes of text to encode in one call: runs that come up twice in it are encoded once.
@@ -45,15 +48,25 @@ class RunEncoder:
         self.limit = memo
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.timer: threading.Timer | None = None
         line = self._ids("\n")
         self.newline = line[0] if len(line) == 1 else None
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, runs: set[str]) -> None:
-        """Afterwards the new generation has all of ``runs``; those that the old one has move on."""
-        old, new = self.old, self.new
+    def rest(self) -> None:
+        """To be called at a task's end: a worker that is not used again soon gives its memo up, so idle ones hold no memory."""
+        self.timer = threading.Timer(REST_S, self._forget)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def _forget(self) -> None:
+        self.old, self.new = {}, {}
+
+    def _learn(self, runs: set[str], new: dict[str, bytes]) -> None:
+        """Afterwards ``new`` has all of ``runs``; those that the old generation has move on."""
+        old = self.old
         if old:
             found = {r: ids for r in runs if (ids := old.get(r)) is not None}
             new.update(found)
@@ -92,15 +105,16 @@ class RunEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [_RUN.findall(t) for t in texts]
-        get = self.new.get
+        new = self.new
+        get = new.get
         ids = [list(map(get, c)) for c in cut]
         gaps = [[i for i, v in enumerate(x) if v is None] if None in x else () for x in ids]
-        self._learn({c[i] for c, gap in zip(cut, gaps) for i in gap})
+        self._learn({c[i] for c, gap in zip(cut, gaps) for i in gap}, new)
         for c, x, gap in zip(cut, ids, gaps):
             for i in gap:
                 x[i] = get(c[i])
-        if len(self.new) >= self.limit:  # a generation may hold one group of texts more
-            self.old, self.new = self.new, {}
+        if len(new) >= self.limit:  # a generation may hold one group of texts more
+            self.old, self.new = new, {}
         return list(map(b"".join, ids))
 
 
@@ -109,4 +123,6 @@ def encoder(path: str, memo: int = MEMO_RUNS) -> RunEncoder:
     key = (path, memo)
     if key not in _ENCODERS:
         _ENCODERS[key] = RunEncoder(path, memo)
+    if _ENCODERS[key].timer:
+        _ENCODERS[key].timer.cancel()
     return _ENCODERS[key]

@@ -207,6 +207,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int
                     yield close()
         if names:
             yield close()
+        enc.rest()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return staged(ordered.mapInArrow(encode, "part int, shard int, before bigint, n_docs bigint, n_tokens bigint, data binary"), "shards")
