@@ -88,7 +88,8 @@ def links(points: DataFrame, entry: int = ENTRY) -> DataFrame:
     probes = points.select(F.col("fp").alias("a"), F.explode(F.expr(_segments("fp"))).alias("t")).select("a", "t.s", F.explode(F.expr(ball)).alias("c")).select("a", "s", "c.r", "c.k")
     full = staged(table.groupBy("s", "k").count().where(F.col("count") > entry).select("s", "k"), "full")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE) & ((F.col("r") == 1) | (F.col("a") < F.col("b")))
-    found = probes.join(table.join(full, ["s", "k"], "left_anti"), ["s", "k"]).where(near).select("a", "b")
+    # Spark takes exploded rows for as many as their table's; the hint keeps it from broadcasting them.
+    found = probes.join(table.join(full, ["s", "k"], "left_anti").hint("merge"), ["s", "k"]).where(near).select("a", "b")
     if not full.isEmpty():
         # Other segment of the wanted fingerprint: all values within the radius that is left.
         flips = [sum(c) for r in range(DISTANCE + 1) for c in combinations(_BITS, r)]
@@ -97,7 +98,7 @@ def links(points: DataFrame, entry: int = ENTRY) -> DataFrame:
         other = f"IF(s = 0, a & {_MASK}L, shiftrightunsigned(a, {_HALF}))"
         moved = crowded.select("a", "s", "r", "k", F.explode(F.expr(f"IF(r = 0, {_longs(flips)}, {_longs(near_flips)})")).alias("f"))
         wanted = moved.select("a", "r", F.expr(f"IF(s = 0, shiftleft(k, {_HALF}) | ({other} ^ f), shiftleft({other} ^ f, {_HALF}) | k)").alias("fp")).where((F.col("r") == 1) | (F.col("a") < F.col("fp")))
-        found = found.unionByName(wanted.join(points.select("fp"), "fp").select("a", F.col("fp").alias("b")))
+        found = found.unionByName(wanted.join(points.select("fp").hint("merge"), "fp").select("a", F.col("fp").alias("b")))
     return found.distinct()
 
 
