@@ -131,13 +131,17 @@ def simhash_classes(docs: DataFrame, entry: int = ENTRY) -> DataFrame:
     return marks.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the smallest id, with its columns.
+def one_of_each(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The documents whose ids ``keep`` has as ``__id``, with their columns.
 
     Rows that repeat an id are one document, of which one row stays. Rows with a null id cannot be told
     apart and all stay.
     """
-    keep = simhash_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     named = docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("__id"), "left_semi")
     once = named.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__n = 1").drop("__n")
     return once.unionByName(docs.where("doc_id IS NULL"))
+
+
+def simhash_dedup(docs: DataFrame) -> DataFrame:
+    """One document of each class, the one with the smallest id, as ``one_of_each`` gives it."""
+    return one_of_each(docs, simhash_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct())
