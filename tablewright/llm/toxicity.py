@@ -145,7 +145,7 @@ class Lexicon:
         times = sum(1 for w in words if w in strong) if strong else 0
         aimed = bool(bad) and any(m in bad for m in _AIMED.findall(lower))
         marks = text.count("!")
-        upper = sum(1 for w in text.split()[:50_000] if len(w) > 2 and w.isupper()) if marks else 0
+        upper = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if marks else 0
         votes = {k: "t" if v else "-" for k, v in hit.items()}
         votes["dense"] = "t" if times >= 2 or times and 50 * times >= len(words) else "-"
         votes["aimed"] = "t" if aimed else "-"

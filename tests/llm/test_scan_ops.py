@@ -258,3 +258,9 @@ def test_filter_and_report_agree(small, spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     want = sorted(r["doc_id"] for r in quality_rules.quality_report(small, labels).where("kept").collect())
     assert sorted(r["doc_id"] for r in quality_rules.quality_filter(small, labels).collect()) == want
+
+
+def test_shouting_counts_wherever_it_stands():
+    text = "quiet " * 50_001 + "LOUD " * 30_000 + "!"
+    votes, at, _ = toxicity.Lexicon([]).read(text)
+    assert votes[toxicity.VOTERS.index("shout")] == "t" and toxicity.Lexicon([]).dense + 4 in at
