@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _CASE = "CASE month(o_orderdate) " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate("January February March April May June July August September October November December".split(), 1)) + " END"
 
@@ -48,11 +49,15 @@ def incidence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as entities with a discount that suppliers claim; a supplier's nation is its domain."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_returnflag = 'R'")
+    """Parts as entities with a discount that suppliers claim; a supplier's nation is its domain.
+
+    Rows may share order and line; ``seq`` orders these by what they claim, and is total for fewer than 1000 lines of an order and rows of a line.
+    """
+    line = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_discount", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").withColumn("seq", (F.col("l_orderkey").cast("long") * 1000 + F.col("l_linenumber")) * 1000 + F.row_number().over(line))
     nations = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return rows.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.col("l_partkey").cast("string").alias("entity"), F.lit("discount").alias("field"), F.col("l_orderkey").alias("seq"), F.col("l_discount").cast("string").alias("value"),
+        F.col("l_partkey").cast("string").alias("entity"), F.lit("discount").alias("field"), "seq", F.col("l_discount").cast("string").alias("value"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("url"), F.col("s_nationkey").cast("string").alias("domain"), (F.col("l_quantity") / 50).alias("support"))
 
 
