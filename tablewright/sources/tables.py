@@ -40,12 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def incidence_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as entities, years as occasions."""
-    return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("occasion"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("occasion"))
 
 
 def incidence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as entities, days as occasions."""
-    return table(spark, sf_dir, "events").where("event_type = 'error' AND ts < timestamp_ntz'2024-01-08'").select(F.col("user_id").alias("entity"), F.dayofmonth("ts").alias("occasion"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("entity"), F.to_date("ts").alias("occasion"))
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

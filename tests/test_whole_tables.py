@@ -24,3 +24,12 @@ ALL_CLAIMS = CLAIMS.replace("l_orderkey AS seq", SEQ).replace(" WHERE l_linenumb
 @pytest.mark.parametrize("name", ["kbt_voters", "kbt_probs", "kbt_winner", "conflicts_resolved", "upsert_records", "export_rows", "has_conflict", "claims_filtered"])
 def test_all_claims(spark, name):
     assert not differences(QUERIES[name](spark, SF), whole(name, (CLAIMS, ALL_CLAIMS)), SF)
+
+
+ALL_ORDERS = [(" WHERE o_orderpriority = '1-URGENT'", "")]
+ALL_EVENTS = [("day(ts) AS occasion", "CAST(ts AS DATE) AS occasion"), (" WHERE event_type = 'error' AND ts < '2024-01-08'", "")]
+
+
+@pytest.mark.parametrize("name, changes", [(n, ALL_ORDERS) for n in ("chao2_estimate", "bootstrap_ci", "coverage_summary", "coverage_trajectory", "stop_capture", "stream_coverage")] + [(n, ALL_EVENTS) for n in ("chao2_events", "marginal_yield")])
+def test_all_detections(spark, name, changes):
+    assert not differences(QUERIES[name](spark, SF), whole(name, *changes), SF)
