@@ -33,3 +33,10 @@ ALL_EVENTS = [("day(ts) AS occasion", "CAST(ts AS DATE) AS occasion"), (" WHERE
 @pytest.mark.parametrize("name, changes", [(n, ALL_ORDERS) for n in ("chao2_estimate", "bootstrap_ci", "coverage_summary", "coverage_trajectory", "stop_capture", "stream_coverage")] + [(n, ALL_EVENTS) for n in ("chao2_events", "marginal_yield")])
 def test_all_detections(spark, name, changes):
     assert not differences(QUERIES[name](spark, SF), whole(name, *changes), SF)
+
+
+def test_components_link_every_supplier(spark, tmp_path):
+    rows = [(1, 5, 1), (1, 7, 2), (1, 9, 3), (2, 9, 4), (2, 11, 1), (3, 2, 5), (46, 4, 1), (46, 3, 2), (46, 6, 1)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in QUERIES["entity_components"](spark, str(tmp_path)).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 5), (2, 2), (3, 3), (4, 3), (6, 3)}
