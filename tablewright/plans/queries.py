@@ -108,7 +108,7 @@ def next_link(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def decode_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.table(spark, sf, "documents").select("doc_id", F.encode(F.substring("text", 1, 200), "UTF-8").alias("raw"))
+    rows = S.table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
     return rows.select("doc_id", F.md5(web.decode_bytes("raw", F.lit(None).cast("string"))).alias("decoded_md5"))
 
 
@@ -179,7 +179,7 @@ def public_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def premise_hypothesis(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 900).alias("quote"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 101, 500)).alias("context"), "lang")
+    rows = S.table(spark, sf, "documents").select("doc_id", F.col("text").alias("quote"), F.when(F.col("doc_id") % 2 == 0, F.expr("substring(text, 101)")).alias("context"), "lang")
     return rows.select("doc_id", F.md5(X.build_premise(F.col("quote"), F.col("context"))).alias("premise_md5"), X.build_hypothesis(F.col("lang"), F.lit("language"), F.col("doc_id").cast("string")).alias("hypothesis"))
 
 

@@ -1,5 +1,7 @@
 """Queries over all rows of their tables. The SQL is the registered one without its row filters, which the registered one still has."""
 
+import hashlib
+
 import pytest
 from compare import differences
 
@@ -40,3 +42,17 @@ def test_components_link_every_supplier(spark, tmp_path):
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {tuple(r) for r in QUERIES["entity_components"](spark, str(tmp_path)).collect()}
     assert got == {(5, 5), (7, 5), (9, 5), (11, 5), (2, 2), (3, 3), (4, 3), (6, 3)}
+
+
+@pytest.mark.parametrize("name, changes", [("decode_bytes", [("substr(text, 1, 200)", "text")]), ("premise_hypothesis", [("substr(text, 1, 900)", "text"), ("substr(text, 101, 500)", "substr(text, 101)")])])
+def test_whole_texts(spark, name, changes):
+    assert not differences(QUERIES[name](spark, SF), whole(name, *changes), SF)
+
+
+def test_premise_is_filled_past_blanks(spark, tmp_path):
+    text = "a" + " " * 2000 + "b" * 700
+    spark.createDataFrame([(1, text, "en"), (2, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["premise_md5"] for r in QUERIES["premise_hypothesis"](spark, str(tmp_path)).collect()}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    q = "a " + "b" * 700
+    assert got == {1: md5(q[:600]), 2: md5(("b" * 300 + " ... " + q)[:600])}
