@@ -118,17 +118,29 @@ def content_type_filter(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "pages").select("page_id", kind.alias("content_type")).where(F.col("content_type").contains("html") | F.col("content_type").contains("text"))
 
 
-def _evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """A benchmark passage for each document, by number: an equi-join with the small table."""
-    items = S.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
-    n = F.expr("doc_id % 40")
-    return S.table(spark, sf, "documents").select("doc_id", n.alias("item_id"), "text").join(items, "item_id")
+#: Words of a passage on which it meets pages.
+WINDOW = 5
 
 
 @query
 def quote_on_page(spark: SparkSession, sf: str) -> DataFrame:
-    own = F.substring("text", 11, 60)
-    return _evidence(spark, sf).select("doc_id", X.quote_on_page(F.col("quote"), F.col("text")).alias("passage_on_page"), X.quote_on_page(F.concat(F.lit("  "), own), F.col("text")).alias("own_on_page"))
+    """Each document with the benchmark passages it holds, one row for each, or a null ``item_id``.
+
+    A page that holds a passage has all its inner words as whole words, so both meet on a window of these and the predicate decides.
+    Passages too short for a window are looked for on every page.
+    """
+    docs = S.table(spark, sf, "documents").select("doc_id", "text", F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")).alias("page")).withColumn("h", F.xxhash64("page"))
+    items = S.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")).withColumn("words", F.split(X.norm_text(F.col("quote")), " "))
+    enough = F.size("words") >= WINDOW + 2
+    window = lambda words, at: F.xxhash64(F.array_join(F.slice(words, at, WINDOW), " "))
+    keyed = items.where(enough).select("item_id", "quote", window(F.col("words"), F.lit(2)).alias("w"))
+    spots = docs.select("h", truth._once(F.split("page", " ")).alias("words"))
+    spots = spots.select("h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - WINDOW + 1)), lambda i: window(F.col("words"), i)))).alias("w"))
+    found = docs.select("h", "text").join(spots.join(keyed, "w").select("h", "item_id", "quote").distinct(), "h")
+    short = docs.select("h", "text").crossJoin(items.where(~enough).select("item_id", "quote"))
+    hits = found.unionByName(short).where(X.quote_on_page(F.col("quote"), F.col("text"))).select("h", "item_id").distinct()
+    own = X.quote_on_page(F.concat(F.lit("  "), F.substring("text", 11, 60)), F.col("text"))
+    return docs.select("doc_id", "h", own.alias("own_on_page")).join(hits, "h", "left").select("doc_id", "item_id", "own_on_page")
 
 
 @query

@@ -56,3 +56,25 @@ def test_premise_is_filled_past_blanks(spark, tmp_path):
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     q = "a " + "b" * 700
     assert got == {1: md5(q[:600]), 2: md5(("b" * 300 + " ... " + q)[:600])}
+
+
+def test_every_passage_on_every_page(spark, tmp_path):
+    long = "One two  three four five six seven eight nine"
+    items = [(0, long), (41, "alpha beta gamma delta epsilon zeta eta theta"), (107, "short one"), (150, " "), (199, None)]
+    docs = [(0, "x alpha beta gamma delta epsilon zeta eta theta y"), (1, "bone TWO three\nfour five six seven eight nineteen and a short  one"), (1, "another short one"), (None, long), (-7, long + " " + long), (5, "one two three four five six seven eight"), (6, None), (7, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = lambda t: " ".join((t or "").lower().split())
+    want = []
+    for k, t in docs:
+        hits = [i for i, q in items if norm(q) and norm(q) in norm(t)]
+        want += [(k, i) for i in hits or [None]]
+    got = QUERIES["quote_on_page"](spark, str(tmp_path)).select("doc_id", "item_id").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) == 9
+
+
+def test_passages_of_the_tables(spark):
+    sql = r"""WITH d AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS page, lower(trim(regexp_replace(substr(text, 11, 60), '\s+', ' ', 'g'))) AS own FROM documents),
+b AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS q FROM benchmark)
+SELECT doc_id, item_id, own <> '' AND contains(page, own) AS own_on_page FROM d LEFT JOIN b ON q <> '' AND contains(page, q)"""
+    assert not differences(QUERIES["quote_on_page"](spark, SF), sql, SF)
