@@ -25,7 +25,9 @@ ALL_CLAIMS = CLAIMS.replace("l_orderkey AS seq", SEQ).replace(" WHERE l_linenumb
 
 @pytest.mark.parametrize("name", ["kbt_voters", "kbt_probs", "kbt_winner", "conflicts_resolved", "upsert_records", "export_rows", "has_conflict", "claims_filtered"])
 def test_all_claims(spark, name):
-    assert not differences(QUERIES[name](spark, SF), whole(name, (CLAIMS, ALL_CLAIMS)), SF)
+    sf = SF if name != "claims_filtered" else SF.replace("0.001", "0.01")  # the smallest tables have no claim of the wanted domain
+    df = QUERIES[name](spark, sf)
+    assert df.count() > 0 and not differences(df, whole(name, (CLAIMS, ALL_CLAIMS)), sf)
 
 
 ALL_ORDERS = [(" WHERE o_orderpriority = '1-URGENT'", "")]
