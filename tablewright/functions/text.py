@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Month names and their usual short forms, by number.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 MONTH_NUMBER = {m: i for i, m in enumerate(MONTHS, 1)} | {m[:3]: i for i, m in enumerate(MONTHS, 1)} | {"sept": 9}
-_MONTH = "|".join(sorted(MONTH_NUMBER, key=len, reverse=True))
 
 # Magnitude words for a single value, and the smaller set for numbers inside a text.
 MAGNITUDES = {"k": 1e3, "thousand": 1e3, "lakh": 1e5, "lakhs": 1e5, "m": 1e6, "mn": 1e6, "mm": 1e6, "million": 1e6, "cr": 1e7, "crore": 1e7, "crores": 1e7, "b": 1e9, "bn": 1e9, "billion": 1e9, "t": 1e12, "tn": 1e12, "trillion": 1e12}
@@ -33,6 +34,11 @@ def lookup(table: dict, key: Column) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row, however often and in whichever branches the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """Runs of blanks, with no-break spaces among them, as one space; none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -93,40 +99,58 @@ def single_year(c: Column) -> Column:
     return F.when(F.size(found) == 1, F.get(found, F.lit(0)).cast("int"))
 
 
+def _month(token: Column) -> Column:
+    """Two digits of a month's name, or null."""
+    return F.lpad(lookup(MONTH_NUMBER, F.lower(token)).cast("string"), 2, "0")
+
+
+def _day(token: Column) -> Column:
+    """Two digits of a day with or without an ordinal ending, or null."""
+    return F.lpad(F.nullif(F.regexp_extract(token, r"(?i)^(\d{1,2})(?:st|nd|rd|th)?$", 1), F.lit("")), 2, "0")
+
+
+def _year(token: Column) -> Column:
+    return F.when(token.rlike(r"^\d{4}$"), token)
+
+
+def _worded_date(t: Column, hint: Column) -> Column:
+    """A date from two or three words: day and month in either order with a year or the hint's, or month and year."""
+    n, first, second = F.size(t), F.get(t, F.lit(0)), F.get(t, F.lit(1))
+    bare = lambda x: F.regexp_replace(x, r"\.?,?$", "")
+    year = F.when(n == 3, _year(F.get(t, F.lit(2)))).when(n == 2, hint)
+    real = lambda m, d: F.date_format(F.try_to_date(F.concat(year, F.lit("-"), m, F.lit("-"), d), "yyyy-MM-dd"), "yyyy-MM-dd")
+    behind = F.when(n == 3, F.regexp_replace(second, ",$", "")).otherwise(second)
+    return F.coalesce(
+        real(_month(bare(second)), _day(first)),
+        real(_month(F.regexp_replace(first, r"\.$", "")), _day(behind)),
+        F.when(n == 2, F.concat(_year(second), F.lit("-"), _month(bare(first)))),
+    )
+
+
 def normalize_date(c: Column, year_hint: Column | None = None) -> Column:
     """ISO date, month or year where the text is unambiguous; else the text as it is."""
-    s = collapse(c)
-    ordinal = "(?:st|nd|rd|th)?"
-    full = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ].*)?$"
-    month = r"^(\d{4})-(\d{2})$"
-    dmy = rf"(?i)^(\d{{1,2}}){ordinal}\s+({_MONTH})\.?,?(?:\s+(\d{{4}}))?$"
-    mdy = rf"(?i)^({_MONTH})\.?\s+(\d{{1,2}}){ordinal}(?:,?\s+(\d{{4}}))?$"
-    my = rf"(?i)^({_MONTH})\.?,?\s+(\d{{4}})$"
-    part = lambda p, i: F.regexp_extract(s, p, i)
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    named = lambda x: two(lookup(MONTH_NUMBER, F.lower(x)))
-    real = lambda y, m, d: F.date_format(F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MM-dd"), "yyyy-MM-dd")
     hint = year_hint.cast("string") if year_hint is not None else F.lit(None).cast("string")
-    year = lambda x: F.coalesce(F.nullif(x, F.lit("")), hint)
-    dated = lambda y, m, d: F.when(y.isNotNull(), real(y, m, d))
-    out = (
-        F.when(s.rlike(full), real(part(full, 1), part(full, 2), part(full, 3)))
-        .when(s.rlike(month), F.when(part(month, 2).between("01", "12"), s))
-        .when(s.rlike(r"^\d{4}$"), s)
-        .when(s.rlike(dmy), dated(year(part(dmy, 3)), named(part(dmy, 2)), two(part(dmy, 1))))
-        .when(s.rlike(mdy), dated(year(part(mdy, 3)), named(part(mdy, 1)), two(part(mdy, 2))))
-        .when(s.rlike(my), F.concat_ws("-", part(my, 2), named(part(my, 1))))
-    )
-    return F.coalesce(out, c)
+
+    def iso(s: Column) -> Column:
+        return (
+            F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]|$)"), F.date_format(F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"), "yyyy-MM-dd"))
+            .when(s.rlike(r"^\d{4}-\d{2}$"), F.when(F.substring(s, 6, 2).between("01", "12"), s))
+            .when(s.rlike(r"^\d{4}$"), s)
+            .otherwise(let(F.split(s, " "), lambda t: F.when(F.size(t).between(2, 3), _worded_date(t, hint))))
+        )
+
+    return F.coalesce(let(collapse(c), iso), c)
 
 
 def normalize_number(c: Column) -> Column:
     """The number that a text is, with its magnitude word; null where the text is anything else and stays as it is."""
-    s = collapse(F.regexp_replace(F.lower(c), AROUND_NUMBER, " "))
     shape = r"^(\d[\d,]*(?:\.\d+)?)\s*([a-z]+)?$"
-    suffix = F.regexp_extract(s, shape, 2)
-    factor = F.when(suffix == "", F.lit(1.0)).otherwise(lookup(MAGNITUDES, suffix))
-    return F.when(s.rlike(shape), F.replace(F.regexp_extract(s, shape, 1), F.lit(","), F.lit("")).cast("double") * factor)
+
+    def scaled(s: Column) -> Column:
+        digits = F.replace(F.regexp_extract(s, shape, 1), F.lit(","), F.lit("")).cast("double")
+        return F.when(s.rlike(shape), let(F.regexp_extract(s, shape, 2), lambda word: digits * F.when(word == "", F.lit(1.0)).otherwise(lookup(MAGNITUDES, word))))
+
+    return let(collapse(F.regexp_replace(F.lower(c), AROUND_NUMBER, " ")), scaled)
 
 
 def number_text(n: Column) -> Column:
@@ -140,12 +164,15 @@ def normalize_value(c: Column, kind: Column, year_hint: Column | None = None) ->
     return F.when(c.isNull() | (c == ""), c).when(kind == "date", normalize_date(c, year_hint)).when(kind == "number", number).otherwise(c)
 
 
+# What narrows a search, in the order in which it is taken out.
+NARROWING = (r"(?i)\bsite:\S+", r'["“”]', r"\b(AND|OR|NOT)\b", r"(^|\s)-\w+")
+
+
 def relax_query(c: Column) -> Column:
     """A search query without the operators that narrow it."""
-    s = F.regexp_replace(c, r"(?i)\bsite:\S+", " ")
-    s = F.translate(s, '"“”', "   ")
-    s = F.regexp_replace(s, r"\b(AND|OR|NOT)\b", " ")
-    return collapse(F.regexp_replace(s, r"(^|\s)-\w+", " "))
+    for pattern in NARROWING:
+        c = F.regexp_replace(c, pattern, " ")
+    return collapse(c)
 
 
 def dedupe_consecutive(lines: Column) -> Column:
@@ -217,11 +244,12 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+_IN_TEXT = rf"(\d[\d,]*(?:\.\d+)?)\s*({'|'.join(sorted(TEXT_MAGNITUDES, key=len, reverse=True))})?(?![a-z])"
+
+
 def numbers_in(c: Column) -> Column:
     """Every number of a lower-case text with its magnitude word."""
-    words = "k|thousand|lakhs?|mn|m|million|crores?|cr|bn|b|billion"
-    shape = rf"(\d[\d,]*(?:\.\d+)?)\s*({words})?(?![a-z])"
-    pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(shape), F.lit(1)).alias("n"), F.regexp_extract_all(c, F.lit(shape), F.lit(2)).alias("w"))
+    pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(_IN_TEXT), F.lit(1)).alias("n"), F.regexp_extract_all(c, F.lit(_IN_TEXT), F.lit(2)).alias("w"))
     return F.transform(pairs, lambda p: F.replace(p["n"], F.lit(","), F.lit("")).cast("double") * F.coalesce(lookup(TEXT_MAGNITUDES, p["w"]), F.lit(1.0)))
 
 
@@ -231,16 +259,28 @@ def quote_on_page(quote: Column, page: Column) -> Column:
     return (needle != "") & F.contains(F.lower(F.regexp_replace(F.coalesce(page, F.lit("")), r"(?U)\s+", " ")), needle)
 
 
+def _edged(c: Column) -> Column:
+    """A lower-case text with a mark at each end of each run of letters and digits."""
+    return F.regexp_replace(c, "([a-z0-9]+)", "\u0001$1\u0001")
+
+
 def value_in_quote(value: Column, quote: Column) -> Column:
     """Whether a quote backs a value: as whole token, with all its tokens, or as the same quantity within half a percent."""
-    v = F.lower(collapse(value.cast("string")))
-    q = F.lower(F.regexp_replace(quote, r"(?U)\s+", " "))
-    literal = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9])"))
-    whole = (v != "") & F.regexp_like(q, literal)
-    parts = (F.size(tokens(v)) > 0) & (F.size(F.array_except(tokens(v), tokens(q))) == 0)
-    mine = numbers_in(v)
-    close = (F.size(mine) == 1) & F.exists(numbers_in(q), lambda n: F.abs(n - F.get(mine, F.lit(0))) <= 0.005 * F.greatest(F.abs(n), F.lit(1e-9)))
-    return F.coalesce((quote != "") & (whole | parts | close), F.lit(False))
+
+    def whole(v: Column, q: Column) -> Column:
+        # Marks make a run's ends part of the text, so whole tokens are found without a pattern for each row.
+        literal = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9])"))
+        return (v != "") & F.contains(q, v) & F.when(v.rlike("^[a-z0-9](?:.*[a-z0-9])?$"), F.contains(_edged(q), _edged(v))).otherwise(F.regexp_like(q, literal))
+
+    def parts(v: Column, q: Column) -> Column:
+        return let(tokens(v), lambda t: (F.size(t) > 0) & (F.size(F.array_except(t, tokens(q))) == 0))
+
+    def close(v: Column, q: Column) -> Column:
+        same = lambda n, m: F.abs(n - m) <= 0.005 * F.greatest(F.abs(n), F.lit(1e-9))
+        return let(numbers_in(v), lambda mine: (F.size(mine) == 1) & F.exists(numbers_in(q), lambda n: same(n, F.get(mine, F.lit(0)))))
+
+    v, q = F.lower(collapse(value.cast("string"))), F.lower(F.regexp_replace(quote, r"(?U)\s+", " "))
+    return F.coalesce((quote != "") & let(F.struct(v.alias("v"), q.alias("q")), lambda x: whole(x["v"], x["q"]) | parts(x["v"], x["q"]) | close(x["v"], x["q"])), F.lit(False))
 
 
 def build_premise(quote: Column, context: Column) -> Column:

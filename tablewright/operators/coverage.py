@@ -33,25 +33,37 @@ def patterns(incidence: DataFrame) -> DataFrame:
     return sets.groupBy("occasions").agg(F.count("*").alias("entities"))
 
 
-def bootstrap(incidence: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """``rep, s_hat``: estimates with occasions drawn anew, by a hash that SQL can repeat."""
-    spark = incidence.sparkSession
-    pool = incidence.select("occasion").distinct().agg(F.array_sort(F.collect_list("occasion")).alias("pool"))
-    draws = spark.range(replicates).select(F.col("id").alias("rep")).join(F.broadcast(pool)).withColumn("i", F.explode(F.expr("sequence(1, size(pool))")))
+def _drawn(steps: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """``t, rep, at``: for each step ``t``, the places from 1 to ``t`` that a replicate draws at least once, by a hash that SQL can repeat."""
+    draws = steps.select("t", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).select("t", "rep", F.explode(F.sequence(F.lit(1), "t")).alias("i"))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = draws.select("rep", F.get("pool", (number % F.size("pool")).cast("int")).alias("occasion"), F.size("pool").alias("t")).distinct()
-    held = patterns(incidence).select("occasions", "entities", F.explode("occasions").alias("occasion"))
-    met = drawn.join(held, "occasion").groupBy("rep", "t", "occasions").agg(F.count("*").alias("k"), F.first("entities").alias("entities"))
-    sums = met.groupBy("rep", "t").agg(F.sum("entities").alias("s"), F.sum(F.when(F.col("k") == 1, F.col("entities")).otherwise(0)).alias("q1"), F.sum(F.when(F.col("k") == 2, F.col("entities")).otherwise(0)).alias("q2"))
-    return sums.select("rep", chao2(F.col("s"), F.col("q1"), F.col("q2"), F.col("t")).alias("s_hat"))
+    return draws.select("t", "rep", (1 + number % F.col("t")).cast("int").alias("at")).distinct()
 
 
-def bootstrap_interval(incidence: DataFrame, replicates: int = REPLICATES, low: float = LOW, high: float = HIGH, seed: int = SEED) -> DataFrame:
-    """``ci_lo, ci_hi`` by nearest rank."""
-    values = bootstrap(incidence, replicates, seed).agg(F.array_sort(F.collect_list("s_hat")).alias("v"))  # as many as replicates
+def _order(incidence: DataFrame) -> DataFrame:
+    """``occasion, t``: occasions numbered in order. A run has a dozen of them; whole tables have as many as they have days or years."""
+    return incidence.select("occasion").distinct().withColumn("t", F.row_number().over(Window.orderBy("occasion")))
+
+
+def bootstrap(incidence: DataFrame, replicates: int = REPLICATES, seed: int = SEED, each_step: bool = False) -> DataFrame:
+    """``t, rep, s_hat``: estimates with as many occasions drawn anew; after all occasions, or with ``each_step`` after each of them."""
+    order = _order(incidence)
+    steps = order.select("t") if each_step else order.agg(F.max("t").alias("t")).where("t IS NOT NULL")
+    held = patterns(incidence).select(F.xxhash64("occasions").alias("pattern"), "entities", F.explode("occasions").alias("occasion")).join(order, "occasion").select("pattern", "entities", F.col("t").alias("at"))
+    met = _drawn(steps, replicates, seed).join(held, "at").groupBy("t", "rep", "pattern").agg(F.count("*").alias("k"), F.first("entities").alias("entities"))
+    sums = met.groupBy("t", "rep").agg(F.sum("entities").alias("s"), F.sum(F.when(F.col("k") == 1, F.col("entities")).otherwise(0)).alias("q1"), F.sum(F.when(F.col("k") == 2, F.col("entities")).otherwise(0)).alias("q2"))
+    return sums.select("t", "rep", chao2(F.col("s"), F.col("q1"), F.col("q2"), F.col("t")).alias("s_hat"))
+
+
+def _interval(values: DataFrame, low: float, high: float) -> DataFrame:
     lo = F.greatest(F.lit(0), F.floor(low / 100 * F.size("v")).cast("int") - 1)
     hi = F.least(F.size("v") - 1, F.floor(high / 100 * F.size("v")).cast("int"))
-    return values.select(F.get("v", lo).alias("ci_lo"), F.get("v", hi).alias("ci_hi"))
+    return values.withColumns({"ci_lo": F.get("v", lo), "ci_hi": F.get("v", hi)}).drop("v")
+
+
+def bootstrap_interval(incidence: DataFrame, replicates: int = REPLICATES, low: float = LOW, high: float = HIGH, seed: int = SEED) -> DataFrame:
+    """``ci_lo, ci_hi`` by nearest rank, one row."""
+    return _interval(bootstrap(incidence, replicates, seed).agg(F.array_sort(F.collect_list("s_hat")).alias("v")), low, high)  # as many as replicates
 
 
 def share(s: Column, bound: Column) -> Column:
@@ -67,9 +79,12 @@ def summary(incidence: DataFrame, replicates: int = REPLICATES) -> DataFrame:
 
 
 def trajectory(incidence: DataFrame) -> DataFrame:
-    """``t, occasion, new_entities, s_obs, q1, q2, s_hat`` after each occasion, in one pass: an entity changes the counts at its first, second and third detection."""
-    order = incidence.select("occasion").distinct().withColumn("t", F.row_number().over(Window.orderBy("occasion")))
-    ranked = incidence.distinct().join(F.broadcast(order), "occasion").withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy("t")))
+    """``t, occasion, new_entities, s_obs, q1, q2, s_hat`` after each occasion, in one pass: an entity changes the counts at its first, second and third detection.
+
+    Running sums are over occasions, which are few against detections; these meet their numbers on a plain join.
+    """
+    order = _order(incidence)
+    ranked = incidence.distinct().join(order, "occasion").withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy("t")))
     steps = ranked.where("r <= 3").groupBy("t").agg(*(F.count_if(F.col("r") == k).alias(f"n{k}") for k in (1, 2, 3)))
     all_steps = order.join(steps, "t", "left").na.fill(0, ["n1", "n2", "n3"])
     upto = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -78,6 +93,15 @@ def trajectory(incidence: DataFrame) -> DataFrame:
     return out.withColumn("s_hat", chao2(*(F.col(c) for c in ("s_obs", "q1", "q2", "t"))))
 
 
+def trajectory_bounds(incidence: DataFrame, replicates: int = REPLICATES, low: float = LOW, high: float = HIGH, seed: int = SEED) -> DataFrame:
+    """The trajectory with ``ci_lo, ci_hi, coverage_est, coverage_lo, coverage_hi`` of each step; before two occasions or entities the observed number stands for all of these."""
+    bounds = _interval(bootstrap(incidence, replicates, seed, each_step=True).groupBy("t").agg(F.array_sort(F.collect_list("s_hat")).alias("v")), low, high)
+    s, flat = F.col("s_obs"), (F.col("t") < 2) | (F.col("s_obs") < 2)
+    steps = trajectory(incidence).join(bounds, "t", "left")
+    steps = steps.withColumns({c: F.when(flat | F.col(c).isNull(), s.cast("double")).otherwise(F.col(c)) for c in ("ci_lo", "ci_hi")})
+    return steps.withColumns({"coverage_est": share(s, F.col("s_hat")), "coverage_lo": share(s, F.col("ci_hi")), "coverage_hi": share(s, F.col("ci_lo"))})
+
+
 def marginal_yield(steps: DataFrame) -> DataFrame:
     """Adds the mean of the last four steps' new entities relative to the mean of all so far; 1 for a single step."""
     all_, last = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("t").rowsBetween(-3, 0)
@@ -86,8 +110,8 @@ def marginal_yield(steps: DataFrame) -> DataFrame:
 
 
 def stop_capture(steps: DataFrame, target_coverage: float = 0.8, target_count: int = 20) -> DataFrame:
-    """Marks each step at which the search may stop: the estimate's coverage is met, or the yield has run dry."""
-    least = share(F.col("s_obs"), F.col("s_hat"))
-    met = (F.col("t") >= MIN_CAPTURES) & (F.col("s_obs") >= min(target_count, 5)) & (least >= target_coverage)
+    """Marks each step of ``trajectory_bounds`` at which the search may stop: the coverage by the interval's upper bound is met, or the yield has run dry."""
+    some = (F.col("t") >= 2) & (F.col("s_obs") >= 2)
+    met = (F.col("t") >= MIN_CAPTURES) & (F.col("s_obs") >= min(target_count, 5)) & (F.col("coverage_lo") >= target_coverage)
     dry = (F.col("marginal_yield") < MIN_YIELD) & (F.col("t") >= MIN_CAPTURES + 1)
-    return marginal_yield(steps).withColumn("coverage", least).withColumn("stop", met | dry)
+    return marginal_yield(steps).withColumn("stop", some & (met | dry))

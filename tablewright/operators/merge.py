@@ -13,32 +13,40 @@ from pyspark.sql.window import Window
 
 from ..functions.text import norm_text
 
-CELL = ["entity", "field"]
+
+def keys(rows: DataFrame, *names: str) -> list[str]:
+    """The key columns that a table has. One that holds several runs has ``run`` among them, and nothing is merged across runs."""
+    return [c for c in ("run", *(names or ("entity", "field"))) if c in rows.columns]
 
 
 def upsert_records(claims: DataFrame, keep_conflicts: bool = False) -> DataFrame:
-    """``entity, field, value, url, corroborated_by, conflicts`` from claims ``entity, field, seq, value, url``.
+    """``run, entity, field, value, url, corroborated_by, conflicts`` from claims ``run, entity, field, seq, value, url`` (the run may be absent).
 
-    ``keep_conflicts`` also reports the conflicts that a later corroboration would discard.
+    ``keep_conflicts`` also reports the conflicts that a later corroboration would discard. A column ``verified`` passes from the claim that gives the value.
     """
-    cell = Window.partitionBy(*CELL).orderBy("seq")
+    key = keys(claims)
+    more = [c for c in ("verified",) if c in claims.columns]
+    cell = Window.partitionBy(*key).orderBy("seq")
     rows = claims.where("value IS NOT NULL AND value <> ''").withColumn("n", norm_text(F.col("value")))
     rows = rows.withColumn("agrees", F.col("n") == F.first("n").over(cell))
-    before = F.lag("url").over(Window.partitionBy(*CELL, "agrees").orderBy("seq"))
+    before = F.lag("url").over(Window.partitionBy(*key, "agrees").orderBy("seq"))
     first = F.row_number().over(cell) == 1
     rows = rows.withColumn("before", before).withColumn("effective", F.col("agrees") & (first | ((F.coalesce("url", F.lit("")) != F.coalesce("before", F.lit(""))) & (F.coalesce("before", F.lit("")) != ""))))
-    whole = Window.partitionBy(*CELL)
-    last = F.max(F.when(F.col("effective"), F.struct("seq", "value", "url", F.col("before").alias("corroborated_by")))).over(whole)
+    whole = Window.partitionBy(*key)
+    last = F.max(F.when(F.col("effective"), F.struct("seq", "value", "url", F.col("before").alias("corroborated_by"), *more))).over(whole)
     rows = rows.withColumn("e", last)
     against = ~F.col("agrees") & (F.lit(keep_conflicts) | (F.col("seq") > F.col("e.seq"))) & (F.coalesce("url", F.lit("")) != F.coalesce("e.url", F.lit(""))) & (F.coalesce("e.url", F.lit("")) != "")
-    out = rows.groupBy(*CELL).agg(F.first("e").alias("e"), F.array_sort(F.collect_list(F.when(against, F.struct("seq", "url", "value")))).alias("c"))
-    return out.select(*CELL, "e.value", "e.url", "e.corroborated_by", F.transform("c", lambda x: F.struct(x["url"].alias("url"), x["value"].alias("value"))).alias("conflicts"))
+    out = rows.groupBy(*key).agg(F.first("e").alias("e"), F.array_sort(F.collect_list(F.when(against, F.struct("seq", "url", "value")))).alias("c"))
+    return out.select(*key, "e.value", "e.url", "e.corroborated_by", F.transform("c", lambda x: F.struct(x["url"].alias("url"), x["value"].alias("value"))).alias("conflicts"), *(f"e.{c}" for c in more))
 
 
-def records(cells: DataFrame) -> DataFrame:
-    """One row for each entity: fields and provenance as maps."""
-    prov = F.struct("url", "corroborated_by", "conflicts")
-    return cells.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"), F.map_from_entries(F.collect_list(F.struct("field", prov))).alias("provenance"))
+def records(cells: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """One row for each run and entity: id, fields and provenance as maps, and with the spec's ``fields`` their sourced share."""
+    key = keys(cells, "entity")
+    prov = F.struct(*(c for c in ("url", "corroborated_by", "conflicts", "verified", "kbt_prob", "conflict_note") if c in cells.columns))
+    rows = cells.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"), F.map_from_entries(F.collect_list(F.struct("field", prov))).alias("provenance"))
+    rows = rows.withColumn("id", F.substring(F.concat_ws(":", *key), 1, 120))
+    return rows.join(fields_sourced(cells, len(fields)), key) if fields is not None and "verified" in cells.columns else rows
 
 
 def first_write(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -47,8 +55,8 @@ def first_write(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def source_ledger(visits: DataFrame) -> DataFrame:
-    """Ledger by ``run, capture, url``: the first status stays; ``status_final`` is the last one's."""
-    key = F.substring(F.concat_ws(":", F.col("run"), F.substring("capture", -8, 8), F.col("url")), 1, 220)
+    """Ledger by ``run, capture, url``: the first status stays; ``status_final`` is the last one's. A visit without a capture has a row of its own."""
+    key = F.substring(F.concat_ws(":", F.col("run"), F.coalesce(F.nullif(F.col("capture"), F.lit("")), F.hex("seq")), F.col("url")), 1, 220)
     rows = visits.withColumn("id", key)
     last = rows.groupBy("id").agg(F.max_by("status", "seq").alias("status_final"))
     return first_write(rows, ["id"], ["seq"]).join(last, "id")
@@ -59,14 +67,18 @@ def label_upsert(labels: DataFrame) -> DataFrame:
     return labels.groupBy("claim_id").agg(F.max_by(F.struct("correct", "labeler"), "seq").alias("l"), F.min("created_at").alias("created_at")).select("claim_id", "l.correct", "l.labeler", "created_at")
 
 
-def fields_sourced(cells: DataFrame) -> DataFrame:
-    """Share of an entity's fields that are verified, in hundredths rounded half up on whole numbers."""
-    counts = cells.groupBy("entity").agg(F.count_if(F.col("verified")).alias("v"), F.count("*").alias("n"))
-    return counts.select("entity", (F.expr("(200 * v + n) div (2 * n)") / 100).alias("fields_sourced"))
+def fields_sourced(cells: DataFrame, fields: int | None = None) -> DataFrame:
+    """Share of an entity's fields that are verified, in hundredths rounded half up on whole numbers: of the spec's number of ``fields``, or of those present."""
+    key = keys(cells, "entity")
+    counts = cells.groupBy(*key).agg(F.count_if(F.col("verified")).alias("v"), (F.count("*") if fields is None else F.lit(max(fields, 1)).cast("long")).alias("n"))
+    return counts.select(*key, (F.expr("(200 * v + n) div (2 * n)") / 100).alias("fields_sourced"))
 
 
 def export_rows(cells: DataFrame, fields: list[str]) -> DataFrame:
-    """One row for each entity: a column for each field, its sorted sources, and whether any cell has conflicts."""
-    wide = cells.groupBy("entity").pivot("field", fields).agg(F.first("value"))
-    facts = cells.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("url"), F.lit("")))), "; ").alias("sources"), F.max(F.when(F.size("conflicts") > 0, "yes").otherwise("")).alias("has_conflict"))
-    return wide.join(facts, "entity").na.fill("", fields)
+    """One row for each run and entity: a column for each field, the sourced share where cells tell what is ``verified``, sorted sources, and whether any cell has conflicts."""
+    key = keys(cells, "entity")
+    wide = cells.groupBy(*key).pivot("field", fields).agg(F.first("value")).na.fill("", fields)
+    if "verified" in cells.columns:
+        wide = wide.join(fields_sourced(cells, len(fields)), key)
+    facts = cells.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("url"), F.lit("")))), "; ").alias("sources"), F.max(F.when(F.size("conflicts") > 0, "yes").otherwise("")).alias("has_conflict"))
+    return wide.join(facts, key)

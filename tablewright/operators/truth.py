@@ -10,16 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import logit, normalize_name
+from ..functions.text import logit, normalize_name, normalize_number, number_text
+from .merge import keys
 
 PRIOR_TRUST, ROUNDS = 0.8, 10
-CELL = ["entity", "field"]
 
 
 def voters(claims: DataFrame) -> DataFrame:
     """The best supported claim of each cell and URL; the earliest among equals."""
-    best = Window.partitionBy(*CELL, "url").orderBy(F.coalesce("support", F.lit(0.0)).desc(), "seq")
-    return claims.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    return _ranked(claims).where("votes").drop("votes")
+
+
+def _ranked(claims: DataFrame) -> DataFrame:
+    best = Window.partitionBy(*keys(claims), "url").orderBy(F.coalesce("support", F.lit(0.0)).desc(), "seq")
+    return claims.withColumn("votes", F.row_number().over(best) == 1)
 
 
 def _once(c: Column) -> Column:
@@ -28,48 +32,64 @@ def _once(c: Column) -> Column:
 
 
 def value_probabilities(votes: DataFrame, value: Column | None = None, rounds: int = ROUNDS, prior: float = PRIOR_TRUST) -> DataFrame:
-    """``entity, field, v, prob, n_values``: the probability of each value group of a cell."""
+    """``run, entity, field, v, prob, n_values``: the probability of each value group of a cell.
+
+    A cell holds its pairs twice, by value and by domain, each pair with the place of its other end; so a round costs time in proportion to its pairs.
+    """
+    key = keys(votes)
     v = normalize_name(F.col("value")) if value is None else value
-    pairs = votes.select(*CELL, v.alias("v"), "domain").groupBy(*CELL, "v", "domain").agg(F.count("*").alias("n"))
-    cells = pairs.groupBy(*CELL).agg(F.array_sort(F.collect_set("v")).alias("vs"), F.array_sort(F.collect_set("domain")).alias("ds"), F.collect_list(F.struct("v", "domain", "n")).alias("raw"))
-    cells = cells.select(*CELL, "vs", F.size("ds").alias("nd"), _once(F.transform("raw", lambda x: F.struct(F.array_position("vs", x["v"]).cast("int").alias("v"), F.array_position("ds", x["domain"]).cast("int").alias("d"), x["n"].cast("double").alias("n")))).alias("pairs"))
-    cells = cells.withColumn("trust", _once(F.transform(F.sequence(F.lit(1), F.col("nd")), lambda _: F.lit(prior))))
-    total = lambda cond, term: F.aggregate("pairs", F.lit(0.0), lambda a, x: a + F.when(cond(x), term(x)).otherwise(0.0))
+    pairs = votes.select(*key, v.alias("v"), "domain").groupBy(*key, "v", "domain").agg(F.count("*").cast("double").alias("n"))
+    place = lambda c: F.dense_rank().over(Window.partitionBy(*key).orderBy(c)) - 1
+    ends = pairs.withColumn("vi", place("v")).withColumn("di", place("domain"))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("vi").alias("k"), F.col("v").alias("name"), F.col("di").alias("o")), F.struct(F.lit(1).alias("side"), F.col("di").alias("k"), F.lit(None).cast("string").alias("name"), F.col("vi").alias("o"))))
+    lists = ends.select(*key, "n", sides.alias("x")).groupBy(*key, "x.side", "x.k").agg(F.first("x.name").alias("name"), F.collect_list(F.struct("x.o", "n")).alias("items"), F.sum("n").alias("n"))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("k", "name", "n", "items"))))
+    cells = lists.groupBy(*key).agg(of(0).alias("vs"), of(1).alias("ds"))
+    cells = cells.withColumn("trust", _once(F.transform("ds", lambda _: F.lit(prior))))
+    total = lambda group, term: F.aggregate(group["items"], F.lit(0.0), lambda a, x: a + x["n"] * term(x["o"]))
     for _ in range(rounds):
-        score = F.transform(F.sequence(F.lit(1), F.size("vs")), lambda i: total(lambda x: x["v"] == i, lambda x: x["n"] * logit(F.get("trust", x["d"] - 1))))
-        cells = cells.withColumn("score", _once(score))
-        cells = cells.withColumn("e", _once(F.transform("score", lambda s: F.exp(s - F.array_max("score")))))
-        cells = cells.withColumn("p", _once(F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b))))
-        trust = F.transform(F.sequence(F.lit(1), F.col("nd")), lambda i: total(lambda x: x["d"] == i, lambda x: x["n"] * F.get("p", x["v"] - 1)) / total(lambda x: x["d"] == i, lambda x: x["n"]))
-        cells = cells.withColumn("trust", _once(trust)).drop("score", "e")
-    out = cells.select(*CELL, F.size("vs").alias("n_values"), F.explode(F.arrays_zip(F.col("vs").alias("v"), F.col("p").alias("p"))).alias("x"))
-    return out.select(*CELL, F.col("x.v").alias("v"), F.when(F.col("n_values") == 1, 1.0).otherwise(F.col("x.p")).alias("prob"), "n_values")
+        cells = cells.withColumn("weight", _once(F.transform("trust", logit)))
+        cells = cells.withColumn("score", _once(F.transform("vs", lambda g: total(g, lambda o: F.get("weight", o)))))
+        cells = cells.withColumn("top", _once(F.array_max("score")))
+        cells = cells.withColumn("e", _once(F.transform("score", lambda s: F.exp(s - F.col("top")))))
+        cells = cells.withColumn("sum", _once(F.aggregate("e", F.lit(0.0), lambda a, b: a + b)))
+        cells = cells.withColumn("p", _once(F.transform("e", lambda x: x / F.col("sum"))))
+        cells = cells.withColumn("trust", _once(F.transform("ds", lambda g: total(g, lambda o: F.get("p", o)) / g["n"]))).drop("weight", "score", "top", "e", "sum")
+    out = cells.select(*key, F.size("vs").alias("n_values"), F.explode(F.arrays_zip(F.col("vs.name").alias("v"), F.col("p").alias("p"))).alias("x"))
+    return out.select(*key, F.col("x.v").alias("v"), F.when(F.col("n_values") == 1, 1.0).otherwise(F.col("x.p")).alias("prob"), "n_values")
 
 
 def claim_probabilities(claims: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Every claim with ``prob``: its value group's for a voter, 0 for a claim that does not vote in a conflicted cell, as for any other non-voter."""
-    named = claims.withColumn("v", normalize_name(F.col("value")))
-    best = Window.partitionBy(*CELL, "url").orderBy(F.coalesce("support", F.lit(0.0)).desc(), "seq")
-    ranked = named.withColumn("votes", F.row_number().over(best) == 1)
+    ranked = _ranked(claims.withColumn("v", normalize_name(F.col("value"))))
     probs = value_probabilities(ranked.where("votes"), F.col("v"), rounds)
-    return ranked.join(probs, [*CELL, "v"], "left").withColumn("prob", F.when(F.col("votes"), F.round("prob", 4)).otherwise(0.0))
+    return ranked.join(probs, [*keys(claims), "v"], "left").withColumn("prob", F.when(F.col("votes"), F.round("prob", 4)).otherwise(0.0))
 
 
 def winners(claims: DataFrame) -> DataFrame:
-    """The claim with the highest probability of each cell; the earliest among equals."""
-    scored = claim_probabilities(claims)
-    return scored.groupBy(*CELL).agg(F.max_by(F.struct("value", "url", "prob"), F.struct("prob", -F.col("seq"))).alias("w"), F.max("n_values").alias("n_values")).select(*CELL, "w.*", F.coalesce("n_values", F.lit(1)).alias("n_values"))
-
-
-def resolve(records: DataFrame, claims: DataFrame) -> DataFrame:
-    """``records`` cells (``entity, field, value, url, conflicts``) with winners written into those that have conflicts and at least two claims."""
-    many = claims.groupBy(*CELL).agg(F.count("*").alias("n_claims"))
-    won = winners(claims).select(*CELL, F.col("value").alias("new_value"), F.col("url").alias("new_url"), F.col("prob").alias("kbt_prob"))
-    joined = records.join(won, CELL, "left").join(many, CELL, "left")
-    use = (F.size("conflicts") > 0) & (F.col("n_claims") >= 2) & (F.coalesce("new_value", F.lit("")) != "") & ~F.col("new_value").eqNullSafe(F.col("value"))
+    """The claim with the highest probability of each cell, the earliest among equals, and the cell's numbers of claims and values."""
+    key = keys(claims)
+    scored = claim_probabilities(claims).groupBy(*key).agg(F.max_by(F.struct("value", "url", "prob"), F.struct("prob", -F.col("seq"))).alias("w"), F.max("n_values").alias("n_values"), F.count("*").alias("n_claims"))
+    return scored.select(*key, "w.*", F.coalesce("n_values", F.lit(1)).alias("n_values"), "n_claims")
+
+
+def resolve(records: DataFrame, claims: DataFrame, numeric: list[str] | None = None) -> DataFrame:
+    """``records`` cells (``run, entity, field, value, url, conflicts``) with winners written into those that have conflicts and at least two claims.
+
+    Cells of the ``numeric`` fields stay numbers: the winner's number is compared and written; one that is no number, or zero, changes nothing.
+    """
+    key = keys(records)
+    won = winners(claims).select(*key, F.col("value").alias("new_value"), F.col("url").alias("new_url"), F.col("prob").alias("kbt_prob"), "n_claims")
+    joined = records.join(won, key, "left")
+    number = normalize_number(F.col("new_value"))
+    counts = F.col("field").isin(numeric or [])
+    new = F.when(counts, number_text(F.nullif(number, F.lit(0.0)))).otherwise(F.col("new_value"))
+    other = F.when(counts, ~number.eqNullSafe(F.col("value").try_cast("double"))).otherwise(~F.col("new_value").eqNullSafe(F.col("value")))
+    use = (F.size("conflicts") > 0) & (F.col("n_claims") >= 2) & (F.coalesce(new, F.lit("")) != "") & other
     out = joined.withColumn("resolved", F.coalesce(use, F.lit(False)))
-    return out.select(*CELL, F.when(F.col("resolved"), F.col("new_value")).otherwise(F.col("value")).alias("value"), F.when(F.col("resolved"), F.col("new_url")).otherwise(F.col("url")).alias("url"), "conflicts", F.when(F.col("resolved"), F.col("kbt_prob")).alias("kbt_prob"), F.when(F.col("resolved"), F.format_string("Resolved from %d conflicting sources", F.size("conflicts") + 1)).alias("conflict_note"), "resolved")
+    rest = [c for c in ("corroborated_by", "verified") if c in records.columns]
+    return out.select(*key, F.when(F.col("resolved"), new).otherwise(F.col("value")).alias("value"), F.when(F.col("resolved"), F.col("new_url")).otherwise(F.col("url")).alias("url"), "conflicts", *rest, F.when(F.col("resolved"), F.col("kbt_prob")).alias("kbt_prob"), F.when(F.col("resolved"), F.format_string("Resolved from %d conflicting sources", F.size("conflicts") + 1)).alias("conflict_note"), "resolved")
 
 
 def resolved_counts(resolved: DataFrame) -> DataFrame:
-    return resolved.where("resolved").groupBy("entity").agg(F.count("*").alias("resolved_cells"))
+    return resolved.where("resolved").groupBy(*keys(resolved, "entity")).agg(F.count("*").alias("resolved_cells"))

@@ -124,8 +124,8 @@ CLEAN_HTML = f"""WITH l AS (SELECT page_id, list_filter(list_transform(regexp_sp
 c AS (SELECT page_id, coalesce(array_to_string(list_filter(ls, lambda x, i: i = 1 OR x <> ls[i - 1]), chr(10)), '') AS clean FROM l)
 SELECT page_id, clean, length(clean) < 200 AS needs_render FROM c"""
 
-_ORDERS = "(SELECT DISTINCT o_custkey AS entity, year(o_orderdate) AS occasion FROM orders WHERE o_orderpriority = '1-URGENT')"
-_EVENTS = "(SELECT DISTINCT user_id AS entity, day(ts) AS occasion FROM events WHERE event_type = 'error' AND ts < '2024-01-08')"
+_ORDERS = "(SELECT DISTINCT o_custkey AS entity, year(o_orderdate) AS occasion FROM orders)"
+_EVENTS = "(SELECT DISTINCT user_id AS entity, CAST(ts AS DATE) AS occasion FROM events)"
 
 
 def _chao(s: str, q1: str, q2: str, t: str) -> str:
@@ -157,36 +157,44 @@ tr AS (SELECT *, {_chao('s_obs', 'q1', 'q2', 't')} AS s_hat FROM c),
 y AS (SELECT *, CASE WHEN count(*) OVER (ORDER BY t) < 2 THEN 1 ELSE avg(new_entities) OVER (ORDER BY t ROWS 3 PRECEDING) / greatest(1, avg(new_entities) OVER (ORDER BY t)) END AS marginal_yield FROM tr)"""
 
 
-CLAIMS = """claims AS (SELECT CAST(l_partkey AS VARCHAR) AS entity, 'discount' AS field, l_orderkey AS seq, CAST(l_discount AS VARCHAR) AS value, 's' || l_suppkey AS url,
- CAST(s_nationkey AS VARCHAR) AS domain, l_quantity / 50 AS support FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1 AND l_returnflag = 'R')"""
-MERGE = f"""{CLAIMS}, m1 AS (SELECT *, value = first_value(value) OVER (PARTITION BY entity ORDER BY seq) AS agrees, row_number() OVER (PARTITION BY entity ORDER BY seq) AS rn FROM claims),
-m2 AS (SELECT *, lag(url) OVER (PARTITION BY entity, agrees ORDER BY seq) AS before FROM m1),
-e AS (SELECT entity, max(seq) AS eseq, arg_max(value, seq) AS value, arg_max(url, seq) AS url, arg_max(coalesce(before, '-'), seq) AS b FROM m2 WHERE agrees AND (rn = 1 OR url <> before) GROUP BY entity),
-x AS (SELECT m2.entity, list(m2.url || '=' || m2.value ORDER BY m2.seq) AS xs FROM m2 JOIN e USING (entity) WHERE NOT agrees AND m2.seq > eseq AND m2.url <> e.url GROUP BY m2.entity),
-merged AS (SELECT entity, value, url, nullif(b, '-') AS corroborated_by, coalesce(len(xs), 0) AS n_conflicts, coalesce(array_to_string(xs, ';'), '') AS conflicts FROM e LEFT JOIN x USING (entity))"""
+#: After each occasion, the bootstrap over the occasions so far.
+_STEP_BOUNDS = f"""sd AS (SELECT t, rep, unnest(generate_series(1, t)) AS n FROM o, range(500) r(rep)),
+sdrawn AS (SELECT DISTINCT t, rep, 1 + CAST('0x' || substr(md5('42:' || rep || ':' || n), 1, 8) AS BIGINT) % t AS ot FROM sd),
+sk AS (SELECT d.t, rep, entity, count(*) AS k FROM sdrawn d JOIN o ON o.t = d.ot JOIN i USING (occasion) GROUP BY ALL),
+sb AS (SELECT t, rep, count(*) AS s, count(*) FILTER (k = 1) AS q1, count(*) FILTER (k = 2) AS q2 FROM sk GROUP BY ALL),
+sv AS (SELECT t, list_sort(list({_chao('s', 'q1', 'q2', 't')})) AS v FROM sb GROUP BY t),
+bounds AS (SELECT t, v[1 + least(len(v) - 1, CAST(floor(0.95 * len(v)) AS INTEGER))] AS ci_hi FROM sv)"""
+
+CLAIMS = """claims AS (SELECT l_linestatus AS run, CAST(l_partkey AS VARCHAR) AS entity, 'discount' AS field, (CAST(l_orderkey AS BIGINT) * 1000 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_discount, l_quantity) AS seq, CAST(l_discount AS VARCHAR) AS value, 's' || l_suppkey AS url,
+ CAST(s_nationkey AS VARCHAR) AS domain, l_quantity / 50 AS support FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
+MERGE = f"""{CLAIMS}, m1 AS (SELECT *, value = first_value(value) OVER (PARTITION BY run, entity ORDER BY seq) AS agrees, row_number() OVER (PARTITION BY run, entity ORDER BY seq) AS rn FROM claims),
+m2 AS (SELECT *, lag(url) OVER (PARTITION BY run, entity, agrees ORDER BY seq) AS before FROM m1),
+e AS (SELECT run, entity, max(seq) AS eseq, arg_max(value, seq) AS value, arg_max(url, seq) AS url, arg_max(coalesce(before, '-'), seq) AS b FROM m2 WHERE agrees AND (rn = 1 OR url <> before) GROUP BY run, entity),
+x AS (SELECT m2.run, m2.entity, list(m2.url || '=' || m2.value ORDER BY m2.seq) AS xs FROM m2 JOIN e USING (run, entity) WHERE NOT agrees AND m2.seq > eseq AND m2.url <> e.url GROUP BY m2.run, m2.entity),
+merged AS (SELECT run, entity, value, url, nullif(b, '-') AS corroborated_by, coalesce(len(xs), 0) AS n_conflicts, coalesce(array_to_string(xs, ';'), '') AS conflicts FROM e LEFT JOIN x USING (run, entity))"""
 
 _LOGIT = "ln(least(greatest(trust, 0.01), 0.99) / (1 - least(greatest(trust, 0.01), 0.99)))"
 
 
 def _kbt() -> str:
-    out = f"""{CLAIMS}, ranked AS (SELECT *, {_name('value')} AS v, row_number() OVER (PARTITION BY entity, url ORDER BY coalesce(support, 0) DESC, seq) = 1 AS votes FROM claims),
-pairs AS (SELECT entity, v, domain, count(*) AS n FROM ranked WHERE votes GROUP BY ALL), nv AS (SELECT entity, count(DISTINCT v) AS n_values FROM pairs GROUP BY entity),
-t0 AS (SELECT DISTINCT entity, domain, 0.8 AS trust FROM pairs)"""
+    out = f"""{CLAIMS}, ranked AS (SELECT *, {_name('value')} AS v, row_number() OVER (PARTITION BY run, entity, url ORDER BY coalesce(support, 0) DESC, seq) = 1 AS votes FROM claims),
+pairs AS (SELECT run, entity, v, domain, count(*) AS n FROM ranked WHERE votes GROUP BY ALL), nv AS (SELECT run, entity, count(DISTINCT v) AS n_values FROM pairs GROUP BY run, entity),
+t0 AS (SELECT DISTINCT run, entity, domain, 0.8 AS trust FROM pairs)"""
     for k in range(1, 11):
         out += f""",
-s{k} AS (SELECT entity, v, sum(n * {_LOGIT}) AS s FROM pairs JOIN t{k - 1} USING (entity, domain) GROUP BY ALL),
-e{k} AS (SELECT entity, v, exp(s - max(s) OVER (PARTITION BY entity)) AS e FROM s{k}), p{k} AS MATERIALIZED (SELECT entity, v, e / sum(e) OVER (PARTITION BY entity) AS p FROM e{k}),
-t{k} AS MATERIALIZED (SELECT entity, domain, sum(n * p) / sum(n) AS trust FROM pairs JOIN p{k} USING (entity, v) GROUP BY ALL)"""
+s{k} AS (SELECT run, entity, v, sum(n * {_LOGIT}) AS s FROM pairs JOIN t{k - 1} USING (run, entity, domain) GROUP BY ALL),
+e{k} AS (SELECT run, entity, v, exp(s - max(s) OVER (PARTITION BY run, entity)) AS e FROM s{k}), p{k} AS MATERIALIZED (SELECT run, entity, v, e / sum(e) OVER (PARTITION BY run, entity) AS p FROM e{k}),
+t{k} AS MATERIALIZED (SELECT run, entity, domain, sum(n * p) / sum(n) AS trust FROM pairs JOIN p{k} USING (run, entity, v) GROUP BY ALL)"""
     return out + """,
-probs AS (SELECT entity, v, CASE WHEN n_values = 1 THEN 1 ELSE p END AS prob FROM p10 JOIN nv USING (entity)),
-scored AS (SELECT r.*, CASE WHEN votes THEN round(prob, 4) ELSE 0 END AS prob FROM ranked r LEFT JOIN probs USING (entity, v)),
-won AS (SELECT entity, value, url, prob FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY prob DESC, seq) AS w FROM scored) WHERE w = 1)"""
+probs AS (SELECT run, entity, v, CASE WHEN n_values = 1 THEN 1 ELSE p END AS prob FROM p10 JOIN nv USING (run, entity)),
+scored AS (SELECT r.*, CASE WHEN votes THEN round(prob, 4) ELSE 0 END AS prob FROM ranked r LEFT JOIN probs USING (run, entity, v)),
+won AS (SELECT run, entity, value, url, prob FROM (SELECT *, row_number() OVER (PARTITION BY run, entity ORDER BY prob DESC, seq) AS w FROM scored) WHERE w = 1)"""
 
 
 _PPI = """f AS (SELECT doc_id AS id, coalesce(CASE WHEN doc_id % 17 <> 0 THEN n_chars % 101 / 100 END, 0.5) AS f FROM documents)"""
 _VISITS = """visits AS (SELECT strftime(ts, '%Y-%m-%d') AS run, 'capture-' || event_id % 12 AS capture, 'https://u' || user_id || '.example.com' AS url,
  CASE WHEN event_type = 'error' THEN 'failed' WHEN value < 30 THEN 'skipped' ELSE 'ok' END AS status, event_id % 4 AS records_found, event_id AS seq FROM events),
-keyed AS (SELECT *, left(run || ':' || right(capture, 8) || ':' || url, 220) AS id FROM visits),
+keyed AS (SELECT *, left(run || ':' || capture || ':' || url, 220) AS id FROM visits),
 ledger AS (SELECT id, arg_min(run, seq) AS run, arg_min(url, seq) AS url, arg_min(status, seq) AS status, arg_max(status, seq) AS status_final, arg_min(records_found, seq) AS records_found FROM keyed GROUP BY id)"""
 _COMBOS = """combos AS (SELECT row_number() OVER (ORDER BY n_nationkey, ei) AS n, n_name AS query, engine, 'general' AS source_type
  FROM nation, (VALUES (0, 'ddg'), (1, 'brave'), (2, 'searxng')) e(ei, engine))"""
@@ -238,10 +246,10 @@ ORACLES: dict[str, str] = {
     "clean_html": CLEAN_HTML,
     "consecutive_dedupe": "WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, CAST(len(ls) AS INTEGER) AS lines, md5(array_to_string(list_filter(ls, lambda x, i: i = 1 OR x <> ls[i - 1]), chr(10))) AS deduped_md5 FROM t",
     "page_cache": "SELECT sha256(url) AS key, url, CAST(length(html) AS INTEGER) AS chars FROM pages",
-    "decode_bytes": "SELECT doc_id, md5(substr(text, 1, 200)) AS decoded_md5 FROM documents",
+    "decode_bytes": "SELECT doc_id, md5(text) AS decoded_md5 FROM documents",
     "content_type_filter": "SELECT * FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'text/plain' ELSE 'image/png' END AS content_type FROM pages) WHERE content_type LIKE '%html%' OR content_type LIKE '%text%'",
-    "quote_on_page": f"""WITH t AS (SELECT doc_id, d.text, b.text AS quote FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id), u AS (SELECT doc_id, lower({_ws('quote')}) AS q, lower({_ws("substr(text, 11, 60)")}) AS own, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS page FROM t)
-SELECT doc_id, q <> '' AND contains(page, q) AS passage_on_page, own <> '' AND contains(page, own) AS own_on_page FROM u""",
+    "quote_on_page": f"""WITH d AS (SELECT doc_id, lower({_ws("substr(text, 11, 60)")}) AS own, lower(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS page FROM documents), b AS (SELECT item_id, lower({_ws('text')}) AS q FROM benchmark)
+SELECT doc_id, item_id, own <> '' AND contains(page, own) AS own_on_page FROM d LEFT JOIN b ON q <> '' AND contains(page, q)""",
     "value_in_quote": VALUE_IN_QUOTE,
     "fields_sourced": "SELECT l_partkey AS entity, ((200 * count(*) FILTER (l_quantity > 20) + count(*)) // (2 * count(*))) / 100 AS fields_sourced FROM lineitem GROUP BY l_partkey",
     "page_gate": "SELECT * FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id % 100 / 100 END AS p FROM documents) WHERE coalesce(p, 1) >= 0.35",
@@ -250,28 +258,28 @@ SELECT doc_id, q <> '' AND contains(page, q) AS passage_on_page, own <> '' AND c
 SELECT field, CASE WHEN value IS NOT NULL AND evidence IS NOT NULL THEN CASE WHEN l_partkey % 2 = 0 THEN 0.9 ELSE 0.5 END END AS support, count(*) AS n, count(value) AS with_value, count(evidence) AS with_evidence FROM t WHERE value IS NOT NULL OR evidence IS NOT NULL GROUP BY 1, 2""",
     "has_primary": "SELECT CAST(l_linenumber - 3 AS VARCHAR) AS pk, count(*) AS n FROM lineitem WHERE l_linenumber > 3 GROUP BY 1",
     "public_metadata": "SELECT event_id, 'type' AS key, CAST(1 AS INTEGER) AS n FROM events",
-    "premise_hypothesis": f"""WITH t AS (SELECT doc_id, lang, {_ws('substr(text, 1, 900)')} AS q, CASE WHEN doc_id % 2 = 0 THEN {_ws('substr(text, 101, 500)')} ELSE '' END AS c FROM documents)
+    "premise_hypothesis": f"""WITH t AS (SELECT doc_id, lang, {_ws('text')} AS q, CASE WHEN doc_id % 2 = 0 THEN {_ws('substr(text, 101)')} ELSE '' END AS c FROM documents)
 SELECT doc_id, md5(left(CASE WHEN c <> '' THEN left(c, 300) || ' ... ' || q ELSE q END, 600)) AS premise_md5, 'The language of ' || lang || ' is ' || doc_id || '.' AS hypothesis FROM t""",
     "judge_answers": f"WITH t AS (SELECT event_id, {_ANSWER} AS a FROM events), j AS (SELECT event_id, CASE WHEN json_valid(a) THEN a END AS j FROM t) SELECT event_id, CASE WHEN json_extract_string(j, '$.type') = 'noul' THEN TRY_CAST(json_extract_string(j, '$.noul') AS DOUBLE) END AS p, CASE WHEN json_extract_string(j, '$.type') = 'choice' THEN json_extract_string(j, '$.choice') END AS choice FROM j",
-    "format_error": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'bad request ' || event_id WHEN 1 THEN 'too slow' WHEN 2 THEN 'no. (x)' WHEN 3 THEN 'An unexpected pipeline error occurred.' ELSE 'plain ' || event_type END AS message FROM events",
+    "format_error": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'bad request ' || event_id WHEN 1 THEN 'too slow' WHEN 2 THEN 'no. (x)' WHEN 3 THEN 'An unexpected pipeline error occurred.' WHEN 4 THEN 'it''s ' || event_id ELSE 'plain ' || event_type END AS message FROM events",
     "trust_scores": "WITH t AS (SELECT DISTINCT l_discount, l_tax, least(greatest(l_discount * 10, 0.01), 0.99) AS p FROM lineitem) SELECT l_discount, l_tax, round(ln(p / (1 - p)), 9) AS logit, round(p, 9) AS back, round(exp(l_discount) / (exp(l_discount) + exp(l_tax) + exp(0.05)), 9) AS soft_first FROM t",
     "entity_keys": f"SELECT p_partkey, {_name(RAW_NAME)} AS entity_key FROM part",
     "match_existing_key": f"""WITH k AS (SELECT {_name(_KEY)} AS key, min(p_partkey) AS seq FROM part GROUP BY 1), c AS (SELECT *, {_compact('key')} AS compact, {_YEARS} AS ys FROM k),
 j AS (SELECT a.key, b.key AS other, row_number() OVER (PARTITION BY a.key ORDER BY b.seq) AS r FROM c a JOIN c b ON a.compact = b.compact AND b.seq <= a.seq AND a.compact <> '' AND (len(a.ys) = 0 OR len(b.ys) = 0 OR a.ys = b.ys))
 SELECT c.key, coalesce(other, c.key) AS canonical FROM c LEFT JOIN j ON c.key = j.key AND r = 1""",
     "group_by_entity": f"WITH t AS (SELECT p_partkey, {RAW_NAME} AS raw FROM part), k AS (SELECT *, {_name('raw')} AS entity_key FROM t) SELECT entity_key, count(*) AS n_rows, arg_min(raw, p_partkey) AS first_name, count(DISTINCT raw) AS n_spellings FROM k GROUP BY entity_key",
-    "entity_components": """WITH RECURSIVE e AS (SELECT min(l_suppkey) AS a, max(l_suppkey) AS b FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 23 = 0 GROUP BY l_partkey),
+    "entity_components": """WITH RECURSIVE e AS (SELECT DISTINCT min(l_suppkey) OVER (PARTITION BY l_partkey) AS a, l_suppkey AS b FROM lineitem),
 b AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), w(u, r) AS (SELECT u, u FROM b UNION SELECT b.v, w.r FROM w JOIN b USING (u)) SELECT u AS supplier, min(r) AS root FROM w GROUP BY u""",
-    "dedupe_urls": f"SELECT {_domain('url')} AS url, arg_min(substr(html, 1, 40), page_id) AS title, min(page_id) AS rank FROM pages GROUP BY 1",
+    "dedupe_urls": f"SELECT {_domain('url')} AS url, arg_min(md5(html), page_id) AS title, min(page_id) AS rank FROM pages GROUP BY 1",
     "runs_with_counts": "SELECT c_custkey AS run, c_mktsegment, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS records FROM customer",
-    "claims_filtered": f"WITH {CLAIMS} SELECT entity, seq, value, url FROM claims WHERE field = 'discount' AND domain = '7'",
+    "claims_filtered": f"WITH {CLAIMS} SELECT run, entity, seq, value, url FROM claims WHERE field = 'discount' AND domain = '7'",
     "labels_of_claims": "SELECT l.doc_id AS id, quality AS correct, CASE WHEN d.doc_id % 17 <> 0 THEN n_chars % 101 / 100 END AS score FROM labels l JOIN documents d USING (doc_id)",
     "record_lookup": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 7",
     "source_ledger": f"WITH {_VISITS} SELECT id, status, status_final, records_found FROM ledger",
     "run_stats": f"WITH {_VISITS} SELECT run, count(*) AS pages, count(*) FILTER (status = 'ok') AS pages_ok, count(*) FILTER (status = 'skipped') AS pages_skipped, count(*) FILTER (status = 'failed') AS pages_failed, count(DISTINCT url) AS urls, CAST(sum(records_found) AS BIGINT) AS records_found FROM ledger GROUP BY run",
     "label_upsert": "SELECT event_id % 500 AS claim_id, CAST(arg_max(value > 50, event_id) AS INTEGER) AS correct, 'u' || arg_max(user_id, event_id) AS labeler, min(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS created_at FROM events GROUP BY 1",
-    "upsert_records": f"WITH {MERGE} SELECT entity, value, url, corroborated_by, CAST(n_conflicts AS INTEGER) AS n_conflicts, conflicts FROM merged",
-    "export_rows": f"WITH {MERGE} SELECT entity, value AS discount, url AS supplier, url AS sources, CASE WHEN n_conflicts > 0 THEN 'yes' ELSE '' END AS has_conflict FROM merged",
+    "upsert_records": f"WITH {MERGE} SELECT run, entity, value, url, corroborated_by, CAST(n_conflicts AS INTEGER) AS n_conflicts, conflicts FROM merged",
+    "export_rows": f"WITH {MERGE} SELECT run, entity, value AS discount, url AS supplier, round((1 + CAST(value = '0.05' AS INTEGER)) / 2, 2) AS fields_sourced, url AS sources, CASE WHEN n_conflicts > 0 THEN 'yes' ELSE '' END AS has_conflict FROM merged",
     "has_conflict": f"WITH {MERGE} SELECT n_conflicts > 0 AS has_conflict, count(*) AS cells FROM merged GROUP BY 1",
     "chao2_estimate": _estimate(_ORDERS),
     "chao2_events": _estimate(_EVENTS),
@@ -279,11 +287,13 @@ b AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), w(u, r) AS (SELECT
     "coverage_summary": f"WITH {_BOOT}, z AS ({_estimate(_ORDERS)}) SELECT s_obs, s_hat, ci_lo AS ci_lo_s, ci_hi AS ci_hi_s, least(1, s_obs / s_hat) AS coverage_est, least(1, s_obs / ci_hi) AS coverage_lo, least(1, s_obs / ci_lo) AS coverage_hi, t FROM z, ci",
     "coverage_trajectory": f"WITH {_trajectory(_ORDERS)} SELECT CAST(t AS INTEGER) AS t, CAST(occasion AS INTEGER) AS occasion, new_entities, s_obs, q1, q2, s_hat FROM tr",
     "marginal_yield": f"WITH {_trajectory(_EVENTS)} SELECT CAST(t AS INTEGER) AS t, new_entities, marginal_yield FROM y",
-    "stop_capture": f"WITH {_trajectory(_ORDERS)}, z AS (SELECT *, least(1, s_obs / s_hat) AS coverage FROM y) SELECT CAST(t AS INTEGER) AS t, coverage, marginal_yield, (t >= 3 AND s_obs >= 5 AND coverage >= 0.8) OR (marginal_yield < 0.02 AND t >= 4) AS stop FROM z",
-    "kbt_voters": f"WITH {_kbt()} SELECT entity, url, seq, value, support FROM ranked WHERE votes",
-    "kbt_probs": f"WITH {_kbt()} SELECT entity, v, round(prob, 6) AS prob FROM probs",
-    "kbt_winner": f"WITH {_kbt()} SELECT entity, value, url, prob FROM won",
-    "conflicts_resolved": f"WITH {MERGE}, {_kbt().replace(CLAIMS + ', ', '')}, n AS (SELECT entity, count(*) AS n FROM claims GROUP BY entity), z AS (SELECT m.*, w.value AS nv, w.url AS nu, w.prob, n_conflicts > 0 AND n >= 2 AND w.value <> m.value AS resolved FROM merged m JOIN won w USING (entity) JOIN n USING (entity)) SELECT entity, CASE WHEN resolved THEN nv ELSE value END AS value, CASE WHEN resolved THEN nu ELSE url END AS url, CASE WHEN resolved THEN prob END AS kbt_prob, CASE WHEN resolved THEN 'Resolved from ' || (n_conflicts + 1) || ' conflicting sources' END AS conflict_note, resolved FROM z",
+    "stop_capture": f"WITH {_trajectory(_ORDERS)}, {_STEP_BOUNDS}, z AS (SELECT y.*, CASE WHEN t < 2 OR s_obs < 2 THEN 1 ELSE least(1, s_obs / ci_hi) END AS coverage_lo FROM y JOIN bounds USING (t)) SELECT CAST(t AS INTEGER) AS t, coverage_lo, marginal_yield, t >= 2 AND s_obs >= 2 AND ((t >= 3 AND s_obs >= 5 AND coverage_lo >= 0.8) OR (marginal_yield < 0.02 AND t >= 4)) AS stop FROM z",
+    "kbt_voters": f"WITH {_kbt()} SELECT run, entity, url, seq, value, support FROM ranked WHERE votes",
+    "kbt_probs": f"WITH {_kbt()} SELECT run, entity, v, round(prob, 6) AS prob FROM probs",
+    "kbt_winner": f"WITH {_kbt()} SELECT run, entity, value, url, prob FROM won",
+    "conflicts_resolved": f"""WITH {MERGE}, {_kbt().replace(CLAIMS + ', ', '')}, n AS (SELECT run, entity, count(*) AS n FROM claims GROUP BY run, entity),
+z AS (SELECT m.*, CAST(w.value AS DOUBLE) AS nv, w.url AS nu, w.prob, n_conflicts > 0 AND n >= 2 AND CAST(w.value AS DOUBLE) <> 0 AND CAST(w.value AS DOUBLE) <> CAST(m.value AS DOUBLE) AS resolved FROM merged m JOIN won w USING (run, entity) JOIN n USING (run, entity))
+SELECT run, entity, CASE WHEN resolved THEN {_number_text('nv')} ELSE value END AS value, CASE WHEN resolved THEN nu ELSE url END AS url, CASE WHEN resolved THEN prob END AS kbt_prob, CASE WHEN resolved THEN 'Resolved from ' || (n_conflicts + 1) || ' conflicting sources' END AS conflict_note, resolved FROM z""",
     "ppi_accuracy": f"WITH {_PPI}, j AS (SELECT f, quality - f AS d FROM f LEFT JOIN (SELECT doc_id AS id, quality FROM labels) USING (id)), m AS (SELECT count(*) AS n_cells, count(d) AS n_labeled, avg(f) + avg(d) AS t, sqrt(var_samp(f) / count(*) + var_samp(d) / count(d)) AS se FROM j) SELECT round(greatest(0, least(1, t)), 9) AS theta_hat, round(greatest(0, least(1, t - 1.96 * se)), 9) AS ci_low, round(greatest(0, least(1, t + 1.96 * se)), 9) AS ci_high, round(se, 9) AS se, n_cells, n_labeled FROM m",
     "ppi_unlabeled": f"WITH {_PPI}, m AS (SELECT count(*) AS n_cells, CAST(0 AS BIGINT) AS n_labeled, avg(f) AS t, sqrt(var_samp(f) / count(*)) AS se FROM f) SELECT round(t, 9) AS theta_hat, round(greatest(0, t - 1.96 * se), 9) AS ci_low, round(least(1, t + 1.96 * se), 9) AS ci_high, round(se, 9) AS se, n_cells, n_labeled FROM m",
     "audit_sample": "WITH s AS (SELECT doc_id AS id, CASE WHEN doc_id % 17 <> 0 THEN n_chars % 101 / 100 END AS score FROM documents), u AS (SELECT *, coalesce(score BETWEEN 0.3 AND 0.7, false) AS uncertain, md5('42:' || id) AS key FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY uncertain ORDER BY key, id) AS r FROM u), z AS (SELECT *, row_number() OVER (ORDER BY uncertain DESC, r) AS k FROM r WHERE NOT uncertain OR r <= 15) SELECT id, score, uncertain FROM z WHERE k <= 30",
@@ -293,7 +303,7 @@ b AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), w(u, r) AS (SELECT
     "replan_filter": "SELECT n_nationkey AS seq, n_name AS query FROM nation WHERE n_nationkey % 2 = 1 ORDER BY n_nationkey LIMIT 3",
     "replan_trigger": f"WITH {_VISITS}, c AS (SELECT run, capture, count(*) AS chunks, count(*) FILTER (status = 'skipped') AS gated, CAST(sum(records_found) AS BIGINT) AS new_entities FROM visits GROUP BY ALL) SELECT *, new_entities = 0 OR (chunks > 0 AND gated >= 0.9 * chunks) AS replan FROM c",
     "top_urls": f"WITH {_VISITS}, u AS (SELECT capture, url, min(seq) AS rank FROM visits GROUP BY ALL) SELECT capture, url, rank FROM (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY rank, url) AS r FROM u) WHERE r <= 6",
-    "relaxed_results": "WITH t AS (SELECT CAST(user_id % 60 AS VARCHAR) AS query, 'u' || user_id AS url, event_id AS rank FROM events WHERE event_type = 'error'), s AS (SELECT * FROM t WHERE rank % 97 < 20), n AS (SELECT query FROM s GROUP BY query HAVING count(*) >= 3), a AS (SELECT * FROM s UNION ALL SELECT query, url, rank + 1000000 FROM t WHERE query NOT IN (SELECT query FROM n)) SELECT query, url, min(rank) AS rank FROM a GROUP BY ALL",
+    "relaxed_results": "WITH t AS (SELECT CAST(user_id % 60 AS VARCHAR) AS query, 'u' || user_id AS url, event_id AS rank FROM events), s AS (SELECT * FROM t WHERE rank % 97 < 2), n AS (SELECT query FROM s GROUP BY query HAVING count(*) >= 3), a AS (SELECT * FROM s UNION ALL SELECT query, url, rank + 1000000 FROM t WHERE query NOT IN (SELECT query FROM n)) SELECT query, url, min(rank) AS rank FROM a GROUP BY ALL",
     "item_f1": f"WITH {_GOLD}, c AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT entity_key FROM pred INTERSECT SELECT entity_key FROM gold)) AS tp, (SELECT count(DISTINCT entity_key) FROM pred) AS n_pred, (SELECT count(DISTINCT entity_key) FROM gold) AS n_gold) SELECT {_f1('item')}",
     "row_f1": f"WITH {_GOLD}, j AS (SELECT p.entity_key AS a, g.entity_key AS b, (g.c_mktsegment IS NULL OR lower(p.c_mktsegment) = lower(g.c_mktsegment)) AND (g.nation IS NULL OR p.nation = g.nation) AS same FROM pred p FULL JOIN gold g USING (entity_key)), c AS (SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND same) AS tp, count(a) AS n_pred, count(b) AS n_gold FROM j) SELECT {_f1('row')}",
     "cce": f"WITH {_RESULTS} SELECT count(*) AS n_tasks, round(avg(item_f1), 9) AS mean_item_f1, round(avg(row_f1), 9) AS mean_row_f1, round(avg(abs(coverage_est - coverage_true)), 9) AS cce, count(coverage_true) AS n_cce_tasks FROM g",

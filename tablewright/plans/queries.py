@@ -207,8 +207,8 @@ def judge_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def format_error(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.expr("""CASE event_id % 5 WHEN 0 THEN concat('Error 400: {"error": {"message": "bad request ', event_id, ' "}}') WHEN 1 THEN '{"message": " too slow "}' WHEN 2 THEN '{"error": {"message": "no. See ''failed_generation'' for more details.", "failed_generation": " x "}}' WHEN 3 THEN '' ELSE concat(' plain ', event_type) END""")
-    return S.table(spark, sf, "events").select("event_id", X.error_message(raw).alias("message"))
+    raw = F.expr("""CASE event_id % 6 WHEN 0 THEN concat('Error 400: {"error": {"message": "bad request ', event_id, ' "}}') WHEN 1 THEN '{"message": " too slow "}' WHEN 2 THEN '{"error": {"message": "no. See ''failed_generation'' for more details.", "failed_generation": " x "}}' WHEN 3 THEN '' WHEN 4 THEN concat('Error: {''error'': {''message'': "it''s ', event_id, '", ''code'': None, ''retry'': True}}') ELSE concat(' plain ', event_type) END""")
+    return S.table(spark, sf, "events").select("event_id", X.error_message(web.literal_as_json(raw)).alias("message"))
 
 
 @query
@@ -251,7 +251,7 @@ def entity_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dedupe_urls(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.table(spark, sf, "pages").select(X.url_domain(F.col("url")).alias("url"), F.substring("html", 1, 40).alias("title"), F.col("page_id").alias("rank"))
+    rows = S.table(spark, sf, "pages").select(X.url_domain(F.col("url")).alias("url"), F.md5("html").alias("title"), F.col("page_id").alias("rank"))
     return entity.earliest_per_key(rows, "url", "rank")
 
 
@@ -273,7 +273,7 @@ def claims_filtered(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.claims(spark, sf)
     for column, value in wanted.items():
         rows = rows.where(F.col(column) == value)
-    return rows.select("entity", "seq", "value", "url").orderBy("seq")
+    return rows.select("run", "entity", "seq", "value", "url").orderBy("seq")
 
 
 @query
@@ -305,13 +305,14 @@ def label_upsert(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def upsert_records(spark: SparkSession, sf: str) -> DataFrame:
     c = merge.upsert_records(S.claims(spark, sf))
-    return c.select("entity", "value", "url", "corroborated_by", F.size("conflicts").alias("n_conflicts"), F.array_join(F.transform("conflicts", lambda x: F.concat(x["url"], F.lit("="), x["value"])), ";").alias("conflicts"))
+    return c.select("run", "entity", "value", "url", "corroborated_by", F.size("conflicts").alias("n_conflicts"), F.array_join(F.transform("conflicts", lambda x: F.concat(x["url"], F.lit("="), x["value"])), ";").alias("conflicts"))
 
 
 @query
 def export_rows(spark: SparkSession, sf: str) -> DataFrame:
     cells = merge.upsert_records(S.claims(spark, sf))
-    second = cells.select("entity", F.lit("supplier").alias("field"), F.col("url").alias("value"), "url", "corroborated_by", "conflicts")
+    cells = cells.withColumn("verified", F.col("value") == "0.05")
+    second = cells.select("run", "entity", F.lit("supplier").alias("field"), F.col("url").alias("value"), "url", "corroborated_by", "conflicts", F.lit(True).alias("verified"))
     return merge.export_rows(cells.unionByName(second), ["discount", "supplier"])
 
 
@@ -355,7 +356,7 @@ def marginal_yield(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stop_capture(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.stop_capture(coverage.trajectory(S.incidence_orders(spark, sf))).select("t", "coverage", "marginal_yield", "stop")
+    return coverage.stop_capture(coverage.trajectory_bounds(S.incidence_orders(spark, sf))).select("t", "coverage_lo", "marginal_yield", "stop")
 
 
 # Truth
@@ -363,23 +364,23 @@ def stop_capture(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kbt_voters(spark: SparkSession, sf: str) -> DataFrame:
-    return truth.voters(S.claims(spark, sf)).select("entity", "url", "seq", "value", "support")
+    return truth.voters(S.claims(spark, sf)).select("run", "entity", "url", "seq", "value", "support")
 
 
 @query
 def kbt_probs(spark: SparkSession, sf: str) -> DataFrame:
-    return truth.value_probabilities(truth.voters(S.claims(spark, sf))).select("entity", "v", F.round("prob", 6).alias("prob"))
+    return truth.value_probabilities(truth.voters(S.claims(spark, sf))).select("run", "entity", "v", F.round("prob", 6).alias("prob"))
 
 
 @query
 def kbt_winner(spark: SparkSession, sf: str) -> DataFrame:
-    return truth.winners(S.claims(spark, sf)).select("entity", "value", "url", "prob")
+    return truth.winners(S.claims(spark, sf)).select("run", "entity", "value", "url", "prob")
 
 
 @query
 def conflicts_resolved(spark: SparkSession, sf: str) -> DataFrame:
     claims = S.claims(spark, sf)
-    return truth.resolve(merge.upsert_records(claims), claims).select("entity", "value", "url", "kbt_prob", "conflict_note", "resolved")
+    return truth.resolve(merge.upsert_records(claims), claims, numeric=["discount"]).select("run", "entity", "value", "url", "kbt_prob", "conflict_note", "resolved")
 
 
 # Audit
@@ -442,8 +443,8 @@ def top_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def relaxed_results(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.table(spark, sf, "events").where("event_type = 'error'").select((F.col("user_id") % 60).cast("string").alias("query"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("rank"))
-    strict = rows.where("rank % 97 < 20")
+    rows = S.table(spark, sf, "events").select((F.col("user_id") % 60).cast("string").alias("query"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("rank"))
+    strict = rows.where("rank % 97 < 2")
     return planner.relaxed(strict, rows)
 
 

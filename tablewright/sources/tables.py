@@ -49,7 +49,7 @@ def incidence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as entities with a discount that suppliers claim; a supplier's nation is its domain.
+    """Parts as entities with a discount that suppliers claim; a supplier's nation is its domain, a line's status its run.
 
     Rows may share order and line; ``seq`` orders these by what they claim, and is total for fewer than 1000 lines of an order and rows of a line.
     """
@@ -57,7 +57,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("seq", (F.col("l_orderkey").cast("long") * 1000 + F.col("l_linenumber")) * 1000 + F.row_number().over(line))
     nations = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return rows.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.col("l_partkey").cast("string").alias("entity"), F.lit("discount").alias("field"), "seq", F.col("l_discount").cast("string").alias("value"),
+        F.col("l_linestatus").alias("run"), F.col("l_partkey").cast("string").alias("entity"), F.lit("discount").alias("field"), "seq", F.col("l_discount").cast("string").alias("value"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("url"), F.col("s_nationkey").cast("string").alias("domain"), (F.col("l_quantity") / 50).alias("support"))
 
 

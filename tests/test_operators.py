@@ -129,3 +129,35 @@ def test_ledger_keeps_the_first_status(spark):
     rows = spark.createDataFrame([("r", "c", "u", "skipped", 1), ("r", "c", "u", "ok", 2)], "run string, capture string, url string, status string, seq int")
     (r,) = merge.source_ledger(rows).collect()
     assert (r["status"], r["status_final"]) == ("skipped", "ok")
+
+
+def test_runs_are_kept_apart(spark):
+    claims = spark.createDataFrame([("r1", "e", "f", 1, "a", "u1", "d1", 0.5), ("r2", "e", "f", 2, "b", "u2", "d2", 0.5), ("r2", "e", "f", 3, "b", "u3", "d3", 0.5)], "run string, entity string, field string, seq int, value string, url string, domain string, support double")
+    got = {r["run"]: (r["value"], r["url"], r["corroborated_by"], r["conflicts"]) for r in merge.upsert_records(claims).collect()}
+    assert got == {"r1": ("a", "u1", None, []), "r2": ("b", "u3", "u2", [])}
+    assert {r["run"]: r["n_claims"] for r in truth.winners(claims).collect()} == {"r1": 1, "r2": 2}
+
+
+def test_numbers_stay_numbers_when_resolved(spark):
+    schema = "run string, entity string, field string, seq int, value string, url string, domain string, support double"
+    claims = spark.createDataFrame([("r3", "m", "params", 1, "7B", "u1", "d", 0.2), ("r3", "m", "params", 2, "8 billion", "u1", "d", 0.9), ("r3", "n", "params", 1, "5", "u1", "d", 0.2), ("r3", "n", "params", 2, "five", "u1", "d", 0.9)], schema)
+    cells = spark.createDataFrame([("r3", k, "params", v, "u1", [("u2", "x")]) for k, v in (("m", "7000000000"), ("n", "5"))], "run string, entity string, field string, value string, url string, conflicts array<struct<url:string,value:string>>")
+    got = {r["entity"]: (r["value"], r["resolved"]) for r in truth.resolve(cells, claims, numeric=["params"]).collect()}
+    assert got == {"m": ("8000000000", True), "n": ("5", False)}
+    as_text = {r["entity"]: (r["value"], r["resolved"]) for r in truth.resolve(cells, claims).collect()}
+    assert as_text == {"m": ("8 billion", True), "n": ("five", True)}
+
+
+def test_stop_waits_for_the_lower_bound(spark):
+    rows = [(1, 5, 5, 1.0), (2, 3, 8, 0.4), (3, 3, 11, 0.79), (4, 3, 14, 0.8), (5, 0, 14, 0.7)]
+    steps = spark.createDataFrame(rows, "t int, new_entities int, s_obs int, coverage_lo double").withColumn("s_hat", F.col("s_obs").cast("double"))
+    assert [r["stop"] for r in coverage.stop_capture(steps).orderBy("t").collect()] == [False, False, False, True, False]
+    pairs = [(f"e{k}", t) for k in range(6) for t in range(1, 5) if (k + t) % 2 == 0 or k < 3]
+    last = coverage.trajectory_bounds(incidence(spark, pairs)).where("t = 4").first()
+    whole = coverage.summary(incidence(spark, pairs)).first()
+    assert (last["ci_lo"], last["ci_hi"], last["coverage_lo"]) == (whole["ci_lo_s"], whole["ci_hi_s"], whole["coverage_lo"])
+
+
+def test_ledger_tells_captures_with_equal_ends_apart(spark):
+    rows = spark.createDataFrame([("r", "a-12345678", "u", "ok", 1), ("r", "b-12345678", "u", "ok", 2), ("r", "", "u", "ok", 3), ("r", None, "u", "ok", 4)], "run string, capture string, url string, status string, seq int")
+    assert merge.source_ledger(rows).count() == 4
