@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step handles at a time (a longer text is handled alone).
 GROUP_CHARS = 2_000_000
@@ -20,16 +21,18 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``, else the folder given to ``setCheckpointDir``.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, it is a temporary folder of this machine.
+    Only where neither is set and the master is local, as in tests, it is a temporary folder of this machine.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    given = spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or given
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _OWN_DIRS.setdefault(app, _OWN_DIRS.get(app) or "file://" + tempfile.mkdtemp(prefix="tablewright-"))
-    if spark.sparkContext.getCheckpointDir() is None:
+    if given is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -98,10 +101,30 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-#: A side of a join is broadcast only if a count has shown that it has no more rows than this; else Spark shuffles both.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only if its bytes, summed over all its rows, are no more than this; else Spark shuffles both.
+BROADCAST_BYTES = 16 << 20
+#: What a row takes in a broadcast table besides its values.
+_ROW_BYTES = 32
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to be small. Give a stored table of few short columns."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def held_bytes(df: DataFrame) -> int:
+    """An upper estimate of a table's bytes in memory: one distributed sum, of which one row reaches the driver."""
+    size = F.lit(_ROW_BYTES)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = size + 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(kind, T.ArrayType):
+            size = size + 16 + 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) if not isinstance(kind.elementType, (T.StringType, T.BinaryType)) else size + 16 + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+        else:
+            size = size + 16
+    return df.select(F.sum(size.cast("long"))).first()[0] or 0
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    return held_bytes(df) <= limit
+
+
+def if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is measured to be small, else with one that keeps Spark from guessing. Give a stored table."""
+    return F.broadcast(df) if small(df, limit) else df.hint("merge")

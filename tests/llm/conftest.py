@@ -19,6 +19,8 @@ EDGE = [
     (9, "one", None),
     (-3, PROSE, "s9"),
     (10, "\0 nul <|endoftext|> and " + "x" * 5000, "s3"),
+    (4, "another text under an id that is there twice\n" + PROSE, "s1"),
+    (None, "a second text without an id", None),
 ]
 #: Columns whose names the operators use inside.
 CLASHING = ["fp", "key", "h", "n", "w", "b", "a", "part", "ids", "votes", "src", "block", "stratum", "line", "lines", "path", "features", "score", "root", "u", "start", "range", "kept", "group", "value", "first"]

@@ -1,6 +1,7 @@
 """Staging, slices by size and guarded broadcasts."""
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import common
@@ -24,8 +25,36 @@ def test_slices_keep_all_rows():
 
 def test_broadcast_only_small(spark):
     plan = lambda df: df._jdf.queryExecution().logical().toString()
-    assert "broadcast" in plan(common.if_small(spark.range(5), 5)).lower()
-    assert "broadcast" not in plan(common.if_small(spark.range(6), 5)).lower()
+    rows = spark.createDataFrame([(1, "x" * 100, [1, 2, 3], ["yy"]), (None, None, None, None)], "a long, b string, c array<long>, d array<string>")
+    held = common.held_bytes(rows)
+    assert 200 < held < 600 and common.held_bytes(rows.limit(0)) == 0
+    assert "broadcast" in plan(common.if_small(rows, held)).lower()
+    assert "broadcast" not in plan(common.if_small(rows, held - 1)).lower()
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+    class Bare:
+        """A session on a cluster without a shared folder, or with one given to its context."""
+
+        def __init__(self, master, given=None):
+            self.conf, self.sparkContext = self, self
+            self.master, self.given, self.applicationId = master, given, "app-1"
+
+        def get(self, key, default):
+            return default
+
+        def getCheckpointDir(self):
+            return self.given
+
+        def setCheckpointDir(self, path):
+            self.given = path
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Bare("spark://host:7077"))
+    assert common.shared_dir(Bare("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
+    assert common.shared_dir(Bare("local[4]")).startswith("file://")
 
 
 def test_once_is_not_copied(spark):
