@@ -18,9 +18,11 @@ Two lines one edit apart share the first or the last half of their words. Only l
 that share such a half with another line emit their neighbourhood, which loses nothing.
 
 Fixed results: a null or empty text has no line; a document with a null id is not
-compared and passes unchanged; rows with the same id count as one document, what is
-dropped for a line number is dropped in each; a document may become empty, its row stays;
-ties cannot occur between lines of different documents; other columns pass through.
+compared and passes unchanged; rows are told apart by id and text: those equal in both are one document and
+lose the same lines, those with one id and different texts are documents of their own, ordered by a hash of the text;
+a document may become empty, its row stays; ties cannot occur between lines of different documents, but for two texts of one id
+whose 31-bit order hashes are equal: of these neither counts as earlier. A very long line is one row while its words are compared;
+other columns pass through; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .common import if_small, once, slim, staged
 
-#: Shorter lines are compared for equality only: one edit in fewer words is another line.
+#: Lines of fewer words are compared for equality only: one edit in fewer words is another line. (Default of a parameter.)
 MIN_WORDS = 10
 
 _BLANK = r"[ \t\x0B\f\r]+"
@@ -42,21 +44,40 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(line, _BLANK), lambda w: w != "")
 
 
+def _text_hash() -> Column:
+    return F.xxhash64("text")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    return slim(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", once(F.split("text", "\n", -1)).alias("lines")).select("doc_id", F.posexplode("lines").alias("line_no", "line"))
+    """``doc_id, part, h, line_no, line``: ``h`` tells texts of one id apart, ``part`` are its highest 31 bits."""
+    rows = slim(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", _text_hash().alias("h"), once(F.split("text", "\n", -1)).alias("lines"))
+    return rows.select("doc_id", F.shiftrightunsigned("h", 33).cast("int").alias("part"), "h", F.posexplode("lines").alias("line_no", "line"))
+
+
+#: Columns that name a line, in their order.
+_PLACE = ["doc_id", "part", "line_no"]
 
 
-def _order(doc_id: Column, line_no: Column) -> Column:
+def _order() -> Column:
     """The place of a line in the corpus as one number, which aggregates without sorting."""
-    return (doc_id.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(38,0)") + line_no.cast("decimal(10,0)")
+    wide = lambda c: c.cast("decimal(20,0)")
+    within = F.col("part").cast("long") * F.lit(1 << 31) + F.col("line_no")
+    return (wide(F.col("doc_id")) * F.lit(1 << 62).cast("decimal(19,0)")).cast("decimal(38,0)") + wide(within)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _placed(order: str, kind: str) -> list[Column]:
+    """The columns that name the line of an order number."""
+    within = f"cast(pmod({order}, 4611686018427387904) AS bigint)"
+    doc = F.expr(f"({order} - pmod({order}, 4611686018427387904)) div 4611686018427387904").cast(kind)
+    return [doc.alias("doc_id"), F.expr(f"cast(shiftright({within}, 31) AS int)").alias("part"), F.expr(f"cast({within} & 2147483647 AS int)").alias("line_no")]
+
+
+def _keyed(docs: DataFrame, min_words: int) -> DataFrame:
     """Each line with a word: hashes of its words and of the halves that it shares with any line one edit apart."""
-    rows = _lines(docs).select("doc_id", "line_no", once(_words(F.col("line"))).alias("w")).where("size(w) > 0")
+    rows = _lines(docs).select(*_PLACE, "h", once(_words(F.col("line"))).alias("w")).where("size(w) > 0")
     rows = rows.select("*", F.size("w").alias("n")).select("*", F.expr("n div 2").alias("a"), F.expr("(n - 1) div 2").alias("b"))
-    half = lambda k, side: F.expr(f"CASE WHEN n >= {MIN_WORDS} THEN xxhash64({k}, '{side}', " + (f"slice(w, 1, {k})" if side == "first" else f"slice(w, n - {k} + 1, {k})") + ") END")
-    return rows.select("doc_id", "line_no", "n", F.expr("xxhash64(w)").alias("h1"), F.expr("xxhash64(n, w)").alias("h2"), half("a", "first").alias("k1"), half("a", "last").alias("k2"), half("b", "first").alias("k3"), half("b", "last").alias("k4"))
+    half = lambda k, side: F.expr(f"CASE WHEN n >= {min_words} THEN xxhash64({k}, '{side}', " + (f"slice(w, 1, {k})" if side == "first" else f"slice(w, n - {k} + 1, {k})") + ") END")
+    return rows.select(*_PLACE, "h", "n", F.expr("xxhash64(w)").alias("h1"), F.expr("xxhash64(n, w)").alias("h2"), half("a", "first").alias("k1"), half("a", "last").alias("k2"), half("b", "first").alias("k3"), half("b", "last").alias("k4"))
 
 
 def _shared(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -73,16 +94,16 @@ def _variants(words: DataFrame) -> DataFrame:
     """
     g = lambda seed, place: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("w"), place), 24)  # noqa: E731  40 bits: sums of 8 million words fit
     j = F.col("j")
-    line = Window.partitionBy("doc_id", "line_no")
+    line = Window.partitionBy(*_PLACE, "h")
     upto = line.orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = words.select("doc_id", "line_no", "n", F.posexplode("w").alias("j", "w"))
+    rows = words.select(*_PLACE, "h", "n", F.posexplode("w").alias("j", "w"))
     rows = rows.select("*", *(f(s, p).alias(f"{c}{s}") for s in (1, 2) for c, p, f in (("g", j, g), ("m", j - 1, g))))
     rows = rows.select("*", *(F.sum(f"g{s}").over(line).alias(f"all{s}") for s in (1, 2)), *(F.sum(f"g{s}").over(upto).alias(f"before{s}") for s in (1, 2)), *((F.sum(f"m{s}").over(line) - F.sum(f"m{s}").over(upto)).alias(f"after{s}") for s in (1, 2)))
     key = lambda at, n, a, b: F.struct(at.cast("int").alias("at"), n.cast("int").alias("len"), a.alias("x"), b.alias("y"))
     replaced = F.struct(F.lit(1).alias("role"), key(j, F.col("n"), F.col("all1") - F.col("g1"), F.col("all2") - F.col("g2")).alias("k"))
     shorter = F.struct(F.lit(1).alias("role"), key(F.lit(-1), F.col("n") - 1, F.col("before1") - F.col("g1") + F.col("after1"), F.col("before2") - F.col("g2") + F.col("after2")).alias("k"))
     whole = F.when(j == 0, F.struct(F.lit(0).alias("role"), key(F.lit(-1), F.col("n"), F.col("all1"), F.col("all2")).alias("k")))
-    out = rows.select("doc_id", "line_no", F.explode(F.array_compact(F.array(replaced, shorter, whole))).alias("v")).select("doc_id", "line_no", "v.role", "v.k.*")
+    out = rows.select(*_PLACE, F.explode(F.array_compact(F.array(replaced, shorter, whole))).alias("v")).select(*_PLACE, "v.role", "v.k.*")
     return out.withColumn("key", F.xxhash64("at", "len", "x", "y"))
 
 
@@ -94,36 +115,34 @@ def within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & ((first == 0) | ((first - 1) + (last - 1) >= longest - 1))
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` of every line that has an earlier one within the bound."""
+def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, h, line_no`` of every line that has an earlier one within the bound; ``h`` is the text's hash."""
     kind = dict(docs.dtypes)["doc_id"]
-    lines = staged(_keyed(docs), "lines")
-    order = _order(F.col("doc_id"), F.col("line_no"))
-    distinct = staged(lines.groupBy(*_DISTINCT).agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), *(F.first(k).alias(k) for k in ("k1", "k2", "k3", "k4"))), "distinct")
+    lines = staged(_keyed(docs, min_words), "lines")
+    distinct = staged(lines.groupBy(*_DISTINCT).agg(F.min(_order()).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), *(F.first(k).alias(k) for k in ("k1", "k2", "k3", "k4"))), "distinct")
     again = staged(distinct.where("copies > 1").select(*_DISTINCT, "first"), "again")
-    exact = lines.join(if_small(again), _DISTINCT).where(order > F.col("first")).select("doc_id", "line_no")
+    exact = lines.join(if_small(again), _DISTINCT).where(_order() > F.col("first")).select("doc_id", "h", "line_no")
 
-    place = [F.expr("(first - pmod(first, 2147483648)) div 2147483648").cast(kind).alias("doc_id"), F.expr("cast(pmod(first, 2147483648) AS int)").alias("line_no")]
-    halves = distinct.where(f"n >= {MIN_WORDS}").select(*place, F.explode(F.array_distinct(F.array("k1", "k2", "k3", "k4"))).alias("half"))
-    near = staged(_shared(halves, "half", "halves").select("doc_id", "line_no").distinct(), "near")
-    words = staged(_lines(docs).join(if_small(near), ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"]).select("doc_id", "line_no", _words(F.col("line")).alias("w")).withColumn("n", F.size("w")), "words")
-    met = staged(_shared(_variants(words), "key", "variants"), "met")
+    halves = distinct.where(f"n >= {min_words}").select(*_placed("first", kind), F.explode(F.array_distinct(F.array("k1", "k2", "k3", "k4"))).alias("half"))
+    near = staged(_shared(halves, "half", "halves").select(*_PLACE).distinct(), "near")
+    words = staged(_lines(docs).join(if_small(near), _PLACE, "left_semi").dropDuplicates([*_PLACE, "h"]).select(*_PLACE, "h", _words(F.col("line")).alias("w")).withColumn("n", F.size("w")), "words")
+    met = staged(_shared(_variants(words), "key", "variants"), "met").withColumn("o", _order())
     bucket = ["at", "len", "x", "y"]
-    met = met.withColumn("o", _order(F.col("doc_id"), F.col("line_no")))
     least = met.groupBy(*bucket).agg(F.min(F.when(F.col("role") == 0, F.col("o"))).alias("o0"), F.min(F.when(F.col("role") == 1, F.col("o"))).alias("o1"))
     # A replacement's bucket holds variants only; otherwise a line meets variants of longer lines, and these meet it.
     pairs = met.join(least, bucket).withColumn("first", F.when((F.col("at") >= 0) | (F.col("role") == 0), F.col("o1")).otherwise(F.col("o0"))).where("first < o")
-    pairs = pairs.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), *place).distinct()
-    early = words.select("doc_id", "line_no", F.col("w").alias("early"))
-    late = words.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("w").alias("late"))
-    close = pairs.join(early, ["doc_id", "line_no"]).join(late, ["d", "l"]).where(within_one(F.col("early"), F.col("late"))).select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))
-    return exact.unionByName(close).distinct()
-
-
-def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
-    """The documents without their dropped lines. ``report`` adds ``n_lines`` and ``n_dropped``."""
-    drops = staged(dropped_lines(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__drops")), "drops")
-    joined = docs.join(if_small(drops), docs["doc_id"] == F.col("__id"), "left")
+    late_place = [f"{c}_late" for c in _PLACE]
+    pairs = pairs.select(*(F.col(c).alias(f"{c}_late") for c in _PLACE), *_placed("first", kind)).distinct()
+    early = words.select(*_PLACE, F.col("w").alias("early"))
+    late = words.select(*(F.col(c).alias(f"{c}_late") for c in _PLACE), "h", F.col("w").alias("late"))
+    close = pairs.join(early, _PLACE).join(late, late_place).where(within_one(F.col("early"), F.col("late")))
+    return exact.unionByName(close.select(F.col("doc_id_late").alias("doc_id"), "h", F.col("line_no_late").alias("line_no"))).distinct()
+
+
+def dedup_lines(docs: DataFrame, report: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents without their dropped lines. ``report`` adds ``n_lines`` and ``n_dropped``. Lines of fewer than ``min_words`` words go only when an earlier line has the same words."""
+    drops = staged(dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_set("line_no")).alias("__drops")), "drops")
+    joined = docs.join(if_small(drops), (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
     # What stays are the runs between dropped lines, so the work is in proportion to the lines.
     runs = """array_join(flatten(transform(sequence(0, size(__drops)), i -> slice(__lines,
         if(i = 0, 1, __drops[i - 1] + 2),
@@ -136,7 +155,7 @@ def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
         joined = joined.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
     elif "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__drops").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return joined.drop("__id", "__drops", "__lines")
+    return joined.drop("__id", "__h", "__drops", "__lines")
 
 
 #: The report in DuckDB's SQL: each distinct line's earliest place, and for long lines a comparison of words with one left out.

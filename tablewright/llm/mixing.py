@@ -16,7 +16,8 @@ thousands of ranges. Only one row for each source (and one for each source and r
 
 Fixed results: tokens are words parted by ASCII blanks; a null text has none; a null
 source is a source of its own; a source without any token keeps its documents once; a null
-id is permuted like a value; repeated rows are drawn each by itself; an empty table gives an empty mix; other
+id is permuted like a value; the permutation's key is a hash of block, id and text, so rows equal in both have equal keys, and rows of equal keys
+are admitted to the last block together or not at all; texts of any length are counted where they lie; an empty table gives an empty mix; other
 columns pass through ``mix_documents``.
 """
 
@@ -91,8 +92,12 @@ def _n_tokens() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _key(block: Column, seed: int) -> Column:
-    return F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), block.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16)
+def _key(block: Column, seed: int, text_md5: Column) -> Column:
+    return F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), block.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_md5)), 1, 16)
+
+
+def _text_md5() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
 
 
 def mixing_plan(rows: DataFrame, target: Target) -> DataFrame:
@@ -105,7 +110,7 @@ def mixing_plan(rows: DataFrame, target: Target) -> DataFrame:
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    return staged(docs.select("doc_id", "source", _source_key().alias("src"), _n_tokens().alias("n_tokens")), "mix")
+    return staged(docs.select("doc_id", "source", _source_key().alias("src"), _n_tokens().alias("n_tokens"), _text_md5().alias("text_md5")), "mix")
 
 
 def mix_schedule(docs: DataFrame, target: Target = Target(), seed: int = SEED) -> DataFrame:
@@ -115,12 +120,13 @@ def mix_schedule(docs: DataFrame, target: Target = Target(), seed: int = SEED) -
     rows = _sizes(docs)
     plan = mixing_plan(rows, target)
     drawn = rows.join(if_small(plan), "src").withColumn("block", F.explode(F.expr("sequence(0L, blocks - IF(rest > 0, 0, 1))"))) if not plan.isEmpty() else rows.limit(0).select("*", *(F.lit(0).cast("long").alias(c) for c in ("tokens", "target", "blocks", "rest", "block")))
-    drawn = drawn.where("block >= 0").withColumn("key", _key(F.col("block"), seed)).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    drawn = drawn.where("block >= 0").withColumn("key", _key(F.col("block"), seed, F.col("text_md5"))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     ranges = drawn.groupBy("src", "block", "range").agg(F.sum("n_tokens").alias("held"))
     before = ranges.withColumn("before", F.sum("held").over(Window.partitionBy("src", "block").orderBy("range")) - F.col("held")).drop("held")
-    inside = Window.partitionBy("src", "block", "range").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = drawn.join(before, ["src", "block", "range"]).withColumn("place", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    chosen = placed.where("block < blocks OR place + n_tokens <= rest")
+    inside = Window.partitionBy("src", "block", "range").orderBy("key")
+    placed = drawn.join(before, ["src", "block", "range"]).withColumn("place", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Rows of equal keys share the end of the last of them.
+    chosen = placed.withColumn("end", F.col("before") + F.sum("n_tokens").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("block < blocks OR end <= rest")
     start = F.col("block") * F.col("tokens") + F.col("place")
     return chosen.select("doc_id", "source", "block", "n_tokens", start.alias("start"), F.col("target"), F.when(F.col("target") > 0, start / F.col("target")).otherwise(0.0).alias("at"))
 
@@ -135,19 +141,19 @@ def mix_documents(docs: DataFrame, target: Target = Target(), seed: int = SEED)
     plan = mixing_plan(rows, target)
     if plan.isEmpty():
         return docs
-    cut = rows.join(if_small(plan.where("rest > 0")), "src").withColumn("key", _key(F.col("blocks"), seed)).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    cut = rows.join(if_small(plan.where("rest > 0")), "src").withColumn("key", _key(F.col("blocks"), seed, F.col("text_md5"))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     ranges = cut.groupBy("src", "range").agg(F.sum("n_tokens").alias("held"), F.first("rest").alias("rest"))
     ends = ranges.withColumn("end", F.sum("held").over(Window.partitionBy("src").orderBy("range")))
     # The range in which the rest is used up: what it holds is little; whole ranges before it are in.
     edge = staged(ends.where("end > rest").groupBy("src").agg(F.min(F.struct("range", (F.col("rest") - F.col("end") + F.col("held")).alias("left"))).alias("e")).select("src", "e.range", "e.left"), "edge")
-    inside = Window.partitionBy("src").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("src").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = cut.join(if_small(edge), ["src", "range"]).withColumn("sum", F.sum("n_tokens").over(inside)).where("sum <= left")
-    last = last.groupBy("src").agg(F.max(F.struct("key", "doc_id")).alias("last"))
+    last = last.groupBy("src").agg(F.max("key").alias("last"))
     cuts = plan.join(edge, "src", "left").join(last, "src", "left").select(F.col("src").alias("__src"), F.col("blocks").alias("__blocks"), F.col("rest").alias("__rest"), F.col("range").alias("__range"), F.col("last").alias("__last"))
     cuts = staged(cuts, "cuts")
-    joined = docs.join(if_small(cuts), _source_key() == F.col("__src")).withColumn("__key", _key(F.col("__blocks"), seed))
+    joined = docs.join(if_small(cuts), _source_key() == F.col("__src")).withColumn("__key", _key(F.col("__blocks"), seed, _text_md5()))
     whole = F.substring("__key", 1, RANGE_DIGITS) < F.col("__range")
-    partly = F.coalesce(F.struct(F.col("__key").alias("key"), F.col("doc_id")) <= F.col("__last"), F.lit(False))
+    partly = F.coalesce(F.col("__key") <= F.col("__last"), F.lit(False))
     extra = F.when((F.col("__rest") > 0) & (F.coalesce(whole, F.lit(True)) | partly), 1).otherwise(0)
     copies = F.explode(F.expr("array_repeat(0, cast(__n AS int))"))
     return joined.withColumn("__n", F.col("__blocks") + extra).where("__n > 0").select(*(docs[c] for c in docs.columns), copies.alias("__copy")).drop("__copy")
@@ -157,7 +163,7 @@ def mix_documents(docs: DataFrame, target: Target = Target(), seed: int = SEED)
 ORACLE_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce('=' || source, 'null') AS src,
-         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens, md5(coalesce(text, '')) AS text_md5 FROM documents),
 totals AS (SELECT src, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM sized GROUP BY src),
 shares AS (SELECT src, tokens, tokens / sum(tokens) OVER () AS share FROM totals WHERE tokens > 0),
 bisect(i, low, high) AS (
@@ -173,9 +179,10 @@ plan AS (SELECT src, tokens, target, target // tokens AS blocks, target % tokens
          UNION ALL SELECT src, 0, 0, 1, 0 FROM totals WHERE tokens = 0),
 drawn AS (SELECT s.*, p.tokens, p.target, p.blocks, p.rest, unnest(generate_series(0, blocks - CASE WHEN rest > 0 THEN 0 ELSE 1 END)) AS block
           FROM sized s JOIN plan p USING (src)),
-keyed AS (SELECT *, substr(md5('20:' || block || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS key FROM drawn),
-placed AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY src, block ORDER BY key, doc_id NULLS FIRST, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM keyed)
+keyed AS (SELECT *, substr(md5('20:' || block || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_md5), 1, 16) AS key FROM drawn),
+placed AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY src, block ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place,
+           sum(n_tokens) OVER (PARTITION BY src, block ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fill FROM keyed)
 SELECT doc_id, source, CAST(block AS BIGINT) AS block, n_tokens, CAST(block * tokens + place AS BIGINT) AS start, CAST(target AS BIGINT) AS target,
        CASE WHEN target > 0 THEN (block * tokens + place) / target ELSE 0 END AS at
-FROM placed WHERE block < blocks OR place + n_tokens <= rest
+FROM placed WHERE block < blocks OR fill <= rest
 """

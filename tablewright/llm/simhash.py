@@ -29,9 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from .common import by_size, slim, staged, texts_of
+from .common import by_size, if_small, slim, small, staged, texts_of
 
 DISTANCE = 2
 SHINGLE = 3
@@ -62,15 +62,15 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed 64-bit number."""
+    """``doc_id, h, fp``: the text's hash and the fingerprint as signed 64-bit numbers."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches):
             fps = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fps)], names=["doc_id", "h", "fp"])
 
-    return slim(docs, "doc_id", "text").mapInArrow(each, f"doc_id {kind}, fp bigint")
+    return slim(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).mapInArrow(each, f"doc_id {kind}, h bigint, fp bigint")
 
 
 def _segments(fp: str) -> str:
@@ -103,45 +103,85 @@ def links(points: DataFrame, entry: int = ENTRY) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``u, root``: the smallest node of the component of every node that has a link (edges ``a, b``)."""
+    """``u, root``: the smallest node of the component of every node that has a link (edges ``a, b``).
+
+    Nodes are named by the roots that they hang on. A component with very many nodes would meet its root in one task, so what
+    joins on roots is the table of distinct roots with their next ones, broadcast where it is small and else dealt out with salt.
+    """
     both = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
     labels = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")), "roots")
     while True:
         ends = both.join(labels.select(F.col("u").alias("v"), F.col("root").alias("to")), "v").join(labels, "u")
         # A smaller neighbouring label reaches the node and the root that it hangs on.
         hooks = ends.where("to < root").select(F.explode(F.array("u", "root")).alias("u"), "to").groupBy("u").agg(F.min("to").alias("to"))
-        hooked = labels.join(hooks, "u", "left").select("u", F.least("root", "to").alias("root"), F.col("root").alias("was"))
-        jumped = hooked.join(hooked.select(F.col("u").alias("root"), F.col("root").alias("next")), "root", "left").select("u", F.least("root", "next").alias("root"), (F.least("root", "next") < F.col("was")).alias("moved"))
+        hooked = staged(labels.join(hooks, "u", "left").select("u", F.least("root", "to").alias("root"), F.col("root").alias("was")), "hooked")
+        heads = hooked.select("root").distinct()
+        step = staged(heads.join(hooked.select(F.col("u").alias("root"), F.col("root").alias("next")), "root").where("next < root"), "next")
+        jumped = _by_root(hooked, step).select("u", F.least("root", "next").alias("root"), (F.least("root", "next") < F.col("was")).alias("moved"))
         labels = staged(jumped, "roots")
         if labels.where("moved").isEmpty():
             return labels.select("u", "root")
         labels = labels.select("u", "root")
 
 
-def simhash_classes(docs: DataFrame, entry: int = ENTRY) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every document row."""
+#: Shares that the nodes of one root are dealt to.
+SALTS = 64
+
+
+def _by_root(nodes: DataFrame, facts: DataFrame) -> DataFrame:
+    """``nodes`` with what the stored table ``facts`` knows of their ``root``, one row for each root at most."""
+    if small(facts):
+        return nodes.join(F.broadcast(facts), "root", "left")
+    dealt = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return nodes.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).join(dealt.hint("merge"), ["root", "salt"], "left").drop("salt")
+
+
+def _marks_and_classes(docs: DataFrame, entry: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, h, fp`` of every row, and ``fp, fp_class, component_id`` of every fingerprint."""
     marks = staged(fingerprints(docs), "fingerprints")
     points = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = components(links(points.select("fp"), entry)).withColumnRenamed("u", "fp")
-    linked = points.join(roots, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.select("fp", "root").join(least, "root").select("fp", F.col("component_id").alias("__c"))
+    roots = staged(components(links(points.select("fp"), entry)).withColumnRenamed("u", "fp"), "linked")
+    linked = staged(points.join(roots, "fp"), "linked-points")
+    least = staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = linked.select("fp", "root").join(if_small(least), "root").select("fp", F.col("root").alias("__r"), F.col("component_id").alias("__c"))
     # Stored, so that both sides of the last join come from plain exchanges and Spark can split a fingerprint with very many documents.
-    classes = staged(points.join(named, "fp", "left").select("fp", F.coalesce("__c", "least").alias("component_id")), "classes")
+    classes = points.join(named, "fp", "left").select("fp", F.coalesce("__r", "fp").alias("fp_class"), F.when(F.col("__r").isNull(), F.col("least")).otherwise(F.col("__c")).alias("component_id"))
+    return marks, staged(classes, "classes")
+
+
+def simhash_classes(docs: DataFrame, entry: int = ENTRY) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every document row."""
+    marks, classes = _marks_and_classes(docs, entry)
     return marks.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The documents whose ids ``keep`` has as ``__id``, with their columns.
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One document of each class, with its columns: the one with the smallest id, and of several texts under it the one with the smallest hash.
 
-    Rows that repeat an id are one document, of which one row stays. Rows with a null id cannot be told
-    apart and all stay.
+    ``rows`` are ``doc_id, h, class`` of every document, stored, ``h`` the ``xxhash64`` of its text. Rows equal in id and text are one document, of which one stays:
+    the smallest in the other columns that have an order. Documents with a null id cannot be named and all stay. Texts are shuffled only where the
+    dropped names are too many to broadcast.
     """
-    named = docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("__id"), "left_semi")
-    once = named.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__n = 1").drop("__n")
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    named = rows.where("doc_id IS NOT NULL")
+    first = staged(named.groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("class", "first.*"), "first")
+    counts = named.groupBy("class", "doc_id", "h").agg(F.count("*").alias("n"))
+    # A class is spread over its rows' names before it meets its first row, so a large one is no single task's.
+    firsts = first.select(F.col("class").alias("c"), F.col("doc_id").alias("first_id"), F.col("h").alias("first_h"))
+    judged = staged(counts.join(if_small(firsts), F.col("class") == F.col("c")).select("doc_id", "h", "n", ((F.col("doc_id") == F.col("first_id")) & (F.col("h") == F.col("first_h"))).alias("stays")), "judged")
+    key = [F.col("doc_id").alias("__id"), F.col("h").alias("__h")]
+    at = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
+    out = docs.join(if_small(judged.where("NOT stays").select(*key)), at, "left_anti")
+    again = judged.where("stays AND n > 1").select(*key)
+    if again.isEmpty():
+        return out
+    again = if_small(again)
+    ordered = F.struct(*(F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))))
+    repeated = docs.join(again, at).groupBy("__id", "__h").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), ordered).alias("__row"))
+    return out.join(again, at, "left_anti").unionByName(repeated.select("__row.*"))
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the smallest id, as ``one_of_each`` gives it."""
-    return one_of_each(docs, simhash_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct())
+    """One document of each class, as ``one_of_each`` gives it."""
+    marks, classes = _marks_and_classes(docs, ENTRY)
+    rows = staged(marks.join(classes, "fp").select("doc_id", "h", F.col("fp_class").alias("class")), "class-rows")
+    return one_of_each(docs, rows)

@@ -71,10 +71,21 @@ def test_components_of_long_chains(spark):
 def test_dedup_keeps_one(edge, empty):
     kept = simhash.simhash_dedup(edge)
     assert kept.columns == edge.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [-3, 1, 10, 6, 7, 8, None, 5])) or sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [-3, 1, 10, 6, 7, 8, None]))
+    # Of the prose (-3, 4 twice and 4 with another text) and of the wordless texts one row each; 5 is "again" and more than two bits away.
+    classes = slow_classes([(r["doc_id"], slow_fingerprint(r["text"])) for r in edge.collect() if r["doc_id"] is not None])
+    named = [r for r in edge.collect() if r["doc_id"] is not None]
+    want = sorted({c for c in classes})
+    got = [r["doc_id"] for r in kept.collect()]
+    assert sorted(x for x in got if x is not None) == want and got.count(None) == sum(r["doc_id"] is None for r in edge.collect()) and len(named) > len(want)
     assert simhash.simhash_dedup(empty).count() == 0 and simhash.simhash_classes(empty).count() == 0
 
 
+def test_texts_under_one_id_are_told_apart(spark):
+    rows = [(1, "a b c d e f g", 1), (1, "totally different words that nobody else has", 2), (1, "a b c d e f g", 3), (2, "a b c d e f g", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert sorted(tuple(r) for r in simhash.simhash_dedup(docs).collect()) == [(1, "a b c d e f g", 1), (1, "totally different words that nobody else has", 2)]
+
+
 def near(a, b):
     """Whether word lists are one edit apart or equal, by the table of all distances."""
     d = list(range(len(b) + 1))
@@ -85,14 +96,20 @@ def near(a, b):
     return d[-1] <= 1
 
 
-def slow_drops(rows):
+def text_hashes(spark, texts):
+    """``xxhash64`` of each text, as the operator names texts of one id."""
+    texts = sorted(set(texts))
+    return {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) AS h").collect()} if texts else {}
+
+
+def slow_drops(rows, hashes, least=line_dedup.MIN_WORDS):
     seen, out = [], set()
-    for key, text in sorted({(k, t) for k, t in rows if k is not None and t is not None}):
+    for key, h, text in sorted({(k, hashes[t], t) for k, t in rows if k is not None and t is not None}, key=lambda r: (r[0], r[1] % 2**64 >> 33)):
         for n, line in enumerate(text.split("\n")):
             w = [x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
             if w:
-                if any(w == v or (min(len(v), len(w)) >= line_dedup.MIN_WORDS and abs(len(v) - len(w)) < 2 and near(v, w)) for v in seen):
-                    out.add((key, n))
+                if any(w == v or (min(len(v), len(w)) >= least and abs(len(v) - len(w)) < 2 and near(v, w)) for v in seen):
+                    out.add((key, h, n))
                 seen.append(w)
     return out
 
@@ -112,25 +129,35 @@ def test_line_drops(spark):
             lines.append((" " * rng.randrange(3)).join(["", *w]) if rng.random() < 0.1 else " ".join(w))
         rows.append((k, "\n".join(lines)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = slow_drops(rows)
+    hashes = text_hashes(spark, [t for _, t in rows])
+    want = slow_drops(rows, hashes)
     assert {tuple(r) for r in line_dedup.dropped_lines(docs).collect()} == want and len(want) > 50
+    assert {tuple(r) for r in line_dedup.dropped_lines(docs, min_words=3).collect()} == slow_drops(rows, hashes, 3) > want
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, report=True).collect()}
     for k, t in rows:
-        left = [x for n, x in enumerate(t.split("\n")) if (k, n) not in want]
+        left = [x for n, x in enumerate(t.split("\n")) if (k, hashes[t], n) not in want]
         assert got[k]["text"] == "\n".join(left) and got[k]["n_dropped"] == 5 - len(left) and got[k]["n_lines"] == 5
 
 
-def test_line_dedup_edges(edge, empty):
+def test_line_dedup_edges(spark, edge, empty):
     rows = edge.collect()
-    want = slow_drops([(r["doc_id"], r["text"]) for r in rows])
+    hashes = text_hashes(spark, [r["text"] for r in rows if r["text"] is not None])
+    want = slow_drops([(r["doc_id"], r["text"]) for r in rows], hashes)
     out = line_dedup.dedup_lines(edge)
     assert out.columns == edge.columns
-    got = sorted(((str(r["doc_id"]), r["text"], r["n_chars"]) for r in out.collect()), key=repr)
-    left = [(r["doc_id"], None if r["text"] is None else "\n".join(x for n, x in enumerate(r["text"].split("\n")) if (r["doc_id"], n) not in want), r["n_chars"]) for r in rows]
-    assert [(a, b) for a, b, _ in got] == sorted([(str(a), b) for a, b, _ in left], key=repr)
+    got = sorted(((str(r["doc_id"]), r["text"]) for r in out.collect()), key=repr)
+    left = [(str(r["doc_id"]), None if r["text"] is None else "\n".join(x for n, x in enumerate(r["text"].split("\n")) if (r["doc_id"], hashes[r["text"]], n) not in want)) for r in rows]
+    assert got == sorted(left, key=repr)
+    assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] is not None)
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_texts_under_one_id(spark):
+    rows = [(1, "alpha beta\nshared line here"), (2, "shared line here\nx"), (2, "unique content nobody else has\nshared line here"), (2, "shared line here\nx")]
+    out = sorted(r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == ["alpha beta\nshared line here", "unique content nobody else has", "x", "x"]
+
+
 @pytest.mark.parametrize("target", [mixing.Target(), mixing.Target(None, 0.95), mixing.Target(3.0, None, 40_000), mixing.Target(1.0)])
 def test_mix(edge, target):
     plan = mixing.mix_schedule(edge, target).collect()
@@ -152,6 +179,20 @@ def test_mix(edge, target):
             at += r["n_tokens"]
 
 
+@pytest.mark.parametrize("budget", [700, 1100, 1500])
+def test_rows_that_repeat_an_id_keep_to_the_budget(spark, budget):
+    rows = [(k % 40, " ".join(f"w{j}" for j in range(1 + (7 * k) % 13)), f"s{k % 3}") for k in range(120)] + [(None, "a b c", "s1")] * 9 + [(5, "same text here", "s2")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = mixing.Target(1.5, None, budget)
+    plan, mixed = mixing.mix_schedule(docs, target).collect(), mixing.mix_documents(docs, target).collect()
+    count = lambda rs: sorted((str(r["doc_id"]), r["source"]) for r in rs)
+    assert count(plan) == count(mixed)
+    goal = {r["source"]: r["target"] for r in plan}
+    for s, g in goal.items():
+        tokens = sum(len(r["text"].split()) for r in mixed if r["source"] == s)
+        assert tokens <= g and tokens == sum(r["n_tokens"] for r in plan if r["source"] == s)
+
+
 def test_mix_of_nothing(empty):
     assert mixing.mix_schedule(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
