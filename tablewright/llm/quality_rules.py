@@ -1,17 +1,20 @@
 """Quality rules whose cutoffs carry a guarantee on wrongly rejected documents.
 
-Each rule rejects a document when one measured rate exceeds a cutoff. The
-cutoffs are chosen per stratum from labelled documents: from the most lenient
-candidate on, a candidate is accepted only if an exact binomial test rejects
-"more than the allowed share of good documents would be lost". Testing in that
-fixed order needs no correction along one rule's candidates; rules and strata
-share the error probability equally (Bonferroni), and the allowed share is
-divided over the rules, so their union keeps it too.
+Each rule rejects a document when one measured rate exceeds a cutoff. A stratum's labelled documents are
+dealt by a hash of the id into two sets. The learning set gives a sequence of cutoff
+tuples, from lenient to strict: every rule that catches bad documents takes part, and at each
+step its cutoff is the one that a certain share of the good learning documents exceeds. The holdout then
+tests the tuples in that order: an exact binomial test must reject "more than the allowed share of
+good documents would be lost to any of the rules". Testing in a fixed order needs no correction
+along the sequence, and the loss is that of all rules together; strata share
+the error probability equally (Bonferroni over the strata that are tested). Among the
+certified tuples the most lenient one with nearly the best catch is used. About ``log(error) / log(1 - share)`` good
+holdout documents are needed before anything can be certified; a stratum with fewer keeps the base rule alone.
 
 Fixed results: a null text has no word; a null stratum value is the stratum
 ``""``; labels of a null or unknown document are unused; repeated labels of a
-document count once, good only if all say so; without enough labels for a
-certificate a rule is not used; repeated document rows are judged alike; other
+document count once, good only if all say so; several rows of one labelled id count each; repeated document rows are judged alike;
+a very long text is measured whole, in memory in proportion to it; ties of rates and cutoffs keep the document; an empty table gives no row; other
 columns of the input are never read by ``measure``.
 """
 
@@ -20,12 +23,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, slim, staged, texts_of
+from .common import by_size, if_small, slim, small, staged, texts_of
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -119,53 +123,86 @@ class Risk:
 
     share: float = 0.02
     error: float = 0.05
-    #: A rule is used only if it catches this share of the stratum's bad documents that pass the base rule.
+    #: A rule takes part, and a tuple is used, only if it catches this share of the stratum's bad documents that pass the base rule.
     least_catch: float = 0.01
+    #: One labelled document in so many is for learning; the others are the holdout.
+    learning: int = 4
+
+
+#: Shares of good learning documents that may exceed a cutoff, step by step; before these come steps beyond all of them.
+STEPS = (0.0, 0.002, 0.005, 0.01, 0.02, 0.04)
+#: Steps above the largest good rate, as factors.
+BEYOND = (3.0, 2.0, 1.5, 1.2)
+
+
+def sequence(rates: dict[str, tuple[list[int], list[int]]], risk: Risk = Risk()) -> list[dict[str, float]]:
+    """Cutoff tuples from lenient to strict. ``rates``: rule -> counts of good and of bad learning documents that exceed exactly the first ``i`` cutoffs of its grid."""
+    steps: list[dict[str, float]] = [{} for _ in range(len(BEYOND) + len(STEPS))]
+    for rule, (good, bad) in sorted(rates.items()):
+        grid, n_good, n_bad = GRID[rule], sum(good), sum(bad)
+        over = lambda counts, i: sum(counts[i + 1 :])  # noqa: E731  documents above cutoff number i
+        if not n_good or not n_bad:
+            continue
+        at = [next(i for i in range(len(grid)) if i == len(grid) - 1 or over(good, i) <= q * n_good) for q in STEPS]
+        # A rule that catches no more bad than good documents at its strictest step would only lose documents.
+        strict = at[-1]
+        if over(bad, strict) < max(1, risk.least_catch * n_bad) or over(bad, strict) * n_good <= 2 * over(good, strict) * n_bad:
+            continue
+        cuts = [min(grid, key=lambda g, f=f: abs(g - grid[at[0]] * f)) for f in BEYOND] + [grid[i] for i in at]
+        for step, cut in zip(steps, cuts):
+            step[rule] = cut
+    out: list[dict[str, float]] = []
+    for step in steps:
+        if step and (not out or step != out[-1]):
+            out.append(step)
+    return out
 
 
-def certified(good: list[int], bad: list[int], cutoffs: list[float], share: float, error: float, least: float) -> float | None:
-    """The cutoff for one rule and stratum, or None.
-
-    ``good[i]`` and ``bad[i]`` count labelled documents that exceed exactly the
-    first ``i`` cutoffs. Among the certified cutoffs the most lenient one with 99 % of
-    the best catch is taken, which leaves unseen good documents room.
-    """
-    n_good, n_bad = sum(good), sum(bad)
-    if not n_good or not n_bad:
-        return None
-    lost, caught, passed = 0, 0, []
-    for i in range(len(cutoffs), 0, -1):  # lenient first: the largest cutoff loses fewest
+def certified(steps: list[dict[str, float]], good: list[int], bad: list[int], share: float, error: float, least: float) -> dict[str, float]:
+    """The tuple that is used, or none. ``good[i]`` and ``bad[i]`` count holdout documents that tuple ``i`` is the first to reject, the last entry those that none does."""
+    n_good, n_bad, lost, caught, passed = sum(good), sum(bad), 0, 0, []
+    for i, step in enumerate(steps):
         lost, caught = lost + good[i], caught + bad[i]
-        if binomial_cdf(lost, n_good, share) > error:
+        if not n_good or binomial_cdf(lost, n_good, share) > error:
             break
-        passed.append((cutoffs[i - 1], caught))
+        passed.append((step, caught))
     best = max((c for _, c in passed), default=0)
     if best == 0 or best < least * n_bad:
-        return None
-    return next(cut for cut, c in passed if c >= 0.99 * best)
+        return {}
+    return next(step for step, c in passed if c >= 0.97 * best)
 
 
 def learn_cutoffs(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str, dict[str, float]]:
     """stratum -> rule -> cutoff, from all labelled documents.
 
-    Only counts by stratum, rule and candidate reach the driver: their number is
-    bounded by strata x rules x 64, whatever the corpus holds.
+    Only counts reach the driver: by stratum, rule and candidate, then by stratum and tuple, for strata that have enough good
+    holdout documents for a certificate. So their number is bounded by that of the labels, whatever the corpus holds.
     """
-    marks = slim(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__good"))
-    seen = counts.where(~base_failed()).join(marks, "doc_id").select("stratum", "__good", *rates())
+    marks = slim(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("__good"))
+    learning = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(risk.learning)) == 0
+    seen = staged(counts.where(~base_failed()).join(marks, "doc_id").select("stratum", "__good", learning.alias("__learn"), *rates()), "rates")
+    enough = math.log(risk.error) / math.log1p(-risk.share)
+    able = staged(seen.where("__good AND NOT __learn").groupBy("stratum").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select("stratum"), "strata")
+    seen = seen.join(if_small(able), "stratum", "left_semi")
     bins = [F.struct(F.lit(name).alias("rule"), sum((F.col(name) > c).cast("int") for c in GRID[name]).alias("above")) for name in RULES]
-    table = seen.select("stratum", "__good", F.explode(F.array(*bins)).alias("b")).groupBy("stratum", "b.rule", "b.above").agg(F.sum((F.col("__good") == 1).cast("long")).alias("good"), F.sum((F.col("__good") != 1).cast("long")).alias("bad")).collect()
-    hist: dict[tuple[str, str], tuple[list[int], list[int]]] = {}
+    table = seen.where("__learn").select("stratum", "__good", F.explode(F.array(*bins)).alias("b")).groupBy("stratum", "b.rule", "b.above").agg(F.count_if("__good").alias("good"), F.count_if(~F.col("__good")).alias("bad")).collect()
+    hist: dict[str, dict[str, tuple[list[int], list[int]]]] = {}
     for r in table:
-        good, bad = hist.setdefault((r["stratum"], r["rule"]), ([0] * (len(GRID[r["rule"]]) + 1), [0] * (len(GRID[r["rule"]]) + 1)))
+        good, bad = hist.setdefault(r["stratum"], {}).setdefault(r["rule"], ([0] * (len(GRID[r["rule"]]) + 1), [0] * (len(GRID[r["rule"]]) + 1)))
         good[r["above"]] += r["good"]
         bad[r["above"]] += r["bad"]
-    out: dict[str, dict[str, float]] = {}
-    for (stratum, rule), (good, bad) in sorted(hist.items()):
-        cut = certified(good, bad, GRID[rule], risk.share / len(RULES), risk.error / len(hist), risk.least_catch)
-        if cut is not None:
-            out.setdefault(stratum, {})[rule] = cut
-    return out
+    steps = {s: found for s, rules in hist.items() if (found := sequence(rules, risk))}
+    if not steps:
+        return {}
+    rejects = lambda step: reduce(lambda a, b: a | b, (F.col(r) > c for r, c in step.items()))
+    first = [F.when(F.col("stratum") == s, F.coalesce(*(F.when(rejects(step), i) for i, step in enumerate(found)), F.lit(len(found)))) for s, found in steps.items()]
+    held = seen.where("NOT __learn").select("__good", "stratum", F.coalesce(*first).alias("i")).where("i IS NOT NULL").groupBy("stratum", "i").agg(F.count_if("__good").alias("good"), F.count_if(~F.col("__good")).alias("bad")).collect()
+    tally = {s: ([0] * (len(f) + 1), [0] * (len(f) + 1)) for s, f in steps.items()}
+    for r in held:
+        tally[r["stratum"]][0][r["i"]] += r["good"]
+        tally[r["stratum"]][1][r["i"]] += r["bad"]
+    chosen = {s: certified(steps[s], *tally[s], risk.share, risk.error / len(steps), risk.least_catch) for s in sorted(steps)}
+    return {s: c for s, c in chosen.items() if c}
 
 
 def verdict(counts: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
@@ -191,9 +228,11 @@ def quality_filter(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stra
     The cutoffs come from a pass over all labelled documents; the second pass judges row by
     row where the text lies, so no text is shuffled.
     """
-    known = slim(labels, "doc_id").where("doc_id IS NOT NULL").distinct()
+    known = staged(slim(labels, "doc_id").where("doc_id IS NOT NULL").distinct(), "labelled")
     columns = docs.columns
-    counts = staged(measure(docs, stratum).join(known, "doc_id", "left_semi"), "quality")
+    # Few labels meet the texts where they lie; many meet the counts, so that no text is shuffled.
+    counts = measure(docs.join(F.broadcast(known), "doc_id", "left_semi"), stratum) if small(known) else measure(docs, stratum).join(known.hint("merge"), "doc_id", "left_semi")
+    counts = staged(counts, "quality")
     cutoffs = learn_cutoffs(counts, labels, risk)
     strata = columns.index(stratum) if stratum in columns else None
 
