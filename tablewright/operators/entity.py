@@ -14,17 +14,18 @@ def entity_keys(rows: DataFrame, name: str) -> DataFrame:
 
 
 def match_existing_key(keys: DataFrame) -> DataFrame:
-    """``key, canonical``: each key's earliest key with the same compact form and years that do not contradict, from ``key, seq``.
+    """``run, key, canonical``: each key's earliest key with the same compact form and years that do not contradict, from ``run, key, seq`` (the run may be absent).
 
     Equal compact forms meet on a hash join; within one, only the earliest key of each set of years is compared, of
     which there are few. Keys are compared with all earlier ones, so the result does not hang on an order of work.
     """
-    seen = keys.groupBy("key").agg(F.min("seq").alias("seq")).withColumn("compact", compact_key(F.col("key"))).withColumn("ys", years(F.col("key")))
-    first = seen.groupBy("compact", "ys").agg(F.min_by("key", "seq").alias("other"), F.min("seq").alias("other_seq"))
-    named = seen.where("compact <> ''").join(first.withColumnRenamed("ys", "other_ys"), "compact")
+    run = [c for c in ("run",) if c in keys.columns]
+    seen = keys.groupBy(*run, "key").agg(F.min("seq").alias("seq")).withColumn("compact", compact_key(F.col("key"))).withColumn("ys", years(F.col("key")))
+    first = seen.groupBy(*run, "compact", "ys").agg(F.min_by("key", "seq").alias("other"), F.min("seq").alias("other_seq"))
+    named = seen.where("compact <> ''").join(first.withColumnRenamed("ys", "other_ys"), [*run, "compact"])
     fits = (F.size("ys") == 0) | (F.size("other_ys") == 0) | (F.col("ys") == F.col("other_ys"))
-    best = named.where(fits & (F.col("other_seq") <= F.col("seq"))).groupBy("key").agg(F.min_by("other", "other_seq").alias("canonical"))
-    return seen.select("key").join(best, "key", "left").select("key", F.coalesce("canonical", "key").alias("canonical"))
+    best = named.where(fits & (F.col("other_seq") <= F.col("seq"))).groupBy(*run, "key").agg(F.min_by("other", "other_seq").alias("canonical"))
+    return seen.select(*run, "key").join(best, [*run, "key"], "left").select(*run, "key", F.coalesce("canonical", "key").alias("canonical"))
 
 
 def group_by_entity(rows: DataFrame, name: str, order: str) -> DataFrame:

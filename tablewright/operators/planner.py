@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 MAX_CAPTURES, MAX_REPLAN_QUERIES, RELAX_BELOW = 12, 3, 3
 URLS_PER_CAPTURE, RESULTS_PER_QUERY = 6, 8
+#: Seconds between two requests to a domain that states none.
+DOMAIN_DELAY = 1.0
 
 
 def capture_combos(queries: DataFrame, engines: list[str], source_types: list[str] = ["general"]) -> DataFrame:
@@ -34,6 +36,18 @@ def replan_trigger(captures: DataFrame) -> DataFrame:
     return captures.withColumn("replan", (F.col("new_entities") == 0) | gated)
 
 
+def in_order(*columns: str) -> WindowSpec:
+    """A window over all rows, for tables of a dozen rows."""
+    return Window.orderBy(*columns)
+
+
+def fetch_schedule(urls: DataFrame, delay: float = DOMAIN_DELAY) -> DataFrame:
+    """``start_s`` for each of ``domain, rank, url``: a domain's pages one after another, ``crawl_delay`` seconds apart where its rules give one, else ``delay``."""
+    wait = F.coalesce("crawl_delay", F.lit(delay)) if "crawl_delay" in urls.columns else F.lit(delay)
+    nth = F.row_number().over(Window.partitionBy("domain").orderBy("rank", "url")) - 1
+    return urls.withColumn("start_s", nth * wait)
+
+
 def top_urls(results: DataFrame, k: int = URLS_PER_CAPTURE) -> DataFrame:
     """The first ``k`` distinct URLs of each capture."""
     once = results.groupBy("capture", "url").agg(F.min("rank").alias("rank"))

@@ -94,6 +94,15 @@ def _next_page(x: str) -> str:
     return out
 
 
+_HREF = "(?is)\\bhref\\s*=\\s*[\"'']([^\"'']+)[\"'']"
+_LINKS = "list_filter(regexp_extract_all(html, '(?is)<{0}\\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\\brel\\s*=\\s*[\"''][^\"'']*{1}') AND regexp_matches(t, '" + _HREF + "'))"
+_NEXT_HREF = "coalesce(" + ", ".join(f"nullif(regexp_extract({t}, '{_HREF}', 1), '')" for t in (_LINKS.format("link", "\\bnext\\b") + "[1]", _LINKS.format("a", "next") + "[1]", "regexp_extract(html, '(?is)<a\\b[^>]*>\\s*(?:next|next »|next →|›|»)\\s*</a')")) + ")"
+_BASE = "regexp_extract(url, '^([^?#]*)', 1)"
+_ORIGIN = "regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*)', 1)"
+_ABSOLUTE = f"""CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*:)', 1) || href
+ WHEN starts_with(href, '/') THEN {_ORIGIN} || href WHEN starts_with(href, '?') THEN {_BASE} || href WHEN starts_with(href, '#') THEN regexp_extract(url, '^([^#]*)', 1) || href
+ ELSE regexp_replace(CASE WHEN {_BASE} = {_ORIGIN} THEN {_BASE} || '/' ELSE {_BASE} END, '[^/]*$', '') || regexp_replace(href, '^(\\./)+', '') END"""
+
 _AUTH = "^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)"
 
 
@@ -247,6 +256,9 @@ ORACLES: dict[str, str] = {
     "consecutive_dedupe": "WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, CAST(len(ls) AS INTEGER) AS lines, md5(array_to_string(list_filter(ls, lambda x, i: i = 1 OR x <> ls[i - 1]), chr(10))) AS deduped_md5 FROM t",
     "page_cache": "SELECT sha256(url) AS key, url, CAST(length(html) AS INTEGER) AS chars FROM pages",
     "decode_bytes": "SELECT doc_id, md5(text) AS decoded_md5 FROM documents",
+    "public_ip": "SELECT DISTINCT user_id, CASE user_id % 6 WHEN 0 THEN concat('10.0.0.', user_id % 250) WHEN 1 THEN concat('8.8.4.', user_id % 250) WHEN 2 THEN '::ffff:8.8.8.8' WHEN 3 THEN '2002:808:808::1' WHEN 4 THEN '2606:4700::1111' ELSE '169.254.169.254' END AS address, user_id % 6 IN (1, 4) AS public FROM events",
+    "robots_gate": f"WITH p AS (SELECT page_id, url, {_canonical('url')} AS domain FROM pages), n AS (SELECT domain, count(*) AS n FROM p GROUP BY domain) SELECT page_id, n % 3 = 0 OR n % 2 = 1 OR NOT regexp_matches(url, '^[a-z]+://[^/]+/p') AS allowed FROM p JOIN n USING (domain)",
+    "next_link": f"WITH t AS (SELECT page_id, url, {_NEXT_HREF} AS href FROM pages) SELECT page_id, CASE WHEN href IS NULL THEN {_next_page('url')} ELSE {_ABSOLUTE} END AS next_url FROM t",
     "content_type_filter": "SELECT * FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'text/plain' ELSE 'image/png' END AS content_type FROM pages) WHERE content_type LIKE '%html%' OR content_type LIKE '%text%'",
     "quote_on_page": f"""WITH d AS (SELECT doc_id, lower({_ws("substr(text, 11, 60)")}) AS own, lower(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS page FROM documents), b AS (SELECT item_id, lower({_ws('text')}) AS q FROM benchmark)
 SELECT doc_id, item_id, own <> '' AND contains(page, own) AS own_on_page FROM d LEFT JOIN b ON q <> '' AND contains(page, q)""",
@@ -273,6 +285,10 @@ b AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), w(u, r) AS (SELECT
     "dedupe_urls": f"SELECT {_domain('url')} AS url, arg_min(md5(html), page_id) AS title, min(page_id) AS rank FROM pages GROUP BY 1",
     "runs_with_counts": "SELECT c_custkey AS run, c_mktsegment, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS records FROM customer",
     "claims_filtered": f"WITH {CLAIMS} SELECT run, entity, seq, value, url FROM claims WHERE field = 'discount' AND domain = '7'",
+    "captures_of_run": f"WITH {_VISITS} SELECT run, capture, min(seq) AS first_seq, count(*) AS visits FROM visits WHERE run = '2024-01-03' GROUP BY ALL",
+    "records_of_run": f"WITH {MERGE}, f AS (SELECT run, entity, min(seq) AS found FROM claims GROUP BY ALL) SELECT run, entity, left(run || ':' || entity, 120) AS id, value AS discount, found FROM merged JOIN f USING (run, entity)",
+    "typed_events": "SELECT event_id, event_type AS type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
+    "fetch_schedule": f"WITH p AS (SELECT page_id, url, {_canonical('url')} AS domain FROM pages) SELECT page_id, domain, (row_number() OVER (PARTITION BY domain ORDER BY page_id, url) - 1) * CASE WHEN length(domain) % 2 = 0 THEN CAST(2.5 AS DOUBLE) ELSE 1 END AS start_s FROM p",
     "labels_of_claims": "SELECT l.doc_id AS id, quality AS correct, CASE WHEN d.doc_id % 17 <> 0 THEN n_chars % 101 / 100 END AS score FROM labels l JOIN documents d USING (doc_id)",
     "record_lookup": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 7",
     "source_ledger": f"WITH {_VISITS} SELECT id, status, status_final, records_found FROM ledger",

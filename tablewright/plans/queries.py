@@ -276,6 +276,37 @@ def claims_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("run", "entity", "seq", "value", "url").orderBy("seq")
 
 
+@query
+def captures_of_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The captures of a run in order, with their visits."""
+    rows = S.visits(spark, sf).where("run = '2024-01-03'")
+    return rows.groupBy("run", "capture").agg(F.min("seq").alias("first_seq"), F.count("*").alias("visits")).orderBy("first_seq")
+
+
+@query
+def records_of_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of every run with their fields as a map, numbered in the order in which they were found."""
+    cells = merge.upsert_records(S.claims(spark, sf)).join(S.claims(spark, sf).groupBy("run", "entity").agg(F.min("seq").alias("found")), ["run", "entity"])
+    rows = merge.records(cells).join(cells.select("run", "entity", "found").distinct(), ["run", "entity"])
+    return rows.select("run", "entity", "id", F.col("fields")["discount"].alias("discount"), "found")
+
+
+@query
+def typed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress events with the typed payload of their kind; what is no such payload is null."""
+    payload = F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", "data": '), F.col("props"), F.lit("}"))
+    rows = S.table(spark, sf, "events").select("event_id", F.from_json(payload, "type string, data struct<k: int>").alias("e"))
+    return rows.select("event_id", "e.type", F.col("e.data.k").alias("k"))
+
+
+@query
+def fetch_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    """When each page may be asked for, a domain's pages one after another."""
+    rows = S.table(spark, sf, "pages").select("url", "page_id", F.col("page_id").alias("rank"), X.canonical_domain(F.col("url")).alias("domain"))
+    rows = rows.withColumn("crawl_delay", F.when(F.length("domain") % 2 == 0, F.lit(2.5)))
+    return planner.fetch_schedule(rows).select("page_id", "domain", "start_s")
+
+
 @query
 def labels_of_claims(spark: SparkSession, sf: str) -> DataFrame:
     return S.human_labels(spark, sf).join(S.scores(spark, sf), "id").select("id", "correct", "score")
@@ -500,14 +531,14 @@ def stream_coverage(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
 
     from ..storage import checkpointed
-    from ..streaming.coverage import watch_coverage
+    from ..streaming.coverage import DELTAS, running_estimate, watch_coverage
 
     base = f"{checkpointed(spark).rstrip('/')}/tablewright/stream-{uuid.uuid4().hex}"
     S.incidence_orders(spark, sf).repartition(4).write.parquet(f"{base}/in")
     schema = spark.read.parquet(f"{base}/in").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     watch_coverage(source, f"{base}/seen", lambda number, estimate: False, f"{base}/checkpoint").awaitTermination()
-    return coverage.estimate(spark.read.parquet(f"{base}/seen"))
+    return running_estimate(spark.read.schema(DELTAS).parquet(f"{base}/seen"))
 
 
 @query
@@ -520,5 +551,5 @@ def pipeline_records(spark: SparkSession, sf: str) -> DataFrame:
     index = pages.select("url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("html_title"), F.translate("url", "/:.-?=&", "       ").alias("title"))
     spec = DataSpec("the of and", [FieldSpec("name"), FieldSpec("number", "number")], ["https com page", "example org", "www net"])
     extract = PatternExtract({"name": r"(?m)^([A-Z][a-z]{3,})\b", "number": r"\b(\d{2,})\b"})
-    result = run(spark, spec, StaticSearch(index.select("url", "title")), StaticFetch(pages.select("url", "html")), extract)
+    result = run(spark, spec, StaticSearch(index.select("url", "title")), StaticFetch(pages.select("url", "html")), extract, max_captures=3)
     return result.records.select("entity", "field", "value", "url", F.size("conflicts").alias("n_conflicts"), "resolved")

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clean_html, tokens
+from ..functions.text import clean_html, next_link, tokens
+from ..operators.gates import FILTER_CHARS, GATE_CHARS
+
+#: Characters of a quote that a judge sees.
+SUPPORT_CHARS = 600
 
 
 class Search(Protocol):
@@ -19,7 +24,7 @@ class Search(Protocol):
 
 class Fetch(Protocol):
     def pages(self, urls: DataFrame) -> DataFrame:
-        """``url, text`` for rows of ``url``."""
+        """``url, page_no, text`` for rows of ``url``: a page and the ones that follow it."""
 
 
 class Extract(Protocol):
@@ -27,6 +32,16 @@ class Extract(Protocol):
         """``url, entity, field, value, evidence`` for rows of ``url, text``."""
 
 
+class Judge(Protocol):
+    """Scores of chunks, records and claims; null where the provider gives none."""
+
+    def page(self, spec, text: Column) -> Column: ...
+
+    def filters(self, spec, text: Column) -> Column: ...
+
+    def support(self, value: Column, evidence: Column) -> Column: ...
+
+
 @dataclass
 class StaticSearch:
     """Ranks a table of pages ``url, title`` by the query's words in the title."""
@@ -40,14 +55,29 @@ class StaticSearch:
         return hits.select("query", F.rank().over(Window.partitionBy("query").orderBy(F.col("n").desc(), "url")).alias("rank"), "url", "title")
 
 
+#: Pages that are followed from one URL, itself included.
+MAX_PAGES = 3
+
+
 @dataclass
 class StaticFetch:
-    """Pages from a table ``url, html``: the cached text is a table keyed by the URL's hash."""
+    """Pages from a table ``url, html``: the cached text is a table keyed by the URL's hash. Next links are followed ``depth`` pages far."""
 
     store: DataFrame
+    depth: int = MAX_PAGES
 
     def pages(self, urls: DataFrame) -> DataFrame:
-        return self.store.join(urls.select("url").distinct(), "url", "left_semi").select(F.sha2("url", 256).alias("key"), "url", clean_html(F.col("html")).alias("text"))
+        held = self.store.select(F.col("url").alias("at"), "html")
+        here, found = urls.select("url", F.col("url").alias("at")).distinct(), []
+        for n in range(self.depth):
+            got = here.join(held, "at")
+            found.append(got.select("url", F.lit(n).alias("page_no"), F.sha2("at", 256).alias("key"), "at", clean_html(F.col("html")).alias("text")))
+            onward = got.select("url", next_link(F.col("html"), F.col("at")).alias("next"), F.col("at").alias("was"))
+            here = onward.where("next IS NOT NULL AND next <> was AND next <> url").select("url", F.col("next").alias("at"))
+        rows = reduce(DataFrame.unionByName, found)
+        # A page that comes up again ends nothing and is read once.
+        first = rows.groupBy("url", "at").agg(F.min_by(F.struct("page_no", "key", "text"), "page_no").alias("r")).select("url", "r.*")
+        return first.where("text <> ''")
 
 
 @dataclass
@@ -68,3 +98,17 @@ def lexical_score(wanted: Column, text: Column, chars: int) -> Column:
     asked = F.array_distinct(tokens(F.lower(wanted)))
     held = F.array_intersect(asked, tokens(F.lower(F.substring(text, 1, chars))))
     return F.when(F.size(asked) > 0, F.size(held) / F.size(asked)).otherwise(1.0)
+
+
+class LexicalJudge:
+    """A stand-in for a hosted judge: shares of the wanted words. Claims no model quality."""
+
+    def page(self, spec, text: Column) -> Column:
+        return lexical_score(F.lit(spec.entity), text, GATE_CHARS)
+
+    def filters(self, spec, text: Column) -> Column:
+        """A score for each filter that has words, over the beginning of the chunk that a judge sees."""
+        return F.array(*(lexical_score(F.lit(f), text, FILTER_CHARS) for f in spec.filters)).cast("array<double>")
+
+    def support(self, value: Column, evidence: Column) -> Column:
+        return lexical_score(value, evidence, SUPPORT_CHARS)

@@ -11,7 +11,7 @@ from tablewright.operators import coverage
 from tablewright.plans.engine import DataSpec, FieldSpec, run
 from tablewright.sources import sinks
 from tablewright.sources.providers import PatternExtract, StaticFetch, StaticSearch
-from tablewright.streaming.coverage import event_stream, session_counts, watch_coverage, windowed_counts
+from tablewright.streaming.coverage import DELTAS, event_stream, running_estimate, session_counts, watch_coverage, windowed_counts
 
 PAGES = [
     ("https://a.example.com/1", "open data prize", "<p>Prize: Open Data Award. Amount: 2 million. Date: 10 July 2025</p>"),
@@ -22,12 +22,20 @@ PAGES = [
 ]
 
 
+PATTERNS = {"name": r"Prize: ([A-Z][A-Za-z ]+)", "amount": r"Amount: ([0-9]+(?: million)?)", "date": r"Date: ([A-Za-z0-9 ,]+)"}
+
+
+def spec(**more):
+    return DataSpec("prize award", [FieldSpec("name"), FieldSpec("amount", "number"), FieldSpec("date", "date")], ["open data", "open data award prize"], **more)
+
+
 @pytest.fixture(scope="module")
 def result(spark):
     pages = spark.createDataFrame(PAGES, "url string, title string, html string")
-    spec = DataSpec("prize award", [FieldSpec("name"), FieldSpec("amount", "number"), FieldSpec("date", "date")], ["open data", "open data award prize"])
-    extract = PatternExtract({"name": r"Prize: ([A-Z][A-Za-z ]+)", "amount": r"Amount: ([0-9]+(?: million)?)", "date": r"Date: ([A-Za-z0-9 ,]+)"})
-    return run(spark, spec, StaticSearch(pages.select("url", "title")), StaticFetch(pages.select("url", "html")), extract)
+    seen = []
+    r = run(spark, spec(), StaticSearch(pages.select("url", "title")), StaticFetch(pages.select("url", "html")), PatternExtract(PATTERNS), "run-1", on_event=lambda kind, data: seen.append((kind, data)))
+    r.seen = seen
+    return r
 
 
 def test_records(result):
@@ -35,14 +43,35 @@ def test_records(result):
     assert set(cells) == {("open data award", f) for f in ("name", "amount", "date")}
     assert cells["open data award", "date"]["value"] == "2025-07-10"
     assert cells["open data award", "amount"]["value"] in ("2000000", "3000000")
+    (record,) = result.records_df().collect()
+    assert (record["id"], record["fields"]["date"], record["fields_sourced"]) == ("run-1:open data award", "2025-07-10", 1.0)
 
 
 def test_sources_and_claims(result):
-    ledger = {r["url"]: r for r in result.sources_df().collect()}
-    assert ledger["https://www.linkedin.com/4"]["status"] == "skipped" and "deny list" in ledger["https://www.linkedin.com/4"]["reason"]
-    assert ledger["https://a.example.com/1"]["status"] == "ok" and ledger["https://d.example.com/5"]["status"] == "skipped"
+    ledger = {(r["url"], r["capture"]): r for r in result.sources_df().collect()}
+    first = {u: r for (u, c), r in ledger.items() if c == "run-1-capture-1"}
+    assert first["https://www.linkedin.com/4"]["status"] == "skipped" and "deny list" in first["https://www.linkedin.com/4"]["reason"]
+    assert first["https://a.example.com/1"]["status"] == "ok" and first["https://d.example.com/5"]["status"] == "skipped"
+    assert sum(r["records_found"] for r in first.values()) >= 1 and all(r["records_found"] == 0 for (_, c), r in ledger.items() if c == "run-1-capture-2")
     assert result.claims_df("open data award", "date").count() > 0 and result.claims_df("other").count() == 0
     assert result.claims.where("verified").count() == result.claims.count()
+    seqs = [(r["capture"], r["seq"]) for r in result.claims_df().collect()]
+    assert seqs == sorted(seqs) and len({s for _, s in seqs}) == len(seqs)
+
+
+def test_captures_counters_and_events(spark, result):
+    assert [(r["n"], r["query"]) for r in result.captures_df().collect()] == [(1, "open data"), (2, "open data award prize")]
+    stats = result.stats
+    assert result.status == "done" and stats["captures_run"] == 2 and stats["records_after_dedupe"] == 1 and len(stats) == 15
+    assert stats["urls_skipped_compliance"] == 2 and stats["pages_failed"] == 0 and stats["chunks_gated"] >= 1
+    kinds = [k for k, _ in result.seen]
+    assert kinds[0] == "status_change" and kinds.count("capture_start") == 2 and kinds.count("record_found") == 2 and kinds[-1] == "status_change"
+    assert [r["type"] for r in result.events_df().collect()] == kinds
+    (row,) = result.store.runs_df().collect()
+    assert (row["run"], row["status"], row["records"]) == ("run-1", "done", 1) and json.loads(row["stats"])["captures_run"] == 2
+    q = result.store.events_stream("run-1").writeStream.format("memory").queryName("told").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("told").count() == len(kinds)
 
 
 def test_accuracy_and_labels(spark, result):
@@ -58,12 +87,55 @@ def test_accuracy_and_labels(spark, result):
 def test_export(result, tmp_path):
     result.export_csv(str(tmp_path / "out"))
     rows = [r for f in glob.glob(f"{tmp_path}/out/*.csv") for r in csv.DictReader(open(f))]
-    assert len(rows) == 1 and {"name", "amount", "date", "sources", "has_conflict"} <= set(rows[0])
+    assert len(rows) == 1 and list(rows[0])[-3:] == ["fields_sourced", "sources", "has_conflict"] and {"name", "amount", "date"} <= set(rows[0])
+
+
+def test_two_runs_filters_robots_matching_and_replan(spark, tmp_path):
+    from tablewright.plans.engine import Cancel, Store
+
+    html = [
+        ("https://a.org/1", "alpha", "<p>Prize: Hack Wave 2024 open. Amount: 5</p>"),
+        ("https://b.org/2", "alpha", "<p>Prize: HackWave open. Amount: 6</p>"),
+        ("https://b.org/private", "alpha", "<p>Prize: Secret One open. Amount: 7</p>"),
+        ("https://c.org/l?page=1", "beta", "<p>Prize: Late One open. Amount: 1</p>"),
+        ("https://c.org/l?page=2", "gamma", "<p>Prize: Later One open. Amount: 2</p>"),
+        ("https://d.org/9", "beta", "<p>Prize: Closed One. Amount: 9</p>"),
+    ]
+    pages = spark.createDataFrame(html, "url string, title string, html string")
+    robots = spark.createDataFrame([("b.org", "User-agent: *\nDisallow: /private", 200)], "domain string, body string, status int")
+    asked = DataSpec("prize", [FieldSpec("name"), FieldSpec("amount", "number")], ["alpha"], filters=["open"], target_coverage=1.0)
+    extract = PatternExtract({"name": r"Prize: ([A-Z][A-Za-z0-9 ]+?)(?: open)?\.", "amount": r"Amount: ([0-9]+)"})
+    store = Store(spark, f"file://{tmp_path}/store")
+    search, fetch = StaticSearch(pages.select("url", "title")), StaticFetch(pages.select("url", "html"))
+    more = lambda spec, tried, found: ["alpha", "beta"]
+    one = run(spark, asked, {"ddg": search, "brave": search}, fetch, extract, "one", store=store, robots=robots, replan=more)
+    # The second capture finds nothing new, so the plan is asked for new queries; the one that was tried is left out.
+    assert [(r["query"], r["engine"]) for r in one.captures_df().collect()][:3] == [("alpha", "ddg"), ("alpha", "brave"), ("beta", "ddg")]
+    assert {r["entity"] for r in one.claims.select("entity").distinct().collect()} == {"hack wave 2024", "late one", "later one"}
+    refused = one.sources_df().where("reason = 'disallowed by robots.txt'").select("url").distinct().collect()
+    assert [r["url"] for r in refused] == ["https://b.org/private"] and one.stats["records_dropped"] >= 1
+    amounts = {r["entity"]: (r["value"], r["url"], [c["value"] for c in r["conflicts"]]) for r in one.records.where("field = 'amount'").collect()}
+    assert amounts["hack wave 2024"][0] in ("5", "6") and amounts["late one"] == ("1", "https://c.org/l?page=1", [])
+    two = run(spark, asked, search, fetch, extract, "two", store=store, max_captures=1)
+    assert {r["entity"] for r in two.claims.select("entity").distinct().collect()} == {"hack wave 2024", "secret one"}
+    assert {r["run"]: r["records"] for r in store.runs_df().collect()} == {"one": 3, "two": 2}
+    assert one.claims.select("entity").distinct().count() == 3
+    stopped = Cancel()
+    stopped.cancel()
+    three = run(spark, asked, search, fetch, extract, "three", store=store, cancel=stopped)
+    assert three.status == "cancelled" and three.stats["captures_run"] == 0 and "three" not in spark.getTags() and not spark.getTags()
+
+
+def test_a_run_that_finds_nothing_fails(spark):
+    pages = spark.createDataFrame(PAGES[:1], "url string, title string, html string")
+    none = StaticFetch(pages.select("url", "html").limit(0))
+    r = run(spark, spec(), StaticSearch(pages.select("url", "title")), none, PatternExtract(PATTERNS), max_captures=1)
+    assert r.status == "failed" and r.error == "no pages could be fetched" and r.stats["pages_failed"] == 1
 
 
 def test_spec():
-    spec = DataSpec("x", [FieldSpec("a", "number"), FieldSpec("b")], ["q"])
-    assert spec.primary == "a" and spec.schema()["a"].dataType.typeName() == "double" and spec.schema()["a"].metadata["primary"]
+    one = DataSpec("x", [FieldSpec("a", "number"), FieldSpec("b")], ["q"])
+    assert one.primary == "a" and one.schema()["a"].dataType.typeName() == "double" and one.schema()["a"].metadata["primary"]
     for wrong in (lambda: DataSpec("x", [], []), lambda: DataSpec("x", [FieldSpec("a")], [], target_count=0)):
         with pytest.raises(ValueError):
             wrong()
@@ -88,7 +160,8 @@ def test_stream_of_captures_stops(spark, tmp_path):
     stream = event_stream(spark, f"{tmp_path}/in", rows.schema)
     seen = []
     watch_coverage(stream, f"{tmp_path}/all", lambda n, e: bool(seen.append(e.first()["s_obs"])), f"{tmp_path}/c1").awaitTermination()
-    assert len(seen) == 6 and seen[-1] == 7 and coverage.estimate(spark.read.parquet(f"{tmp_path}/all")).first() == coverage.estimate(rows).first()
+    assert len(seen) == 6 and seen[-1] == 7 and running_estimate(spark.read.schema(DELTAS).parquet(f"{tmp_path}/all")).first() == coverage.estimate(rows).first()
+    assert spark.read.parquet(f"{tmp_path}/all").count() == 6  # a row for each batch, however many detections
 
 
 def test_event_windows(spark, tmp_path):
