@@ -6,16 +6,17 @@ template whose shingles it contains to ``CONTAINMENT`` have a Jaccard similarity
 from both lengths; the number of bands is chosen so that their signatures meet in some band with a
 probability of at least ``1 - MISS``. What meets is verified on the shingles' words.
 
-Signatures can meet only where a shingle is shared. So, without loss, documents without any of
-``STEMS`` (a test makes sure that no template can match without one) and windows without
-a template's shingle (by a bitmap with no false negatives) are passed over before hashing.
+Signatures can meet only where a shingle is shared. So, without loss, windows without
+a template's shingle (by a bitmap with no false negatives) are passed over before hashing, and so are documents without any of
+``STEMS`` where no template can match without one; for given templates this is worked out, and where it does not hold no document is passed over.
 
-Everything is built-in expressions inside one scan; templates are a fixed list, and the only shuffle
-gathers the verified matches.
+Everything is built-in expressions inside one scan. Each window's bands are looked up in the table of the templates' bands by a hash join on
+length, band and key; the only shuffle gathers the verified matches.
 
-Fixed results: a null or empty text matches nothing; texts shorter than a shingle match nothing; a null id is
+Fixed results: a null or empty text matches nothing; texts shorter than a shingle match nothing; a very long text is split in
+one row, and its windows are rows of their own; a null id is
 grouped like a value; repeated rows add to the same matches; of equal containments the first place counts; an
-empty table gives no row; other columns are never read.
+empty table gives no row, nor do templates shorter than a shingle; other columns are never read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ MISS = 1e-5
 ROWS = 2
 _GLOBAL_BITS, _CLASS_BITS = 1 << 16, 1 << 12
 
-#: Every template has these stems in enough of its shingles.
+#: Each of these templates has the stems in so many of its shingles that none can match without one.
 STEMS = ("licen", "copyright", "reserved", "warrant", "distribut", "permission", "commons", "domain", "software", "source")
 
 #: Notices and passages of public licenses.
@@ -59,6 +60,15 @@ TEMPLATES = {
     "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "bsd-3-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "epl-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    "apache-2.0-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "cc0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
     "as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
 }
 
@@ -76,6 +86,18 @@ def _words(text: str) -> list[str]:
     return [w for w in re.split(_WORD_SPLIT, text.lower()) if w]
 
 
+def _grams(text: str) -> set[str]:
+    w = _words(text)
+    return {" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
+
+
+def safe_stems(templates: dict[str, str]) -> tuple[str, ...]:
+    """``STEMS`` if no template can match a text without any of them, else none."""
+    grams = [_grams(t) for t in templates.values()]
+    sure = all(sum(not any(s in g for s in STEMS) for g in gs) < needed(len(gs)) for gs in grams if gs)
+    return STEMS if sure else ()
+
+
 def stride(n: int) -> int:
     return max(1, n // 4)
 
@@ -124,18 +146,23 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     """``doc_id, license, containment, first_word, n_windows``: a row for each document and template that match."""
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
+    templates = {k: t for k, t in templates.items() if _grams(t)}
     known = spark.createDataFrame([(k, t) for k, t in templates.items()], "license string, body string").coalesce(1)
     known = known.select("license", words(F.col("body")).alias("w")).withColumn("n", F.size("w")).select("license", "n", F.expr(_shingles("w")).alias("shingles"), F.expr(_hashes("w")).alias("h"))
-    size = {r["n"]: r["m"] for r in known.groupBy("n").agg(F.min(F.size("shingles")).alias("m")).collect()}  # as many rows as templates at most
+    size = {n: min(len(_grams(t)) for t in templates.values() if len(_words(t)) == n) for n in {len(_words(t)) for t in templates.values()}}
     own: dict[int, list[int]] = {}
-    for r in known.select("n", "h").collect():
+    for r in known.select("n", "h").collect():  # the given templates, hashed as Spark does
         own.setdefault(r["n"], []).extend(r["h"])
+    if not own:
+        return docs.limit(0).selectExpr("doc_id", "'' AS license", "0D AS containment", "0L AS first_word", "0L AS n_windows")
     count = {n: bands(n, m) for n, m in size.items()}
     per_class = F.expr("CASE n " + " ".join(f"WHEN {n} THEN {b}" for n, b in count.items()) + " END")
-    known = known.withColumn("b", per_class).select(F.col("n").alias("tn"), "license", "shingles", F.expr(_signature("h", "b")).alias("tkeys"))
+    known = known.withColumn("b", per_class).select("n", "license", "shingles", F.expr(_signature("h", "b")).alias("tkeys")).select("*", F.posexplode("tkeys").alias("band", "key"))
 
     every = [h for hs in own.values() for h in hs]
-    rows = slim(docs, "doc_id", "text").where(F.greatest(*(F.contains(F.lower("text"), F.lit(s)) for s in STEMS)))
+    rows = slim(docs, "doc_id", "text").where("text IS NOT NULL")
+    if stems := safe_stems(templates):
+        rows = rows.where(F.greatest(*(F.contains(F.lower("text"), F.lit(s)) for s in stems)))
     rows = rows.select("doc_id", once(words(F.col("text"))).alias("w")).where(f"size(w) >= {SHINGLE}").select("doc_id", "w", once(F.expr(_hashes("w"))).alias("h"))
     near = " AND ".join(_held(_bitmap(every, _GLOBAL_BITS, s), _GLOBAL_BITS, s, "h[i]") for s in (0, 20))
     rows = rows.select("doc_id", "w", "h", once(F.expr(f"filter(sequence(0, size(h) - 1), i -> {near})")).alias("anchors")).where("size(anchors) > 0")
@@ -146,8 +173,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
         starts = f"array_distinct(flatten(transform(filter(anchors, i -> {mine}), i -> sequence(greatest(0, cast(ceil((i + {SHINGLE - width}) / {s}) AS int) * {s}), i - i % {s}, {s}))))"
         found.append(f"transform({starts}, a -> struct({n} AS n, {count[n]} AS b, a AS a, slice(h, a + 1, {width - SHINGLE + 1}) AS sh, slice(w, a + 1, {width}) AS ww))")
     windows = rows.select("doc_id", once(F.expr(f"concat({', '.join(found)})")).alias("v")).select("doc_id", F.explode("v").alias("v")).select("doc_id", "v.*")
-    signed = windows.select("doc_id", "n", "a", "b", "ww", once(F.expr(_signature("sh", "b"))).alias("keys"))
-    met = signed.join(F.broadcast(known), F.col("n") == F.col("tn")).where("exists(sequence(0, b - 1), k -> keys[k] = tkeys[k])")
+    signed = windows.select("doc_id", "n", "a", "ww", once(F.expr(_signature("sh", "b"))).alias("keys")).select("*", F.posexplode("keys").alias("band", "key"))
+    # A window that meets a template in several bands counts in the first of these only.
+    met = signed.join(F.broadcast(known), ["n", "band", "key"]).where("band = 0 OR NOT exists(sequence(0, band - 1), k -> keys[k] = tkeys[k])")
     share = F.size(F.array_intersect(F.expr(_shingles("ww")), "shingles")) / F.size("shingles")
     sure = met.select("doc_id", "license", "a", once(share).alias("containment"), F.size("shingles").alias("m")).where(f"containment * m >= IF(m <= {SHORT}, m, ceil({CONTAINMENT} * m - 1e-9)) - 1e-6")
     best = sure.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("a").alias("first_word"), F.count("*").alias("n_windows"))
