@@ -7,15 +7,16 @@ fitted again. A linear classifier over lexicon features learns the model's poste
 learning folds calibrate its scores.
 
 Lexicons are some words that are stated below, and words and word beginnings that labelled rows of the learning folds show to be
-toxic beyond chance (Chernoff's bound over all candidates). Rows are ``held_out`` when crc32 of the id as text leaves 2 modulo 4;
+toxic beyond chance (Chernoff's bound over all candidates; all of these are used). So four of the voters lean on human labels, and the others on none. Rows are ``held_out`` when crc32 of the id as text leaves 2 modulo 4;
 no label of theirs is used.
 
 Bounds (parameters): at most ``Limits.labelled`` labelled documents of each class feed the lexicon and the calibration, at most
 ``Limits.train`` documents the classifier, taken in an order by hash; everything else is computed over all documents.
 
 Fixed results: a null text is the empty one; texts without words get the score of no evidence; a null id is ``held_out`` false
-and its labels are unused; repeated labels of a document count once, toxic if any says so; without toxic labels the lexicon is the
-stated one; repeated rows get equal scores; an empty table gives no row; other columns are never read.
+and its labels are unused; repeated labels of a document count once, toxic if any says so; of several texts under one labelled id, and of copies in the
+learning sample, the smallest is learnt from, so results do not hang on the order of rows; without toxic labels the lexicon is the
+stated one; a very long text is read whole, in memory in proportion to it; repeated rows get equal scores; an empty table gives no row; other columns are never read.
 """
 
 from __future__ import annotations
@@ -48,13 +49,14 @@ THREATS = ("kill", "die", "hate", "destroy", "hang", "shoot", "beat", "rape", "m
 class Limits:
     labelled: int = 8_000
     train: int = 20_000
-    terms: int = 3_000
 
 
 VOTERS = ("insults", "contempt", "profanity", "threats", "words", "begin4", "begin5", "begin6", "dense", "aimed", "shout", "clean_words", "clean_begins")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _AIMED = re.compile(r"\b(?:you|your|he|she|they|this|that|these|those|tu|du|usted|vous|sie)\s+(?:are\s+|is\s+|re\s+|all\s+)?(?:an?\s+|such\s+an?\s+|the\s+)?(\w+)")
 _BEGIN = (4, 5, 6)
+#: Words by which the learning sample tells copies.
+_SKETCH = 6
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -70,8 +72,8 @@ def _terms(words: set[str]) -> set[str]:
 
 
 def _sketch(text: str) -> int:
-    """The four words with the smallest hashes as one number, which close copies share and other texts hardly ever do."""
-    least = sorted({xxhash.xxh64_intdigest(w, 0) for w in set(text.lower().split())})[:4]
+    """The words with the smallest hashes as one number, which close copies share and other texts hardly ever do."""
+    least = sorted({xxhash.xxh64_intdigest(w, 0) for w in set(text.lower().split())})[:_SKETCH]
     return xxhash.xxh64_intdigest(repr(least).encode(), 0) >> 1
 
 
@@ -90,7 +92,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text", "toxic")), pa.array(groups, pa.int64())], names=["doc_id", "text", "toxic", "group"])
 
     kind, mark = dict(docs.dtypes)["doc_id"], dict(rows.dtypes)["toxic"]
-    return rows.select("doc_id", "text", "toxic").mapInArrow(sketch, f"doc_id {kind}, text string, toxic {mark}, group bigint").dropDuplicates(["group", "toxic"])
+    return rows.select("doc_id", "text", "toxic").mapInArrow(sketch, f"doc_id {kind}, text string, toxic {mark}, group bigint").groupBy("group", "toxic").agg(F.min_by(F.struct("doc_id", "text"), F.struct("doc_id", F.xxhash64("text"))).alias("one")).select("one.*", "toxic")
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, limits: Limits) -> list[str]:
@@ -115,7 +117,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, limits: Limits) -> list[st
     n, p = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     gain = p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0)
     strong = counts.where("term <> '' AND toxic >= 4").where((p > max(0.6, base)) & (n * gain > math.log(100.0 * max(1, counts.count()))))
-    return [r["term"] for r in strong.orderBy((n * gain).desc(), "term").limit(limits.terms).collect()]
+    return [r["term"] for r in strong.select("term").orderBy("term").collect()]  # words of the bounded labelled sample
 
 
 class Lexicon:
@@ -285,7 +287,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(
         weights = _logistic([(r["at"], r["value"]) for r in sample], target, weight, size)
     marks = slim(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     few = staged(marks.orderBy(order).limit(2 * limits.labelled), "marks")
-    known = table.join(F.broadcast(few), "doc_id").select("toxic", "at", "value").collect()
+    # One row of each labelled id, the one with the smallest votes and features.
+    one = table.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct("votes", "toxic", "at", "value")).alias("r"))
+    known = one.orderBy("doc_id").select("r.toxic", "r.at", "r.value").collect()
     slope, bias = 1.0, 0.0
     if known:
         z = _logits([(r["at"], r["value"]) for r in known], weights)
