@@ -11,8 +11,8 @@ counts, alphabet, and for every plane its bits and its rank table. Sections deco
 themselves, so a reader touches what it needs.
 
 Fixed results: a null text is the empty one (just the end id); a null document id is
-flagged and sorts first; repeated rows are stored each by itself, ordered by text; an empty table gives no
-shard; a text longer than a shard is a shard of its own; other columns are never read.
+flagged and sorts first; rows of one id are stored each by itself, ordered by a hash of the text, and may lie in several tasks' shards; an empty table gives no
+shard; a text longer than a shard is a shard of its own; other columns are never read. Shards are rows of a table, as Spark's writers give no file names of one's own.
 """
 
 from __future__ import annotations
@@ -209,10 +209,42 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int
             yield close()
         enc.rest()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The last column lets Spark cut even rows that are equal, so an id with very many rows is no single task's.
+    place = ["doc_id", "__h", "__row"]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("__h"), F.monotonically_increasing_id().alias("__row")).repartitionByRange(*place).sortWithinPartitions(*place).select("doc_id", "text")
     return staged(ordered.mapInArrow(encode, "part int, shard int, before bigint, n_docs bigint, n_tokens bigint, data binary"), "shards")
 
 
+def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """``token, n``: how often each id stands in all shards, by rank alone; a token that stands nowhere has 0."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                shard = Shard(data.as_buffer().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([shard.count(t) for t in tokens], pa.int64())], names=["token", "n"])
+
+    found = shards.select("data").mapInArrow(each, "token bigint, n bigint")
+    asked = shards.sparkSession.createDataFrame([(t, 0) for t in dict.fromkeys(tokens)], "token long, n long")
+    return found.unionByName(asked).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def token_places(shards: DataFrame, token: int) -> DataFrame:
+    """``doc_id, place, start``: every occurrence of an id, by select: its place in the document, and in all ids of all documents."""
+    base = partition_offsets(shards.groupBy("part").agg(F.sum("n_tokens")))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, before, data in zip(batch.column("part").to_pylist(), batch.column("before").to_pylist(), batch.column("data")):
+                shard = Shard(data.as_buffer().to_pybytes())
+                at = np.array(shard.occurrences(token), np.int64)
+                ends = np.cumsum(shard.sizes)
+                doc = np.searchsorted(ends, at, "right")
+                yield pa.RecordBatch.from_arrays([pa.array([shard.doc_ids[d] for d in doc.tolist()], pa.int64()), pa.array(at - (ends - shard.sizes)[doc]), pa.array(at + base[part] + before)], names=["doc_id", "place", "start"])
+
+    return shards.select("part", "before", "data").mapInArrow(each, "doc_id bigint, place bigint, start bigint")
+
+
 def read_shards(shards: DataFrame) -> DataFrame:
     """A row for each document, from the files' bytes."""
     base = partition_offsets(shards.groupBy("part").agg(F.sum("n_tokens")))

@@ -65,7 +65,7 @@ def test_shard_of_any_length(size):
 @pytest.mark.parametrize("shard_tokens", [1 << 20, 700])
 def test_shards_of_documents(spark, edge, plain, shard_tokens):
     rows = wavelet_store.read_shards(wavelet_store.write_shards(edge, vocabulary(), 0, shard_tokens)).orderBy("start").collect()
-    docs = sorted(((r["doc_id"], r["text"]) for r in edge.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    docs = [(r["doc_id"], r["text"]) for r in edge.selectExpr("doc_id", "text", "xxhash64(text) AS __order").orderBy("doc_id", "__order").collect()]
     at = 0
     for got, (key, text) in zip(rows, docs, strict=True):
         ids = [*plain(text), 0]
@@ -73,6 +73,23 @@ def test_shards_of_documents(spark, edge, plain, shard_tokens):
         at += len(ids)
 
 
+def test_counts_and_places_in_stored_shards(spark, edge, empty, plain):
+    shards = wavelet_store.write_shards(edge, vocabulary(), 0, 700)
+    rows = {r["start"]: r for r in wavelet_store.read_shards(shards).collect()}
+    texts = {}
+    for r in edge.collect():
+        ids = [*plain(r["text"]), 0]
+        texts[r["doc_id"], len(ids), crc(ids)] = ids
+    stream = [(d["doc_id"], i, s + i, t) for s, d in sorted(rows.items()) for i, t in enumerate(texts[d["doc_id"], d["n_tokens"], d["ids_crc32"]])]
+    usual = [0, stream[0][3], stream[40][3], 49_999]
+    got = dict(tuple(r) for r in wavelet_store.token_counts(shards, usual).collect())
+    assert got == {t: sum(x[3] == t for x in stream) for t in usual} and got[0] == len(rows)
+    token = stream[40][3]
+    assert sorted(map(tuple, wavelet_store.token_places(shards, token).collect()), key=repr) == sorted([x[:3] for x in stream if x[3] == token], key=repr)
+    none = wavelet_store.write_shards(empty, vocabulary())
+    assert wavelet_store.token_counts(none, [5]).collect()[0]["n"] == 0 and wavelet_store.token_places(none, 5).count() == 0
+
+
 def test_packing(spark, edge, plain):
     rows = packing.pack(edge.repartition(3), vocabulary()).collect()
     want = sorted((str(r["doc_id"]), crc([*plain(r["text"]), 1])) for r in edge.collect())
