@@ -6,14 +6,16 @@ both coder and decoder treat all rows of many frames at once, column by column.
 file: headers, a stream-data chunk that tells the payload's length, the frames and their index. Reading goes the way a
 player does: RIFF chunks, the index, the frames' markers, entropy decoding to samples.
 
-Other AVI files may hold baseline JPEG frames that bring their tables; those are decoded to luma samples one by one.
+Other AVI files may hold baseline JPEG frames; those are decoded to luma samples one by one, with the standard Huffman tables where a frame brings none, as
+motion-JPEG writers leave them out. Frames are found by the old index, by the standard indexes of larger files, or without either by walking the frame list.
 
 Shots: the distance of consecutive frames' sample histograms is compared with mean and spread of the distances since
 the last cut. Each shot is a clip with its times.
 
 Fixed results: a null text is the empty one; an empty payload is 64 zero bytes; a payload is padded to a multiple of 64;
 frames are coded some hundred at a time, so a very long text needs memory in proportion to its own bytes only; repeated rows give equal
-values; a null id stays null; an empty table gives no row; other columns are never read.
+values; a null id stays null; an empty table gives no row; other columns are never read. ``media_clips`` gives a file that cannot be read one row with its
+fault in ``status`` and no clip, and never ends the job for it; a null file has no row.
 """
 
 from __future__ import annotations
@@ -193,6 +195,34 @@ _ZIGZAG = _zigzag()
 _COSINES = np.array([[np.sqrt((1 if u else 0.5) / 4) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)])
 
 
+# The standard Huffman tables of baseline JPEG (class and number, codes of each length, symbols) for luma and chroma.
+_DC = bytes(range(12))
+_AC_LUMA_FIRST = bytes.fromhex("01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16 17 18 19 1a 25 26 27 28 29 2a")
+_AC_CHROMA_FIRST = bytes.fromhex("00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1 17 18 19 1a 26 27 28 29 2a")
+
+
+def _with_rest(first: bytes) -> bytes:
+    """All run and size symbols: those stated, then the others in ascending order."""
+    every = [0, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    return first + bytes(sorted(set(every) - set(first)))
+
+
+_STANDARD = (
+    (0x00, bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), _DC),
+    (0x10, bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]), _with_rest(_AC_LUMA_FIRST)),
+    (0x01, bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), _DC),
+    (0x11, bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]), _with_rest(_AC_CHROMA_FIRST)),
+)
+_TABLES: dict[int, list[int]] = {}
+
+
+def standard_tables() -> dict[int, list[int]]:
+    """The standard tables by class and number, made once."""
+    if not _TABLES:
+        _TABLES.update({k: Picture._lookup(counts, symbols).tolist() for k, counts, symbols in _STANDARD})
+    return dict(_TABLES)
+
+
 class _Bits:
     """Reads one restart segment, without stuffed bytes, from its first bit on."""
 
@@ -219,8 +249,8 @@ class _Bits:
 
 
 def decode_baseline(frame: bytes) -> np.ndarray:
-    """The luma samples of a baseline (or extended sequential, 8-bit) JPEG frame that brings its own tables, shape (rows, width)."""
-    tables: dict[int, list[int]] = {}
+    """The luma samples of a baseline (or extended sequential, 8-bit) JPEG frame, shape (rows, width). Tables that it does not bring are the standard ones."""
+    tables = standard_tables()
     quant: dict[int, np.ndarray] = {}
     at, restart, parts = 2, 0, []
     while True:
@@ -251,8 +281,8 @@ def decode_baseline(frame: bytes) -> np.ndarray:
             break
         elif 0xC2 <= kind <= 0xCF:
             raise ValueError("not a sequential Huffman frame")
-    if len(chosen) != len(parts) or not tables:
-        raise ValueError("one interleaved scan with its tables is read")
+    if not parts or len(chosen) != len(parts):
+        raise ValueError("one interleaved scan is read")
     coded = frame[at:]
     segments, start, i = [], 0, coded.find(b"\xff")
     while i >= 0 and i + 1 < len(coded):
@@ -330,34 +360,69 @@ def write_avi(frames: list[bytes], payload_bytes: int, height: int = ROWS) -> by
     return _chunk(b"RIFF", body)
 
 
+def _indexed(data: bytes, at: int, size: int) -> list[tuple[int, int]]:
+    """Places and lengths of frames that a standard index of a larger file names, or the index of such indexes."""
+    width, _, kind, count = struct.unpack_from("<HBBI", data, at)
+    out = []
+    if kind == 0:  # an index of indexes: offset, size and duration of each
+        for k in range(count):
+            place, _, _ = struct.unpack_from("<QII", data, at + 24 + 16 * k)
+            if data[place : place + 2] != b"ix":
+                raise ValueError("an index is missing")
+            out += _indexed(data, place + 8, struct.unpack_from("<I", data, place + 4)[0])
+    elif kind == 1:
+        (base,) = struct.unpack_from("<Q", data, at + 12)
+        for k in range(count):
+            place, length = struct.unpack_from("<II", data, at + 24 + 4 * width * k)
+            out.append((base + place, length & 0x7FFFFFFF))
+    else:
+        raise ValueError("an unknown kind of index")
+    return out
+
+
 def read_avi(data: bytes) -> tuple[list[bytes], int | None, int]:
-    """The frames that the index names, the payload's length if the stream data tells it, and microseconds a frame."""
+    """The frames in order, the payload's length if the stream data tells it, and microseconds a frame."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     found: dict[bytes, tuple[int, int]] = {}
+    walked: list[tuple[int, int]] = []
 
-    def walk(at: int, end: int) -> None:
-        while at + 8 <= end:
+    def walk(at: int, end: int, inside: bytes = b"") -> None:
+        while at + 8 <= min(end, len(data)):
             name, (size,) = data[at : at + 4], struct.unpack_from("<I", data, at + 4)
-            if name == b"LIST":
-                found[data[at + 8 : at + 12]] = (at + 8, size)
-                if data[at + 8 : at + 12] != b"movi":
-                    walk(at + 12, at + 8 + size)
+            if name in (b"LIST", b"RIFF"):
+                kind = data[at + 8 : at + 12]
+                found.setdefault(kind, (at + 8, size))
+                walk(at + 12, at + 8 + size, kind)
+            elif inside in (b"movi", b"rec "):
+                if name[2:] in (b"dc", b"db"):
+                    walked.append((at + 8, size))
             else:
-                found[name] = (at + 8, size)
+                found.setdefault(name, (at + 8, size))
             at += 8 + size + (size & 1)
 
-    walk(12, 8 + struct.unpack_from("<I", data, 4)[0])
-    movi, (index, size) = found[b"movi"][0], found[b"idx1"]
-    frames = []
-    for k in range(index, index + size, 16):
-        name, _, at, length = struct.unpack_from("<4sIII", data, k)
-        if data[movi + at : movi + at + 4] != name:
-            raise ValueError("the index points elsewhere")
-        if name[2:] == b"dc":
-            frames.append(data[movi + at + 8 : movi + at + 8 + length])
-    length = struct.unpack_from("<Q", data, found[b"strd"][0])[0] if b"strd" in found else None
-    return frames, length, struct.unpack_from("<I", data, found[b"avih"][0])[0]
+    walk(0, len(data))
+    if b"avih" not in found or b"movi" not in found:
+        raise ValueError("a header or the frame list is missing")
+    movi = found[b"movi"][0]
+    if b"indx" in found:
+        places = _indexed(data, *found[b"indx"])
+    elif b"idx1" in found:
+        index, size = found[b"idx1"]
+        entries = [struct.unpack_from("<4sIII", data, k) for k in range(index, index + size - 15, 16)]
+        start = movi if entries and data[movi + entries[0][2] : movi + entries[0][2] + 4] == entries[0][0] else 0  # some writers count from the file's beginning
+        places = []
+        for name, _, at, length in entries:
+            if data[start + at : start + at + 4] != name:
+                raise ValueError("the index points elsewhere")
+            if name[2:] in (b"dc", b"db"):
+                places.append((start + at + 8, length))
+    else:
+        places = walked
+    if any(at + length > len(data) for at, length in places):
+        raise ValueError("a frame is cut off")
+    length = struct.unpack_from("<Q", data, found[b"strd"][0])[0] if b"strd" in found and found[b"strd"][1] == 8 else None
+    return [data[at : at + size] for at, size in places], length, struct.unpack_from("<I", data, found[b"avih"][0])[0]
 
 
 def histograms(samples: np.ndarray) -> np.ndarray:
@@ -451,15 +516,20 @@ def media_digest(docs: DataFrame) -> DataFrame:
 
 
 def media_clips(docs: DataFrame, column: str = "media") -> DataFrame:
-    """Timed clip rows of a column of AVI files; a null file has none."""
+    """Timed clip rows of a column of AVI files, with ``status`` ``ok``; a file that cannot be read has one row that tells why."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, data in zip(batch.column("doc_id").to_pylist(), batch.column(column)):
-                found = clips(data.as_py()) if data.is_valid else []
-                if found:
-                    n, start, end, frames = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(n), batch.schema.field("doc_id").type), pa.array(n, pa.int32()), pa.array(start), pa.array(end), pa.array(frames, pa.int32())], names=["doc_id", "clip", "start_s", "end_s", "frames"])
-
-    return slim(docs, "doc_id", column).mapInArrow(each, f"doc_id {kind}, clip int, start_s double, end_s double, frames int")
+                if not data.is_valid:
+                    continue
+                try:
+                    rows = [(*c, "ok") for c in clips(data.as_py())]
+                except (ValueError, IndexError, KeyError, struct.error, AttributeError, UnboundLocalError) as e:  # what a damaged file leads to
+                    rows = [(None, None, None, None, f"{type(e).__name__}: {e}")]
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), batch.schema.field("doc_id").type), *columns], names=["doc_id", "clip", "start_s", "end_s", "frames", "status"])
+
+    return slim(docs, "doc_id", column).mapInArrow(each, f"doc_id {kind}, clip int, start_s double, end_s double, frames int, status string")
