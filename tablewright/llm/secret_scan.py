@@ -1,15 +1,20 @@
 """Secret scans: candidate strings, with false positives removed by a random forest.
 
-Candidates are long runs of key characters with a digit among them, and quoted values behind a colon or equals
-sign. Features of a candidate: its length, kinds of characters and transitions between them, how usual its letter pairs are, how much
-of it dictionary words cover, words of its path (the document's source), and the words beside it. The forest
+Candidates are private key blocks, passwords inside connection strings, dotted tokens, long runs of key characters with a
+digit among them, values behind a name that speaks of a secret (quoted ones with or without blanks, and bare ones), and quoted values behind any colon or equals
+sign. None has an upper length. Not looked for: bare words without a digit or a telling name before them.
+
+Features of a candidate: its length, kinds of characters and turns between them, how usual its letter transitions are, how much
+of it dictionary words cover, words of its path (the document's source), and the words beside it. Dictionary and transitions are learnt from all documents: the
+words that a share of these hold, as a bitmap of fixed size, and the counts of letter pairs in them. The forest
 is trained from labelled findings (a table with ``value, before, after, path, secret``).
 
 The corpus has no labelled findings, so the registered query trains on ``labelled_findings()``: a seeded, bounded set of findings made
-from public token formats and from usual false alarms (checksums, commits, identifiers, placeholders, card numbers, paths).
+from public token formats and from usual false alarms (checksums, commits, identifiers, placeholders, card numbers, paths). Its
+precision and recall are measured on a written list of findings that it does not make (``tests/llm``).
 
-Fixed results: a null or empty text has no candidate; a null source has no path words; a null id is kept as a value; repeated rows
-give their findings each; an empty table gives no row; other columns are never read. Found values leave as a hash only.
+Fixed results: a null or empty text has no candidate; a very long text is searched whole; a null source has no path words; a null id is kept as a value; repeated rows
+give their findings each; of candidates that overlap, the earliest and then the longest stays; an empty table gives no row; other columns are never read. Found values leave as a hash only.
 """
 
 from __future__ import annotations
@@ -21,22 +26,31 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_size, texts_of
+from .common import by_size, slim, staged, texts_of
 
 #: Findings made for each label.
 FINDINGS = 2_000
 TREES, DEPTH, SEED = 20, 8, 3
 CONTEXT = 48
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
-_VALUE = re.compile(r"[:=]\s{0,2}[\"']([^\s\"']{8,256})[\"']")
+_RUN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}(?:\.[A-Za-z0-9+/_=\-]{6,})*")
+_VALUE = re.compile(r"[:=]\s{0,2}[\"']([^\s\"']{8,})[\"']")
+_NAMED = re.compile(
+    r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?(?![a-z])|credentials?|bearer)\w{0,20}[\"']?"
+    r"(?:\s{0,2}[:=]>?\s{0,2}(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"',;]{4,}))|\s+(?:is\s+)?\"([^\"\n]{4,})\")"
+)
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:@/]*:([^\s@/]{3,})@")
+_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
 _WORDS = re.compile(r"[a-z]+")
 _KINDS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 
@@ -46,27 +60,73 @@ _AGAINST = frozenset("sha sha1 sha256 md5 checksum digest commit revision hash e
 _FILL = frozenset("example sample dummy test your here changeme placeholder insert xxxx todo fake default redacted foo bar demo".split())
 _COMMON = frozenset("the and for with that this from have not are was you all can has more one will about use get set new user name data file path main src lib test value type list item index page image java python config service server client model view controller manager handler factory builder string number object array function method class public private static final return import package module version build release update create delete insert select table column order customer account address street city country state".split())
 _DICTIONARY = _FOR | _AGAINST | _FILL | _COMMON
-#: The most usual pairs of letters in English text.
-_PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split())
+#: Places of the dictionary's bitmap, a power of two: 2 MB whatever the corpus holds.
+BITMAP = 1 << 24
+#: A word is of the dictionary if it stands in this share of the documents and in so many at least.
+WORD_SHARE, WORD_LEAST = 1e-5, 3
+#: Longest dictionary word that is tried inside a candidate.
+LONGEST = 32
+
+
+@dataclass
+class Language:
+    """What the corpus says of its words: a bitmap of their hashes, and the logarithm of each letter's probability behind another."""
+
+    bitmap: np.ndarray
+    pairs: dict[str, float]
+    shortest: int = 3
+
+    def known(self, word: str) -> bool:
+        if word in _DICTIONARY:
+            return True
+        at = xxhash.xxh64_intdigest(word, 42) & (BITMAP - 1)
+        return len(word) >= 4 and bool(self.bitmap[at >> 6] >> np.uint64(at & 63) & np.uint64(1))
+
+
+def no_language() -> Language:
+    return Language(np.zeros(BITMAP >> 6, np.uint64), {})
+
+
+def learn_language(docs: DataFrame) -> Language:
+    """The language of all documents. What reaches the driver is the bitmap's words and the letter pairs, bounded whatever the corpus holds."""
+    texts = slim(docs, "text").where("text IS NOT NULL")
+    least = max(WORD_LEAST, math.ceil(WORD_SHARE * docs.count()))
+    found = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w")).where("length(w) >= 3")
+    words = staged(found.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least), "words")
+    place = words.select((F.xxhash64("w").bitwiseAND(F.lit(BITMAP - 1))).alias("p"))
+    cells = place.groupBy(F.shiftright("p", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits")).collect()
+    bitmap = np.zeros(BITMAP >> 6, np.uint64)
+    for r in cells:
+        bitmap[r["cell"]] = r["bits"] & (1 << 64) - 1
+    two = words.select("n", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    after: Counter = Counter()
+    for r in two:
+        after[r["pair"][0]] += r["n"]
+    return Language(bitmap, {r["pair"]: math.log2((r["n"] + 1) / (after[r["pair"][0]] + 26)) for r in two})
+
 
 NAMES = ("length", "digits", "upper", "lower", "other", "entropy", "turns", "pairs", "covered", "fill", "hex", "digits_only", "uuid", "slashes", "for_near", "against_near", "fill_near", "assigned", "quoted", "path_test", "repeat")
 
 
-def features(value: str, before: str, after: str, path: str) -> list[float]:
+#: Logarithm of the probability of a letter pair that the corpus does not have.
+_RARE = -12.0
+
+
+def features(value: str, before: str, after: str, path: str, language: Language) -> list[float]:
     """The numbers that the forest sees, in the order of ``NAMES``."""
     n = len(value)
     lower = value.lower()
     count = Counter(value)
     runs = _KINDS.findall(value)
-    letters = "".join(_WORDS.findall(lower))
     covered, fill = 0, 0.0
     for w in _WORDS.findall(lower):
         i = 0
         while i < len(w):
-            size = next((k for k in range(min(14, len(w) - i), 2, -1) if w[i : i + k] in _DICTIONARY), 0)
+            size = next((k for k in range(min(LONGEST, len(w) - i), 2, -1) if language.known(w[i : i + k])), 0)
             fill += size > 0 and w[i : i + size] in _FILL
             covered += size
             i += size or 1
+    usual = [language.pairs.get(p, _RARE) for w in _WORDS.findall(lower) for p in map("".join, zip(w, w[1:]))]
     near = set(re.findall(r"[a-z0-9]+", before.lower().replace("_", " "))[-6:])
     return [
         float(n),
@@ -76,7 +136,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         sum(not c.isalnum() for c in value) / n,
         -sum(c / n * math.log2(c / n) for c in count.values()),
         (len(runs) - 1) / n,
-        sum(letters[i : i + 2] in _PAIRS for i in range(len(letters) - 1)) / max(1, len(letters) - 1),
+        sum(usual) / len(usual) if usual else _RARE,
         covered / n,
         fill,
         float(all(c in "0123456789abcdef" for c in lower)),
@@ -98,6 +158,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
     spans = [m.span() for m in _RUN.finditer(text) if any(c.isdigit() for c in m.group())]
     if '"' in text or "'" in text:
         spans += [m.span(1) for m in _VALUE.finditer(text)]
+    spans += [m.span(m.lastindex) for m in _NAMED.finditer(text)]
+    if "://" in text:
+        spans += [m.span(1) for m in _URL.finditer(text)]
+    if "-----BEGIN" in text:
+        spans += [m.span() for m in _BLOCK.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(set(spans), key=lambda s: (s[0], -s[1])):
         if not out or a >= out[-1][1]:
@@ -105,7 +170,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def find_candidates(docs: DataFrame) -> DataFrame:
+def find_candidates(docs: DataFrame, language: Language) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +179,7 @@ def find_candidates(docs: DataFrame) -> DataFrame:
             for key, text, path in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("path").to_pylist()):
                 for a, b in candidates(text):
                     value = text[a:b]
-                    rows.append((key, a, b, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(), features(value, text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path or "")))
+                    rows.append((key, a, b, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(), features(value, text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path or "", language)))
             columns = zip(*rows) if rows else [[]] * 5
             types = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["doc_id", "start", "end", "value_sha256", "features"])
@@ -140,6 +205,11 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
         lambda: "AKIA" + some(alnum[:26] + alnum[-10:], 16),
         lambda: "xoxb-" + some("0123456789", 11) + "-" + some(alnum, 24),
         lambda: some(alnum + "-_!", rng.randrange(12, 24)),
+        lambda: rng.choice(prose).title() + some("0123456789", rng.randrange(2, 5)) + rng.choice("!?#$*"),
+        lambda: rng.choice(prose) + some("0123456789", rng.randrange(1, 4)),
+        lambda: words(rng.randrange(3, 6)),
+        lambda: "eyJ" + some(alnum, 17) + "." + some(alnum, rng.randrange(40, 300)) + "." + some(alnum + "-_", 43),
+        lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(some(alnum + "+/", 64) for _ in range(rng.randrange(4, 12))) + "\n-----END RSA PRIVATE KEY-----",
     ]
     harmless = [
         (lambda: hexa(rng.choice((32, 40, 64))), ("commit", "sha256", "checksum", "md5", "revision", "etag")),
@@ -149,6 +219,8 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
         (lambda: "_".join(rng.choice(prose) for _ in range(3)) + some("0123456789", 2), ("", "name", "use")),
         (lambda: rng.choice(("your_api_key_here_", "example-token-", "changeme_changeme_", "xxxxxxxxxxxxxxxx", "dummy-secret-value-")) + some("0123456789", 2), ("token", "secret", "password", "key")),
         (lambda: "".join(rng.choice(prose).title() for _ in range(4)) + some("0123456789", 1), ("class", "new", "")),
+        (lambda: words(rng.randrange(3, 7)), ("title", "name", "note", "comment", "said", "label")),
+        (lambda: rng.choice(("required", "expired", "string", "None", "null", "true", "os.environ", "getenv()", "<password>", "${PASSWORD}", "{{token}}", "********", "invalid", "missing", "optional")), ("password", "token", "secret", "auth", "api_key")),
         (lambda: rng.choice(prose) + "-" + rng.choice(prose) + "-20" + some("0123456789", 2) + "-" + some("01", 2) + "-" + some("0123456789", 2), ("version", "build", "release", "")),
     ]
     out = []
@@ -163,15 +235,16 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     return out
 
 
-def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, str, int]]) -> RandomForestClassificationModel:
-    rows = [(features(v, b, a, p), float(s)) for v, b, a, p, s in findings]
+def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, str, int]], language: Language) -> RandomForestClassificationModel:
+    rows = [(features(v, b, a, p, language), float(s)) for v, b, a, p, s in findings]
     data = spark.createDataFrame(rows, "features array<double>, label double").coalesce(1).select(array_to_vector("features").alias("v"), "label")
     return RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxMemoryInMB=64).fit(data)
 
 
 def scan_secrets(docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """Every candidate with its score; ``kept`` where the forest does not take it for a false positive."""
-    model = train_forest(docs.sparkSession, labelled_findings() if findings is None else findings)
-    scored = model.transform(find_candidates(docs).withColumn("v", array_to_vector("features")))
+    language = learn_language(docs)
+    model = train_forest(docs.sparkSession, labelled_findings() if findings is None else findings, language)
+    scored = model.transform(find_candidates(docs, language).withColumn("v", array_to_vector("features")))
     score = vector_to_array("probability")[1]
     return scored.select("doc_id", "start", "end", "value_sha256", score.alias("score"), (score >= threshold).alias("kept"))
