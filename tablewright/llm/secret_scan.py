@@ -14,7 +14,7 @@ from public token formats and from usual false alarms (checksums, commits, ident
 precision and recall are measured on a written list of findings that it does not make (``tests/llm``).
 
 Fixed results: a null or empty text has no candidate; a very long text is searched whole; a null source has no path words; a null id is kept as a value; repeated rows
-give their findings each; of candidates that overlap, the earliest and then the longest stays; an empty table gives no row; other columns are never read. Found values leave as a hash only.
+give their findings each; of candidates that overlap, key blocks stay before values with a name or quotes and these before runs, and among equals the earliest and then the longest; an empty table gives no row; other columns are never read. Found values leave as a hash only.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import math
 import random
 import re
 import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,7 +56,7 @@ _WORDS = re.compile(r"[a-z]+")
 _KINDS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 
 # Words that speak for a secret, against one, and words of placeholders.
-_FOR = frozenset("token secret password passwd pwd apikey api key auth authorization bearer credential credentials private access signing client login".split())
+_FOR = frozenset("token secret password passwd passphrase pwd apikey api key auth authorization bearer credential credentials private access signing client login".split())
 _AGAINST = frozenset("sha sha1 sha256 md5 checksum digest commit revision hash etag uuid guid id version build card phone order invoice image png jpeg integrity file path".split())
 _FILL = frozenset("example sample dummy test your here changeme placeholder insert xxxx todo fake default redacted foo bar demo".split())
 _COMMON = frozenset("the and for with that this from have not are was you all can has more one will about use get set new user name data file path main src lib test value type list item index page image java python config service server client model view controller manager handler factory builder string number object array function method class public private static final return import package module version build release update create delete insert select table column order customer account address street city country state".split())
@@ -155,19 +156,22 @@ def features(value: str, before: str, after: str, path: str, language: Language)
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Start and end of each candidate, in order, without overlap."""
-    spans = [m.span() for m in _RUN.finditer(text) if any(c.isdigit() for c in m.group())]
+    told = [m.span(m.lastindex) for m in _NAMED.finditer(text)]
     if '"' in text or "'" in text:
-        spans += [m.span(1) for m in _VALUE.finditer(text)]
-    spans += [m.span(m.lastindex) for m in _NAMED.finditer(text)]
+        told += [m.span(1) for m in _VALUE.finditer(text)]
     if "://" in text:
-        spans += [m.span(1) for m in _URL.finditer(text)]
-    if "-----BEGIN" in text:
-        spans += [m.span() for m in _BLOCK.finditer(text)]
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(set(spans), key=lambda s: (s[0], -s[1])):
-        if not out or a >= out[-1][1]:
-            out.append((a, b))
-    return out
+        told += [m.span(1) for m in _URL.finditer(text)]
+    blocks = [m.span() for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
+    runs = [m.span() for m in _RUN.finditer(text) if any(c.isdigit() for c in m.group())]
+    starts: list[int] = []
+    ends: list[int] = []
+    for spans in (blocks, told, runs):
+        for a, b in sorted(set(spans), key=lambda s: (s[0], -s[1])):
+            i = bisect_right(starts, a)
+            if (i == 0 or ends[i - 1] <= a) and (i == len(starts) or b <= starts[i]):
+                starts.insert(i, a)
+                ends.insert(i, b)
+    return list(zip(starts, ends))
 
 
 def find_candidates(docs: DataFrame, language: Language) -> DataFrame:
@@ -225,10 +229,13 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     ]
     out = []
     for _ in range(count):
-        name = rng.choice(("token", "secret", "password", "api_key", "auth_token", "access_key", "private_key", "client_secret"))
+        name = rng.choice(("token", "secret", "password", "api_key", "auth_token", "access_key", "private_key", "client_secret", "passphrase", "pwd"))
         joint = rng.choice((' = "', '="', ": '", " = ", ": ", ' "'))
         close = {'"': '" ', "'": "' "}.get(joint[-1], " ")
-        out.append((rng.choice(secret)(), f"{words(4)} {name}{joint}", close + words(3), rng.choice(("src", "app", "config", "deploy", "")), 1))
+        value, before = rng.choice(secret)(), f"{words(4)} {name}{joint}"
+        if " " not in value and rng.random() < 0.05:
+            before, close = f"{words(3)} {rng.choice(('https', 'postgres', 'mysql', 'amqp', 'redis'))}://{rng.choice(prose)}:", "@" + rng.choice(prose) + "." + rng.choice(prose) + " "
+        out.append((value, before, close + words(3), rng.choice(("src", "app", "config", "deploy", "")), 1))
         make, names = rng.choice(harmless)
         joint = rng.choice((' = "', ": ", " ", " ", " ("))
         out.append((make(), f"{words(4)} {rng.choice(names)}{joint}", ('" ' if joint[-1] == '"' else " ") + words(3), rng.choice(("src", "tests", "docs", "")), 0))

@@ -217,6 +217,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int
 
 def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
     """``token, n``: how often each id stands in all shards, by rank alone; a token that stands nowhere has 0."""
+    tokens = list(dict.fromkeys(tokens))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +226,7 @@ def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([shard.count(t) for t in tokens], pa.int64())], names=["token", "n"])
 
     found = shards.select("data").mapInArrow(each, "token bigint, n bigint")
-    asked = shards.sparkSession.createDataFrame([(t, 0) for t in dict.fromkeys(tokens)], "token long, n long")
+    asked = shards.sparkSession.createDataFrame([(t, 0) for t in tokens], "token long, n long")
     return found.unionByName(asked).groupBy("token").agg(F.sum("n").alias("n"))
 
 
