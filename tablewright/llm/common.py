@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +50,47 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_staging(spark)}/{name}-{uuid.uuid4().hex}"
+    for block in _OPEN:
+        block.add(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+#: Paths staged in the ``scratch`` blocks that are open, innermost last. A driver thread stages at a time.
+_OPEN: list[set[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged in the block are deleted at its end, but for those given to the function that it yields: what these hold is stored, so nothing reads the others any more."""
+    mine: set[str] = set()
+    _OPEN.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        mine.discard(df.staged_at)
+        return df
+
+    try:
+        yield keep
+    except BaseException:
+        mine.clear()  # a failed job's tables stay for its next try
+        raise
+    finally:
+        _OPEN.remove(mine)
+        for path in mine:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete this application's staged tables. Call it once the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_staging(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _staging(spark))
 
 
 def by_size(batches: Iterator[pa.RecordBatch], limit: int = GROUP_CHARS, column: str = "text") -> Iterator[pa.RecordBatch]:

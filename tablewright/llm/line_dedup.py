@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import if_small, once, slim, staged
+from .common import if_small, once, scratch, slim, staged
 
 #: Lines of fewer words are compared for equality only: one edit in fewer words is another line. (Default of a parameter.)
 MIN_WORDS = 10
@@ -141,7 +141,8 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, report: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without their dropped lines. ``report`` adds ``n_lines`` and ``n_dropped``. Lines of fewer than ``min_words`` words go only when an earlier line has the same words."""
-    drops = staged(dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_set("line_no")).alias("__drops")), "drops")
+    with scratch(docs.sparkSession) as keep:
+        drops = keep(staged(dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_set("line_no")).alias("__drops")), "drops"))
     joined = docs.join(if_small(drops), (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
     # What stays are the runs between dropped lines, so the work is in proportion to the lines.
     runs = """array_join(flatten(transform(sequence(0, size(__drops)), i -> slice(__lines,

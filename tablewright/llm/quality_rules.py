@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, if_small, slim, small, staged, texts_of
+from .common import by_size, if_small, scratch, slim, small, staged, texts_of
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -232,8 +232,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stra
     columns = docs.columns
     # Few labels meet the texts where they lie; many meet the counts, so that no text is shuffled.
     counts = measure(docs.join(F.broadcast(known), "doc_id", "left_semi"), stratum) if small(known) else measure(docs, stratum).join(known.hint("merge"), "doc_id", "left_semi")
-    counts = staged(counts, "quality")
-    cutoffs = learn_cutoffs(counts, labels, risk)
+    with scratch(docs.sparkSession):
+        cutoffs = learn_cutoffs(staged(counts, "quality"), labels, risk)
     strata = columns.index(stratum) if stratum in columns else None
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

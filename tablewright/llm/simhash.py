@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_size, if_small, slim, small, staged, texts_of
+from .common import by_size, if_small, scratch, slim, small, staged, texts_of
 
 DISTANCE = 2
 SHINGLE = 3
@@ -138,15 +138,16 @@ def _by_root(nodes: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _marks_and_classes(docs: DataFrame, entry: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, h, fp`` of every row, and ``fp, fp_class, component_id`` of every fingerprint."""
-    marks = staged(fingerprints(docs), "fingerprints")
-    points = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = staged(components(links(points.select("fp"), entry)).withColumnRenamed("u", "fp"), "linked")
-    linked = staged(points.join(roots, "fp"), "linked-points")
-    least = staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = linked.select("fp", "root").join(if_small(least), "root").select("fp", F.col("root").alias("__r"), F.col("component_id").alias("__c"))
-    # Stored, so that both sides of the last join come from plain exchanges and Spark can split a fingerprint with very many documents.
-    classes = points.join(named, "fp", "left").select("fp", F.coalesce("__r", "fp").alias("fp_class"), F.when(F.col("__r").isNull(), F.col("least")).otherwise(F.col("__c")).alias("component_id"))
-    return marks, staged(classes, "classes")
+    with scratch(docs.sparkSession) as keep:
+        marks = keep(staged(fingerprints(docs), "fingerprints"))
+        points = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+        roots = staged(components(links(points.select("fp"), entry)).withColumnRenamed("u", "fp"), "linked")
+        linked = staged(points.join(roots, "fp"), "linked-points")
+        least = staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        named = linked.select("fp", "root").join(if_small(least), "root").select("fp", F.col("root").alias("__r"), F.col("component_id").alias("__c"))
+        # Stored, so that both sides of the last join come from plain exchanges and Spark can split a fingerprint with very many documents.
+        classes = points.join(named, "fp", "left").select("fp", F.coalesce("__r", "fp").alias("fp_class"), F.when(F.col("__r").isNull(), F.col("least")).otherwise(F.col("__c")).alias("component_id"))
+        return marks, keep(staged(classes, "classes"))
 
 
 def simhash_classes(docs: DataFrame, entry: int = ENTRY) -> DataFrame:

@@ -15,6 +15,21 @@ def test_staged_tables_can_be_dropped(spark):
     assert not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
 
 
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    there = lambda df: spark._jvm.org.apache.hadoop.fs.Path(df.staged_at).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(df.staged_at))
+    before = common.staged(spark.range(2), "before")
+    with common.scratch(spark) as keep:
+        outer = common.staged(spark.range(3), "outer")
+        with common.scratch(spark) as keep_inner:
+            gone, kept = common.staged(spark.range(1), "gone"), keep_inner(keep(common.staged(spark.range(0), "kept")))
+        assert not there(gone) and there(kept) and there(outer)
+    assert there(kept) and there(before) and not there(outer) and kept.count() == 0
+    with pytest.raises(ZeroDivisionError), common.scratch(spark):
+        stays = common.staged(spark.range(1), "stays")
+        1 / 0
+    assert there(stays) and not common._OPEN
+
+
 def test_slices_keep_all_rows():
     texts = ["a" * n for n in (3, 0, 5, 50, 1, 1)] + [None, "é"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["text", "i"])
