@@ -36,11 +36,18 @@ def audit_sample(claims: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:
     return drawn.where(F.col("r") <= n).drop("r", "key")
 
 
+#: Equal ranges of scores over which running sums go first, so that no task sorts all scores.
+BUCKETS = 1024
+
+
 def conformal_threshold(scores: DataFrame, alpha: float = 0.05, delta: float = 0.1, lowest: bool = False) -> DataFrame:
-    """``tau``: a score above which errors keep to ``alpha`` with Hoeffding's margin; the highest such score, or with ``lowest`` the lowest; 1 if there is none."""
-    by_score = scores.groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("correct") == 0).alias("wrong"))
-    # Distinct scores are few against rows; their running sums need one order.
-    above = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = by_score.select("score", F.sum("n").over(above).alias("n"), F.sum("wrong").over(above).alias("wrong"))
+    """``tau``: a score above which errors keep to ``alpha`` with Hoeffding's margin; the highest such score, or with ``lowest`` the lowest; 1 if there is none. Rows without a score count nowhere."""
+    bucket = F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS)).cast("int")
+    by_score = scores.where("score IS NOT NULL").groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("correct") == 0).alias("wrong")).withColumn("bucket", bucket)
+    higher = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = by_score.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))  # a row for each range
+    before = before.select("bucket", *(F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}_before") for c in ("n", "wrong")))
+    above = Window.partitionBy("bucket").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = by_score.join(F.broadcast(before), "bucket").select("score", *((F.sum(c).over(above) + F.col(f"{c}_before")).alias(c) for c in ("n", "wrong")))
     ok = run.where(F.col("wrong") / F.col("n") + F.sqrt(F.lit(math.log(1 / delta)) / (2 * F.col("n"))) <= alpha)
     return ok.agg(F.coalesce((F.min if lowest else F.max)("score"), F.lit(1.0)).alias("tau"), F.count("*").alias("n_qualifying"))

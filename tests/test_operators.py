@@ -112,6 +112,21 @@ def test_conformal_without_a_threshold(spark):
     assert audit.conformal_threshold(spark.createDataFrame([(0.9, 1)], "score double, correct int")).first()["tau"] == 1.0
 
 
+def test_conformal_threshold_of_many_scores(spark):
+    rng = random.Random(14)
+    rows = [(rng.choice([rng.random(), 1.0, 1.5, -0.2, round(rng.random(), 1)]), 0) if rng.random() < 0.02 else (rng.random() ** 0.5, 1) for _ in range(3000)] + [(None, 0)] * 5
+    df = spark.createDataFrame(rows, "score double, correct int")
+    by = sorted({s for s, _ in rows if s is not None}, reverse=True)
+    good = []
+    for s in by:
+        n, wrong = sum(x is not None and x >= s for x, _ in rows), sum(x is not None and x >= s and not c for x, c in rows)
+        if wrong / n + math.sqrt(math.log(10) / (2 * n)) <= 0.06:
+            good.append(s)
+    for lowest, pick in ((False, max), (True, min)):
+        r = audit.conformal_threshold(df, alpha=0.06, lowest=lowest).first()
+        assert (r["tau"], r["n_qualifying"]) == (pick(good), len(good)) and len(good) > 100
+
+
 def test_matching_of_editions(spark):
     keys = spark.createDataFrame([("hackwave 2024", 1), ("hackwave 2025", 2), ("hack wave", 3), ("qwen2 5 vl", 4), ("qwen 2 5 vl 2025", 5), ("other", 6)], "key string, seq int")
     got = {r["key"]: r["canonical"] for r in entity.match_existing_key(keys).collect()}
