@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, slim
+from .common import if_small, once, slim
 
 SHINGLE = 3
 CONTAINMENT = 0.8
@@ -175,7 +175,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     windows = rows.select("doc_id", once(F.expr(f"concat({', '.join(found)})")).alias("v")).select("doc_id", F.explode("v").alias("v")).select("doc_id", "v.*")
     signed = windows.select("doc_id", "n", "a", "ww", once(F.expr(_signature("sh", "b"))).alias("keys")).select("*", F.posexplode("keys").alias("band", "key"))
     # A window that meets a template in several bands counts in the first of these only.
-    met = signed.join(F.broadcast(known), ["n", "band", "key"]).where("band = 0 OR NOT exists(sequence(0, band - 1), k -> keys[k] = tkeys[k])")
+    met = signed.join(if_small(known), ["n", "band", "key"]).where("band = 0 OR NOT exists(sequence(0, band - 1), k -> keys[k] = tkeys[k])")
     share = F.size(F.array_intersect(F.expr(_shingles("ww")), "shingles")) / F.size("shingles")
     sure = met.select("doc_id", "license", "a", once(share).alias("containment"), F.size("shingles").alias("m")).where(f"containment * m >= IF(m <= {SHORT}, m, ceil({CONTAINMENT} * m - 1e-9)) - 1e-6")
     best = sure.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("a").alias("first_word"), F.count("*").alias("n_windows"))
