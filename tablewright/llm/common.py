@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step handles at a time (a longer text is handled alone).
 GROUP_CHARS = 2_000_000
+#: Bytes of text after which a worker gives back what it has freed.
+TRIM_BYTES = 8_000_000
 
 
 _OWN_DIRS: dict[str, str] = {}
@@ -93,11 +96,20 @@ def drop_staged(spark: SparkSession) -> None:
     _delete(spark, _staging(spark))
 
 
+def trim() -> None:
+    """Give memory that is free again back to the system; C's allocator keeps most of it otherwise, in idle workers too."""
+    pa.default_memory_pool().release_unused()
+    if (give_back := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        give_back(0)
+
+
 def by_size(batches: Iterator[pa.RecordBatch], limit: int = GROUP_CHARS, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts have ``limit`` bytes at most, a longer text by itself.
 
-    Python objects are made of one slice at a time, so they take little memory however large Arrow's batches are.
+    Python objects are made of one slice at a time, so they take little memory however large Arrow's batches are. What they
+    took is given back now and then, and at the end.
     """
+    passed = 0
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
@@ -105,7 +117,12 @@ def by_size(batches: Iterator[pa.RecordBatch], limit: int = GROUP_CHARS, column:
             held = int(ends[start - 1]) if start else 0
             end = max(start + 1, int(np.searchsorted(ends, held + limit, "right")))
             yield batch.slice(start, end - start)
+            passed += int(ends[end - 1]) - held
+            if passed >= TRIM_BYTES:
+                trim()
+                passed = 0
             start = end
+    trim()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

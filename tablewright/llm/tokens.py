@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .common import trim
+
 #: Runs in one of a memo's two generations (some 200 bytes each).
 MEMO_RUNS = 300_000
 #: Seconds after which an idle worker gives its memo up.
@@ -23,7 +25,7 @@ REST_S = 3.0
 #: Words that are encoded as one text: few enough that long texts do not slow the library down.
 _JOINED = 100
 #: Bytes of text to encode in one call: runs that come up twice in it are encoded once.
-ENCODE_BYTES = 4_000_000
+ENCODE_BYTES = 1_000_000
 #: Longer texts are encoded slice by slice.
 SLICE_CHARS = 4_000_000
 
@@ -63,6 +65,7 @@ class RunEncoder:
 
     def _forget(self) -> None:
         self.old, self.new = {}, {}
+        trim()
 
     def _learn(self, runs: set[str], new: dict[str, bytes]) -> None:
         """Afterwards ``new`` has all of ``runs``; those that the old generation has move on."""
