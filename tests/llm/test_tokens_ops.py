@@ -1,6 +1,8 @@
 """Wavelet shards and packing against plain encoding."""
 
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 
 from tablewright.llm import packing, wavelet_store
 from tablewright.llm.queries import vocabulary
-from tablewright.llm.tokens import RunEncoder
+from tablewright.llm.tokens import RunEncoder, run_starts
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +121,48 @@ def test_packing(spark, edge, plain):
 def test_empty_tables(spark, empty):
     assert packing.pack(empty, vocabulary()).count() == 0
     assert wavelet_store.read_shards(wavelet_store.write_shards(empty, vocabulary())).count() == 0
+
+
+def test_encoding_costs_less_than_a_string_for_each_word():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(600)]
+    enc, split = RunEncoder(vocabulary()), re.compile(r"\s*\S+")
+    enc.encode(texts)  # the words are known from here on
+
+    def seconds(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    assert min(seconds(lambda: enc.encode(texts)) for _ in range(5)) < min(seconds(lambda: [split.findall(t) for t in texts]) for _ in range(5))
+
+
+def test_runs():
+    texts = ["", "It's  two, 3x\nno!yes", " \n\né×ɏɐ Жд я　 b— c", "", "a"]
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([0, *map(len, raw)])
+    data = b"".join(raw)
+    cuts = run_starts(np.frombuffer(data, np.uint8), ends).tolist()
+    runs = [data[a:b].decode() for a, b in zip(cuts, [*cuts[1:], len(data)])]
+    assert runs == ["It", "'s", "  two", ",", " 3", "x", "\n", "no", "!", "yes", " \n\né×ɏɐ", " Жд", " я　 b— c", "a"]
+
+
+@pytest.mark.parametrize("letters", ["ab ", "ab' \n", "é×ɏɐ \n'a1.", "Жя 　\xa0 \x85—​a\n", "ab1 \t\r\n\x1c\x7f,'", "日本 ́🙂a\n"])
+def test_texts_of_any_alphabet_give_the_library_ids(plain, letters):
+    rng = random.Random(letters)
+    texts = ["".join(rng.choices(letters, k=rng.randrange(30))) for _ in range(500)]
+    enc = RunEncoder(vocabulary(), memo=100)
+    for k in range(0, len(texts), 100):
+        assert [np.frombuffer(raw, enc.dtype).tolist() for raw in enc.encode(texts[k : k + 100])] == [plain(t) for t in texts[k : k + 100]]
+
+
+def test_another_pre_tokenisation_is_left_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer.from_file(vocabulary())
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    t.save(str(tmp_path / "other.json"))
+    texts = ["in the end, of the\n\nthe", "", "x" * 50 + " of  the"]
+    enc = RunEncoder(str(tmp_path / "other.json"))
+    assert [np.frombuffer(raw, enc.dtype).tolist() for raw in enc.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
