@@ -6,9 +6,11 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablewright.llm import packing, wavelet_store
+from tablewright.llm.common import by_size, texts_of
 from tablewright.llm.queries import vocabulary
 from tablewright.llm.tokens import RunEncoder, run_starts
 
@@ -166,3 +168,16 @@ def test_another_pre_tokenisation_is_left_to_the_library(tmp_path):
     texts = ["in the end, of the\n\nthe", "", "x" * 50 + " of  the"]
     enc = RunEncoder(str(tmp_path / "other.json"))
     assert [np.frombuffer(raw, enc.dtype).tolist() for raw in enc.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_packing_looks_a_run_up_once_a_slice(monkeypatch, plain):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(1000)]
+    texts = ["".join(f" {w}" for w in rng.choices(words, k=1000)) for _ in range(900)]
+    seen, look_up = [], RunEncoder._look_up
+    monkeypatch.setattr(RunEncoder, "_look_up", lambda self, runs: seen.append(len(runs)) or look_up(self, runs))
+    enc, ids = RunEncoder(vocabulary()), []
+    for batch in by_size(iter([pa.RecordBatch.from_pydict({"text": texts})]), packing.ENCODE_BYTES):
+        ids += enc.encode(texts_of(batch))
+    assert sum(seen) <= 2 * len(set(words)) and len(seen) == 2
+    assert all(np.frombuffer(ids[k], enc.dtype).tolist() == plain(texts[k]) for k in range(0, 900, 50))
