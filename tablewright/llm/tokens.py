@@ -41,6 +41,7 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[33:127] = _MARK
 _KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
 _KIND[32], _KIND[10], _KIND[39] = _BLANK, _FEED, _QUOTE
+_KIND[[9, 13]] = _BLANK | _FEED
 _WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 #: The pre-tokenisation that allows these cuts (with another one, whole texts are encoded), and how it spells each byte. The line feed, which words never have, parts them.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -56,7 +57,7 @@ _ENCODERS: dict[tuple[str, int], "RunEncoder"] = {}
 def run_starts(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Where the runs of some texts begin. ``text``: their UTF-8 bytes one after another; ``ends``: 0 and where each text ends.
 
-    A run ends before a blank or line feed after what is no blank; after a letter, before what is an ASCII character and no letter; before a letter after
+    A run ends before a blank, tab, carriage return or line feed after what is no blank; after a letter, before what is an ASCII character and no letter; before a letter after
     what is an ASCII character, no letter, blank or apostrophe; and after a line feed that is the only blank, before what is none. Letters are A to Z and U+00C0 to U+024F.
     """
     size = len(text)
@@ -80,7 +81,8 @@ def run_starts(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         at = at[gap[at - 1] & (before[at - 1] == 0)]
         b1, b2, b3 = text[at - 1], text[at - 2], text[at - 3]
         other = (b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
-        other |= (b3 == 0xE2) & ((b2 == 0x80) | (b2 == 0x81)) | (b3 == 0xE1) & ((b2 == 0x9A) | (b2 == 0xA0)) | (b3 == 0xE3) & (b2 == 0x80)
+        other |= (b3 == 0xE2) & (b2 == 0x80) & ((b1 <= 0x8A) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF)) | (b3 == 0xE2) & (b2 == 0x81) & (b1 == 0x9F)
+        other |= (b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80) | (b3 == 0xE1) & ((b2 == 0x9A) & (b1 == 0x80) | (b2 == 0xA0) & (b1 == 0x8E))
         start[at[~other]] = True
     start[ends] = True
     feed = np.flatnonzero((before == _FEED) & start[: size - 1] & (now >= _LETTER))

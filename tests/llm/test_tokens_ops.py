@@ -147,7 +147,7 @@ def test_runs():
     data = b"".join(raw)
     cuts = run_starts(np.frombuffer(data, np.uint8), ends).tolist()
     runs = [data[a:b].decode() for a, b in zip(cuts, [*cuts[1:], len(data)])]
-    assert runs == ["It", "'s", "  two", ",", " 3", "x", "\n", "no", "!", "yes", " \n\né×ɏɐ", " Жд", " я　 b— c", "a"]
+    assert runs == ["It", "'s", "  two", ",", " 3", "x", "\n", "no", "!", "yes", " \n\né×ɏɐ", " Жд", " я　 b—", " c", "a"]
 
 
 @pytest.mark.parametrize("letters", ["ab ", "ab' \n", "é×ɏɐ \n'a1.", "Жя 　\xa0 \x85—​a\n", "ab1 \t\r\n\x1c\x7f,'", "日本 ́🙂a\n"])
@@ -159,6 +159,12 @@ def test_texts_of_any_alphabet_give_the_library_ids(plain, letters):
         assert [np.frombuffer(raw, enc.dtype).tolist() for raw in enc.encode(texts[k : k + 100])] == [plain(t) for t in texts[k : k + 100]]
 
 
+def test_cells_between_tabs_are_runs():
+    line = b"12\t3.5\t\ta!\tb\r\n7\t\r\n"
+    cuts = run_starts(np.frombuffer(line, np.uint8), np.array([0, len(line)])).tolist()
+    assert [line[a:b] for a, b in zip(cuts, [*cuts[1:], len(line)])] == [b"12", b"\t3.5", b"\t\ta", b"!", b"\tb", b"\r\n7", b"\t\r\n"]
+
+
 def test_another_pre_tokenisation_is_left_to_the_library(tmp_path):
     from tokenizers import Tokenizer, pre_tokenizers
 
