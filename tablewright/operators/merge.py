@@ -7,7 +7,7 @@ the one before it corroborates; disagreeing claims of other URLs after it are it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,32 +19,60 @@ def keys(rows: DataFrame, *names: str) -> list[str]:
     return [c for c in ("run", *(names or ("entity", "field"))) if c in rows.columns]
 
 
-def upsert_records(claims: DataFrame, keep_conflicts: bool = False) -> DataFrame:
-    """``run, entity, field, value, url, corroborated_by, conflicts`` from claims ``run, entity, field, seq, value, url`` (the run may be absent).
+def by_cell(claims: DataFrame) -> DataFrame:
+    """Claims parted by run and entity: all windows and groups of these, of cells and of what lies in them do without another shuffle."""
+    return claims.repartition(*keys(claims, "entity"))
 
-    ``keep_conflicts`` also reports the conflicts that a later corroboration would discard. A column ``verified`` passes from the claim that gives the value.
-    """
+
+def marked(claims: DataFrame, keep_conflicts: bool = False) -> DataFrame:
+    """Claims parted by cell with ``e``, the one that gives their cell its value, and whether each is ``against`` it; empty values are marked by neither."""
     key = keys(claims)
-    more = [c for c in ("verified",) if c in claims.columns]
-    cell = Window.partitionBy(*key).orderBy("seq")
-    rows = claims.where("value IS NOT NULL AND value <> ''").withColumn("n", norm_text(F.col("value")))
-    rows = rows.withColumn("agrees", F.col("n") == F.first("n").over(cell))
-    before = F.lag("url").over(Window.partitionBy(*key, "agrees").orderBy("seq"))
+    more = [c for c in ("verified", "found") if c in claims.columns]
+    rows = claims.withColumn("filled", F.coalesce(F.col("value") != "", F.lit(False))).withColumn("n", norm_text(F.col("value")))
+    whole = Window.partitionBy(*key, "filled")
+    cell = whole.orderBy("seq")
+    rows = rows.withColumn("agrees", F.col("filled") & (F.col("n") == F.first("n").over(cell)))
+    before = F.lag("url").over(Window.partitionBy(*key, "filled", "agrees").orderBy("seq"))
     first = F.row_number().over(cell) == 1
     rows = rows.withColumn("before", before).withColumn("effective", F.col("agrees") & (first | ((F.coalesce("url", F.lit("")) != F.coalesce("before", F.lit(""))) & (F.coalesce("before", F.lit("")) != ""))))
-    whole = Window.partitionBy(*key)
     last = F.max(F.when(F.col("effective"), F.struct("seq", "value", "url", F.col("before").alias("corroborated_by"), *more))).over(whole)
     rows = rows.withColumn("e", last)
-    against = ~F.col("agrees") & (F.lit(keep_conflicts) | (F.col("seq") > F.col("e.seq"))) & (F.coalesce("url", F.lit("")) != F.coalesce("e.url", F.lit(""))) & (F.coalesce("e.url", F.lit("")) != "")
-    out = rows.groupBy(*key).agg(F.first("e").alias("e"), F.array_sort(F.collect_list(F.when(against, F.struct("seq", "url", "value")))).alias("c"))
-    return out.select(*key, "e.value", "e.url", "e.corroborated_by", F.transform("c", lambda x: F.struct(x["url"].alias("url"), x["value"].alias("value"))).alias("conflicts"), *(f"e.{c}" for c in more))
+    against = F.col("filled") & ~F.col("agrees") & (F.lit(keep_conflicts) | (F.col("seq") > F.col("e.seq"))) & (F.coalesce("url", F.lit("")) != F.coalesce("e.url", F.lit(""))) & (F.coalesce("e.url", F.lit("")) != "")
+    return rows.withColumn("against", against).drop("filled", "n", "agrees", "before", "effective")
+
+
+def conflict_list() -> Column:
+    """The conflicts among marked claims, not yet in order."""
+    return F.collect_list(F.when(F.col("against"), F.struct("seq", "url", "value")))
+
+
+def merged(cells: DataFrame, key: list[str], *more: str) -> list[Column]:
+    """A cell's columns from its ``e`` and its list ``c`` of conflicts."""
+    passed = [f"e.{c}" for c in ("verified", "found") if c in cells.schema["e"].dataType.names]
+    return [*map(F.col, key), F.col("e.value"), F.col("e.url"), F.col("e.corroborated_by"), F.transform(F.array_sort("c"), lambda x: F.struct(x["url"].alias("url"), x["value"].alias("value"))).alias("conflicts"), *map(F.col, passed), *map(F.col, more)]
+
+
+def upsert_records(claims: DataFrame, keep_conflicts: bool = False, found: bool = False) -> DataFrame:
+    """``run, entity, field, value, url, corroborated_by, conflicts`` from claims ``run, entity, field, seq, value, url`` (the run may be absent).
+
+    ``keep_conflicts`` also reports the conflicts that a later corroboration would discard. A column ``verified`` passes from the claim that gives the value.
+    ``found`` adds the earliest ``seq`` of a run's entity, claims without a value among them.
+    """
+    key = keys(claims)
+    rows = by_cell(claims)
+    if found:
+        rows = rows.withColumn("found", F.min("seq").over(Window.partitionBy(*keys(claims, "entity"))))
+    rows = marked(rows.where("value IS NOT NULL AND value <> ''"), keep_conflicts)
+    out = rows.groupBy(*key).agg(F.first("e").alias("e"), conflict_list().alias("c"))
+    return out.select(*merged(out, key))
 
 
 def records(cells: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """One row for each run and entity: id, fields and provenance as maps, and with the spec's ``fields`` their sourced share."""
     key = keys(cells, "entity")
     prov = F.struct(*(c for c in ("url", "corroborated_by", "conflicts", "verified", "kbt_prob", "conflict_note") if c in cells.columns))
-    rows = cells.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"), F.map_from_entries(F.collect_list(F.struct("field", prov))).alias("provenance"))
+    found = [F.min("found").alias("found")] if "found" in cells.columns else []
+    rows = cells.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"), F.map_from_entries(F.collect_list(F.struct("field", prov))).alias("provenance"), *found)
     rows = rows.withColumn("id", F.substring(F.concat_ws(":", *key), 1, 120))
     return rows.join(fields_sourced(cells, len(fields)), key) if fields is not None and "verified" in cells.columns else rows
 
@@ -77,8 +105,8 @@ def fields_sourced(cells: DataFrame, fields: int | None = None) -> DataFrame:
 def export_rows(cells: DataFrame, fields: list[str]) -> DataFrame:
     """One row for each run and entity: a column for each field, the sourced share where cells tell what is ``verified``, sorted sources, and whether any cell has conflicts."""
     key = keys(cells, "entity")
-    wide = cells.groupBy(*key).pivot("field", fields).agg(F.first("value")).na.fill("", fields)
-    if "verified" in cells.columns:
-        wide = wide.join(fields_sourced(cells, len(fields)), key)
-    facts = cells.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("url"), F.lit("")))), "; ").alias("sources"), F.max(F.when(F.size("conflicts") > 0, "yes").otherwise("")).alias("has_conflict"))
-    return wide.join(facts, key)
+    wide = [F.coalesce(F.first(F.when(F.col("field") == f, F.col("value")), ignorenulls=True), F.lit("")).alias(f) for f in fields]
+    n = max(len(fields), 1)
+    sourced = [(F.expr(f"(200 * count_if(verified) + {n}) div {2 * n}") / 100).alias("fields_sourced")] if "verified" in cells.columns else []
+    sources = F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("url"), F.lit("")))), "; ").alias("sources")
+    return cells.groupBy(*key).agg(*wide, *sourced, sources, F.max(F.when(F.size("conflicts") > 0, "yes").otherwise("")).alias("has_conflict"))

@@ -286,8 +286,7 @@ def captures_of_run(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def records_of_run(spark: SparkSession, sf: str) -> DataFrame:
     """Records of every run with their fields as a map, numbered in the order in which they were found."""
-    cells = merge.upsert_records(S.claims(spark, sf)).join(S.claims(spark, sf).groupBy("run", "entity").agg(F.min("seq").alias("found")), ["run", "entity"])
-    rows = merge.records(cells).join(cells.select("run", "entity", "found").distinct(), ["run", "entity"])
+    rows = merge.records(merge.upsert_records(S.claims(spark, sf), found=True)).where("run IS NOT NULL AND entity IS NOT NULL")
     return rows.select("run", "entity", "id", F.col("fields")["discount"].alias("discount"), "found")
 
 
