@@ -341,9 +341,9 @@ def upsert_records(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def export_rows(spark: SparkSession, sf: str) -> DataFrame:
     cells = merge.upsert_records(S.claims(spark, sf))
-    cells = cells.withColumn("verified", F.col("value") == "0.05")
-    second = cells.select("run", "entity", F.lit("supplier").alias("field"), F.col("url").alias("value"), "url", "corroborated_by", "conflicts", F.lit(True).alias("verified"))
-    return merge.export_rows(cells.unionByName(second), ["discount", "supplier"])
+    first = F.struct("field", "value", (F.col("value") == "0.05").alias("verified"))
+    second = F.struct(F.lit("supplier").alias("field"), F.col("url").alias("value"), F.lit(True).alias("verified"))
+    return merge.export_rows(cells.select("run", "entity", "url", "conflicts", F.inline(F.array(first, second))), ["discount", "supplier"])
 
 
 @query
