@@ -399,7 +399,7 @@ def kbt_voters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kbt_probs(spark: SparkSession, sf: str) -> DataFrame:
-    return truth.value_probabilities(truth.voters(S.claims(spark, sf))).select("run", "entity", "v", F.round("prob", 6).alias("prob"))
+    return truth.value_probabilities(truth.voters(merge.by_cell(S.claims(spark, sf)))).select("run", "entity", "v", F.round("prob", 6).alias("prob"))
 
 
 @query
