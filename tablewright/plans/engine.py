@@ -136,8 +136,7 @@ class RunResult:
     @property
     def records(self) -> DataFrame:
         numeric = [f.name for f in self.spec.fields if f.type == "number"]
-        claims = self.claims
-        return truth.resolve(merge.upsert_records(claims), claims, numeric)
+        return truth.resolved_records(self.claims, numeric)
 
     @property
     def incidence(self) -> DataFrame:

@@ -409,8 +409,7 @@ def kbt_winner(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def conflicts_resolved(spark: SparkSession, sf: str) -> DataFrame:
-    claims = S.claims(spark, sf)
-    return truth.resolve(merge.upsert_records(claims), claims, numeric=["discount"]).select("run", "entity", "value", "url", "kbt_prob", "conflict_note", "resolved")
+    return truth.resolved_records(S.claims(spark, sf), numeric=["discount"]).select("run", "entity", "value", "url", "kbt_prob", "conflict_note", "resolved")
 
 
 # Audit
